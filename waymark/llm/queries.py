@@ -3,15 +3,82 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.llm.common import table
+from waymark.llm.decontamination import contaminations
+from waymark.llm.html_extraction import main_texts
+from waymark.llm.language_id import fit, held_out, identify
+from waymark.llm.line_dedup import removed_lines
+from waymark.llm.mixing import mix_sources
+from waymark.llm.nearest import nearest
 from waymark.llm.ngram_jaccard_join import ngram_jaccard_join
+from waymark.llm.quality import quality_scores
+from waymark.llm.sharding import shard_slots
+from waymark.llm.url_filter import judge_urls
+
+# The rules of the URL query, as (host, path, verdict).
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "block"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit(docs, ~held_out(docs))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document with its number: bad if of low quality or toxic."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = labels.select(F.col("doc_id").alias("page_id"), F.greatest(1 - F.col("quality"), F.col("toxic")).alias("bad"))
+    return judge_urls(pages, pages.select("page_id", "url").join(bad, "page_id"), URL_RULES)
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_slots(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_lines(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontamination, op3_ngram_jaccard_join, op4_url_filter, op5_sharding,
+        op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_nearest_neighbours, op10_line_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}
