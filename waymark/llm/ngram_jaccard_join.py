@@ -12,7 +12,7 @@ on the shingles.
 
 Scale. A part's key is shared by few sets unless these are near copies of one another. A key's sets are compared with
 its least one (a star, linear in the rows), components are drawn, and only sets of one key that are still in different
-components are compared further: again by a star while that is the cheaper way, at last pair by pair. So a group of many
+components are compared further: again by a star while that is the cheaper way, at last pair by pair inside the join. So a group of many
 thousand near copies costs a few stars, and no link between components is lost. A pair inside one component is skipped, as
 it cannot change a component.
 
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import kernel as K
@@ -35,6 +35,8 @@ from waymark.llm.components import components
 
 #: Growth of the size bands; with it the rows of a set in its own and the next bands are fewest.
 BAND_STEP = 1.6
+#: Pairs of different components that keys may hold for each of their rows before these are drawn together by a star.
+PAIRS_A_ROW = 64
 #: Stars by which groups of near copies are drawn together before what is left is compared pair by pair.
 MAX_STARS = 8
 
@@ -107,33 +109,28 @@ def tokens_at(tokens: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> np.nda
     return tokens[np.repeat(keep, sizes)]
 
 
-def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, n, sid)`` of every row; ``sid`` is null for an empty set."""
+def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Two kinds of rows: ``(doc_id, n, sid)`` of every row (``sid`` null for an empty set), and ``(sid, key)``, each set's part keys once in a task."""
+    names = ["doc_id", "n", "sid", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            for i, _, _, _, at, size, ids in sets_of(batch.column(1), k):
+            has_id = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            for i, _, tokens, _, at, size, ids in sets_of(batch.column(1), k):
                 n[i + at], sid[i + at] = size, ids
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid, mask=n == 0)], ["doc_id", "n", "sid"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long")
-
-
-def key_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``(key, sid)``: the part keys of every set, each set once in a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, tokens, _, _, size, ids in sets_of(batch.column(0), k):
-                keep = unseen(ids, seen)
+                keep = has_id[i + at]
+                keep[keep] = unseen(ids[keep], seen)
                 if keep.any():
                     keys, of = emit(tokens_at(tokens, size, keep), size[keep], num, den)
                     for s in range(0, len(keys), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[s : s + 100_000]), pa.array(ids[keep][of[s : s + 100_000]])], ["key", "sid"])
+                        part = keys[s : s + 100_000]
+                        empty = pa.nulls(len(part), pa.int64())
+                        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(ids[keep][of[s : s + 100_000]]), pa.array(part)], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.nulls(batch.num_rows, pa.int64())], names)
 
-    return docs.where("doc_id is not null").select("text").mapInArrow(run, "key long, sid long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, key long")
 
 
 def token_table(docs: DataFrame, k: int) -> DataFrame:
@@ -156,45 +153,55 @@ def token_table(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("sid", "text").mapInArrow(run, "sid long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
 
 
+SKETCH = ["n", "s0", "s1", "s2", "s3"]
+
+
+def may_link(a: str, b: str, num: int, den: int) -> Column:
+    """The length filter, and the Hamming filter: the sketches differ in at most as many bits as linked sets may differ in tokens."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    far = F.lit(0)
+    for q in SKETCH[1:]:
+        far = far + F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}")))
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (far * (den + num) <= (n + m) * (den - num))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link, after the length and Hamming filters."""
-    side = lambda x: sets.select(*(F.col(c).alias(f"{x}_{c}") for c in sets.columns))
+    """The pairs ``(a, b)`` that link."""
+    side = lambda x: sets.select(F.col("sid").alias(f"{x}_sid"), F.col("tokens").alias(f"{x}_tokens"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
-    total = F.col("a_n") + F.col("b_n")
-    far = sum((F.bit_count(F.col(f"a_s{q}").bitwiseXOR(F.col(f"b_s{q}"))) for q in range(1, 4)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    both = both.where((F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num) & (far * (den + num) <= total * (den - num)))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    return both.where(shared * (den + num) >= total * num).select("a", "b")
+    return both.where(shared * (den + num) >= (F.size("a_tokens") + F.size("b_tokens")) * num).select("a", "b")
 
 
 def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``(sid, label)``: components of the sets that occur in ``members(key, sid)`` and link."""
-    edges = None
-    labels = None
-    left = members.withColumn("label", F.col("sid"))
+    pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
+    edges = labels = None
+    left = stored(members.join(sets.select("sid", *SKETCH), "sid").withColumn("label", F.col("sid")), "left")
     for turn in range(MAX_STARS + 1):
         # what is left: sets of keys whose sets lie in several components
-        groups = left.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("sid").alias("least"))
-        sums = groups.groupBy("key").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.count("*").alias("c"), F.min(F.struct("n", "least")).getField("least").alias("pivot"))
-        open_ = stored(sums.where("c > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), "pivot"), "open")
+        groups = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct("sid", *SKETCH)).alias("least"))
+        sums = groups.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("labels"), F.min(F.struct("c", "least")).getField("least").alias("p"))
+        open_ = stored(sums.where("labels > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), "p"), "open")
         total = open_.agg(F.sum("pairs"), F.sum("m")).first()
         if not total[1]:
             break
-        last = turn == MAX_STARS or total[0] <= 2 * total[1]
-        now = left.join(open_, "key")
+        last = turn == MAX_STARS or total[0] <= PAIRS_A_ROW * total[1]
         if last:
-            a, b = (now.select("key", F.col("sid").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-            pairs = a.join(b, "key").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            now = left.join(open_.select("key"), "key")
+            other = now.select("key", F.col("sid").alias("other"), F.col("label").alias("other_label"), *(F.col(c).alias(f"o_{c}") for c in SKETCH))
+            pairs = now.join(other, "key").where((F.col("label") < F.col("other_label")) & may_link("", "o_", num, den)).select(*pair)
         else:
-            pairs = now.where("sid <> pivot").select(F.least("sid", "pivot").alias("a"), F.greatest("sid", "pivot").alias("b"))
+            now = left.join(open_.select("key", "p"), "key")
+            pairs = now.where((F.col("sid") != F.col("p.sid")) & may_link("", "p.", num, den)).withColumn("other", F.col("p.sid")).select(*pair)
         found = stored(verified(pairs.distinct(), sets, num, den), "links")
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
         if last:
             break
         # each pivot has met all sets of its key, so it leaves
-        rest = now.where("sid <> pivot").select("key", "sid")
-        left = stored(rest.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label")), "left")
+        rest = now.where(F.col("sid") != F.col("p.sid")).drop("p", "label")
+        left = stored(rest.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "left")
     if labels is None:
         labels = members.select("sid", F.col("sid").alias("label")).where("false")
     return labels
@@ -203,8 +210,8 @@ def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = stored(set_table(docs, k), "sets")
-    keys = key_table(docs, k, num, den)
+    both = stored(set_table(docs, k, num, den), "sets")
+    table, keys = both.where("key is null").select("doc_id", "n", "sid"), both.where("key is not null").select("key", "sid")
     shared = small(stored(keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key"), "keys"))
     members = stored(keys.join(shared, "key").distinct(), "members")
     known = F.col("sid").isNotNull() & F.col("doc_id").isNotNull()
