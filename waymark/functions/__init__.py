@@ -1 +1 @@
-
+"""Column-only functions: geodesy, text, numbers."""

@@ -1 +1 @@
-
+"""Relational, trajectory, spatial and graph operators over DataFrames."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from waymark.plans import motion, names, places, reconcile
+
+QUERIES = {**motion.QUERIES, **names.QUERIES, **reconcile.QUERIES, **places.QUERIES}
+ORACLES = {**motion.ORACLES, **names.ORACLES, **reconcile.ORACLES, **places.ORACLES}
