@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def flat(text: Column) -> Column:
@@ -76,7 +77,7 @@ def human_bytes(n: Column) -> Column:
     return out.otherwise(F.format_string("%d B", n.cast("long")))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def sequence_ratio(a, b):  # noqa: ANN001, ANN201
     """Ratcliff-Obershelp similarity of two strings, in Arrow batches; no built-in function computes it. (STR-06)"""
     from difflib import SequenceMatcher

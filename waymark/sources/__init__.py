@@ -1 +1 @@
-
+"""Readers and writers of recordings, layers, annotated tables and manifests."""
