@@ -1,7 +1,7 @@
 """Operator 4: URL filter by empirical-Bayes host reputation. DataFrame functions only.
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and suffix. Each level's bad rate has a beta
-prior around the rate of the level above: host around its domain, domain around its suffix, suffix around all pages. A
+prior around the rate of the level above: host around its domain's other hosts, domain around its suffix's other domains, suffix around all pages. A
 prior's strength (its pseudo-count) is fitted for each level by the method of moments from how far the observed rates
 spread beyond binomial noise. A host is blocked when the lower bound of its posterior (mean less ``z`` standard
 deviations) is above ``limit``, so a host with few outcomes leans on its domain. Hosts without outcomes take their domain's
@@ -80,18 +80,20 @@ def reputations(outcomes: DataFrame, hosts: DataFrame, z: float = 1.645) -> Data
     seen = outcomes.where("bad is not null").groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("bad").cast("double")).alias("bad"))
     units = hosts.select("host").distinct().join(seen, "host", "full").na.fill(0.0, ["n", "bad"])
     units = stored(units.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"), "hosts")
-    domains = units.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = units.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    rate = units.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("up"))
-
-    def shrunk(counts: DataFrame, name: str) -> DataFrame:
-        """Adds each unit's posterior mean as ``name``; its prior mean is ``up``."""
-        counts = counts.join(F.broadcast(strength(counts, "up")))  # one row
-        return counts.withColumn(name, (F.col("bad") + F.col("k") * F.col("up")) / (F.col("n") + F.col("k")))
-
-    suffixes = stored(shrunk(suffixes.join(F.broadcast(rate)), "mean").select("suffix", F.col("mean").alias("up")), "suffixes")
-    domains = stored(shrunk(domains.join(small(suffixes), "suffix"), "mean").select("domain", F.col("mean").alias("up")), "domains")
-    known = shrunk(units.join(small(domains), "domain"), "mean")
+    rate = ((F.coalesce(F.sum("bad"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("up")
+    one_row = F.broadcast
+    suffixes = units.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(one_row(units.agg(rate)))
+    suffixes = suffixes.join(one_row(strength(suffixes, "up")))
+    suffixes = stored(suffixes.select("suffix", F.col("n").alias("sn"), F.col("bad").alias("sb"), F.col("up").alias("su"), F.col("k").alias("sk")), "suffixes")
+    # a unit's prior is its parent's posterior from the parent's other units, so that no outcome counts twice
+    domains = units.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(small(suffixes), "suffix")
+    domains = domains.withColumn("up", (F.col("sb") - F.col("bad") + F.col("sk") * F.col("su")) / (F.col("sn") - F.col("n") + F.col("sk")))
+    domains = domains.join(one_row(strength(domains, "up")))
+    domains = stored(domains.select("domain", F.col("n").alias("dn"), F.col("bad").alias("db"), F.col("up").alias("du"), F.col("k").alias("dk")), "domains")
+    known = units.join(small(domains), "domain")
+    known = known.withColumn("up", (F.col("db") - F.col("bad") + F.col("dk") * F.col("du")) / (F.col("dn") - F.col("n") + F.col("dk")))
+    known = known.join(one_row(strength(known, "up")))
+    known = known.withColumn("mean", (F.col("bad") + F.col("k") * F.col("up")) / (F.col("n") + F.col("k")))
     sd = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + F.col("k") + 1))
     return known.select("host", "mean", (F.col("mean") - z * sd).alias("low"))
 
