@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import scratch_root, small, stored, table
@@ -37,11 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = ngram_jaccard_join(docs)
     gone = small(stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    twice = small(stored(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice")), "twice"))
+    ids = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1")
+    twice = stored(ids.select("twice"), "twice")
+    if twice.isEmpty():
+        return kept
+    twice = small(twice)
     again = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi")
     once = kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti")
-    one = again.withColumn("_rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_rn = 1").drop("_rn")
-    return once.union(one.select(*docs.columns))
+    # one of the rows of an id, by an aggregate that combines before the shuffle
+    one = again.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+    return once.union(one.select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
