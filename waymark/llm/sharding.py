@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import free_name, stored
 
-MIN_CELLS, MAX_CELLS = 1 << 10, 1 << 13
+MIN_CELLS, MAX_CELLS = 1 << 12, 1 << 13
 #: Bytes of a range at which more ranges are made.
 CELL_BYTES = 1 << 26
 
