@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stored
+from waymark.llm.common import small, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,14 +15,18 @@ def components(edges: DataFrame) -> DataFrame:
     Hubs cost nothing extra: minima are combined before the shuffle, and AQE splits skewed joins. Rounds grow as the
     logarithm of the longest path. Loops and repeated edges change nothing; an empty table gives an empty one.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "arcs")
-    labels = stored(both.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("m")).select("sid", F.least("sid", "m").alias("label")), "labels")
+    arcs = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
+    both = stored(arcs, "arcs")
+    parts = max(12, both.count() // 500_000)
+    keep = lambda df: stored(df.coalesce(parts), "labels")
+    both = keep(both)
+    labels = keep(both.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("m")).select("sid", F.least("sid", "m").alias("label")))
     while True:
-        near = both.join(labels, both["b"] == labels["sid"]).groupBy("a").agg(F.min("label").alias("m"))
+        near = both.join(small(labels), both["b"] == labels["sid"]).groupBy("a").agg(F.min("label").alias("m"))
         hooked = labels.join(near, labels["sid"] == near["a"]).select("sid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = labels.select(F.col("sid").alias("up"), F.col("label").alias("upper"))
+        up = small(labels.select(F.col("sid").alias("up"), F.col("label").alias("upper")))
         jumped = hooked.join(up, hooked["label"] == up["up"], "left").select("sid", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
-        jumped = stored(jumped, "labels")
+        jumped = keep(jumped)
         labels = jumped.select("sid", "label")
         if jumped.where("label <> old").isEmpty():
             return labels

@@ -10,9 +10,9 @@ than ``d`` parts, so by the pigeonhole principle two linked sets agree in one pa
 256-bit sketch then rejects candidates whose Hamming distance is above what their sizes permit, and the rest is verified
 on the shingles.
 
-Scale. A part's key is shared by few sets unless these are near copies of one another. A key's sets are compared with
-its least one (a star, linear in the rows), components are drawn, and only sets of one key that are still in different
-components are compared further: again by a star while that is the cheaper way, at last pair by pair inside the join. So a group of many
+Scale. A part's key is shared by few sets unless these are near copies of one another. Each set first meets the least set that
+has the same least key, in a few orders of the keys (stars, a few rows for each set), and components are drawn. Only sets of one
+key that are still in different components are compared further: by a star for each key while that is the cheaper way, at last pair by pair inside the join. So a group of many
 thousand near copies costs a few stars, and no link between components is lost. A pair inside one component is skipped, as
 it cannot change a component.
 
@@ -36,9 +36,9 @@ from waymark.llm.components import components
 #: Growth of the size bands; with it the rows of a set in its own and the next bands are fewest.
 BAND_STEP = 1.6
 #: Pairs of different components that keys may hold for each of their rows before these are drawn together by a star.
-PAIRS_A_ROW = 64
-#: Stars by which groups of near copies are drawn together before what is left is compared pair by pair.
-MAX_STARS = 8
+PAIRS_A_ROW = 256
+#: Orders of the keys by which sets first meet, and stars by which groups of near copies are drawn together before what is left is compared pair by pair.
+STARS, MAX_STARS = 4, 8
 
 
 def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,7 +48,7 @@ def bands(num: int, den: int, largest: int) -> tuple[np.ndarray, np.ndarray, np.
         low.append(max(low[-1] + 1, int(low[-1] * BAND_STEP)))
     high = np.array(low[1:] + [low[-1] * 2]) - 1
     d = (den - num) * 2 * high // (den + num)
-    return np.array(low), d, np.where(d > 0, d + 2 + d // 16, 1)
+    return np.array(low), d, np.where(d > 0, d + 2 + d // 50, 1)
 
 
 def sets_of(col: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -166,44 +166,69 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` that link."""
-    side = lambda x: sets.select(F.col("sid").alias(f"{x}_sid"), F.col("tokens").alias(f"{x}_tokens"))
+    """The pairs ``(a, b)`` of a stored table that link. Only the tokens of sets that have a pair are shuffled, if these are few."""
+    asked = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "asked"))
+    tokens = sets.select("sid", "tokens").join(asked, F.col("sid") == F.col("asked"), "left_semi")
+    side = lambda x: tokens.select(F.col("sid").alias(f"{x}_sid"), F.col("tokens").alias(f"{x}_tokens"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(shared * (den + num) >= (F.size("a_tokens") + F.size("b_tokens")) * num).select("a", "b")
 
 
+def pair() -> list[Column]:
+    """The pair of a row's set with another one, lesser id first."""
+    return [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
+
+
+def first_stars(near: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs of each set with the least set that has the same least part key, in several orders of the keys.
+
+    Near copies agree in most keys, so most of a group meet in few such stars, at a few rows for each set.
+    """
+    stars = F.array(*(F.array_min(F.transform("keys", lambda k, q=q: F.xxhash64(k, F.lit(q)))) for q in range(STARS)))
+    rows = near.select("sid", *SKETCH, F.posexplode(stars).alias("q", "least_key"))
+    pivots = rows.groupBy("q", "least_key").agg(F.min(F.struct("sid", *SKETCH)).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = rows.join(pivots, ["q", "least_key"]).withColumn("other", F.col("p.sid"))
+    return met.where((F.col("sid") != F.col("other")) & may_link("", "p.", num, den)).select(*pair()).distinct().coalesce(parts)
+
+
 def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """``(sid, label)``: components of the sets that occur in ``members(key, sid)`` and link."""
-    pair = [F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")]
-    edges = labels = None
-    left = stored(members.join(sets.select("sid", *SKETCH), "sid").withColumn("label", F.col("sid")), "left")
+    near = members.groupBy("sid").agg(F.collect_set("key").alias("keys"))  # as many keys as the set has parts
+    near = stored(near.join(sets.select("sid", *SKETCH), "sid"), "near")
+    n = near.count()
+    parts = max(12, n // 50_000)
+    edges = stored(verified(stored(first_stars(near, parts, num, den), "pairs"), sets, num, den).coalesce(parts), "links")
+    labels = components(edges)
+    gone = None
     for turn in range(MAX_STARS + 1):
         # what is left: sets of keys whose sets lie in several components
+        known = near.join(small(labels.withColumnRenamed("sid", "of")), F.col("sid") == F.col("of"), "left").withColumn("label", F.coalesce("label", "sid"))
+        left = known.select(F.explode("keys").alias("key"), "sid", "label", *SKETCH)
+        if gone is not None:  # pivots that have met all sets of their key
+            left = left.join(gone, ["key", "sid"], "left_anti")
         groups = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct("sid", *SKETCH)).alias("least"))
         sums = groups.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("labels"), F.min(F.struct("c", "least")).getField("least").alias("p"))
-        open_ = stored(sums.where("labels > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), "p"), "open")
+        open_ = stored(sums.where("labels > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), "p").coalesce(parts), "open")
         total = open_.agg(F.sum("pairs"), F.sum("m")).first()
         if not total[1]:
             break
         last = turn == MAX_STARS or total[0] <= PAIRS_A_ROW * total[1]
         if last:
-            now = left.join(open_.select("key"), "key")
+            now = stored(left.join(small(open_.select("key")), "key"), "rest")
             other = now.select("key", F.col("sid").alias("other"), F.col("label").alias("other_label"), *(F.col(c).alias(f"o_{c}") for c in SKETCH))
-            pairs = now.join(other, "key").where((F.col("label") < F.col("other_label")) & may_link("", "o_", num, den)).select(*pair)
+            pairs = now.join(other, "key").where((F.col("label") < F.col("other_label")) & may_link("", "o_", num, den)).select(*pair())
         else:
-            now = left.join(open_.select("key", "p"), "key")
-            pairs = now.where((F.col("sid") != F.col("p.sid")) & may_link("", "p.", num, den)).withColumn("other", F.col("p.sid")).select(*pair)
-        found = stored(verified(pairs.distinct(), sets, num, den), "links")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+            now = left.join(small(open_.select("key", "p")), "key")
+            pairs = now.where((F.col("sid") != F.col("p.sid")) & may_link("", "p.", num, den)).withColumn("other", F.col("p.sid")).select(*pair())
+        found = stored(verified(stored(pairs.distinct().coalesce(parts), "pairs"), sets, num, den).coalesce(parts), "links")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            labels = components(edges)
         if last:
             break
-        # each pivot has met all sets of its key, so it leaves
-        rest = now.where(F.col("sid") != F.col("p.sid")).drop("p", "label")
-        left = stored(rest.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid")), "left")
-    if labels is None:
-        labels = members.select("sid", F.col("sid").alias("label")).where("false")
+        met = open_.select("key", F.col("p.sid").alias("sid"))
+        gone = met if gone is None else gone.union(met)
     return labels
 
 
@@ -212,8 +237,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = stored(set_table(docs, k, num, den), "sets")
     table, keys = both.where("key is null").select("doc_id", "n", "sid"), both.where("key is not null").select("key", "sid")
-    shared = small(stored(keys.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("key"), "keys"))
-    members = stored(keys.join(shared, "key").distinct(), "members")
+    # keys that two sets have: both sides read one exchange, and AQE may split it
+    members = stored(keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key AND a.sid <> b.sid"), "left_semi"), "members")
     known = F.col("sid").isNotNull() & F.col("doc_id").isNotNull()
     first = stored(table.where(known).groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     near = members.select("sid").distinct()

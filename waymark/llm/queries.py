@@ -70,7 +70,8 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removed_lines(table(spark, sf_dir, "documents"))
+    out = removed_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
 QUERIES = {
@@ -81,4 +82,58 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _shingles(words: str, k: int) -> str:
+    """A list of the shingles of a list of words, as SQL."""
+    parts = " || ' ' || ".join(f"{words}[i + {j}]" for j in range(k))
+    return f"CASE WHEN len({words}) = 0 THEN [] WHEN len({words}) < {k} THEN [array_to_string({words}, ' ')] ELSE list_transform(range(1, len({words}) - {k - 2}), lambda i: {parts}) END"
+
+
+#: Rates by level, each prior without the unit's own outcomes.
+_URLS = r"""u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (SELECT host, greatest(1 - quality, toxic) AS bad FROM u JOIN labels ON labels.doc_id = u.page_id), hs AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM (SELECT host, bad FROM o UNION ALL SELECT host, NULL FROM u) GROUP BY host),
+b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM hs), un AS (SELECT host, CAST(n AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS bad, array_to_string(string_split(bare, '.')[-2:], '.') AS domain, string_split(bare, '.')[-1] AS suffix FROM b),
+g AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS up FROM un),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(up) AS up FROM un, g GROUP BY suffix), ks AS (SELECT {k} AS k FROM s0 WHERE n > 0),
+d0 AS (SELECT domain, d.suffix, d.n, d.bad, (s0.bad - d.bad + ks.k * s0.up) / (s0.n - d.n + ks.k) AS up FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM un GROUP BY 1, 2) d JOIN s0 ON s0.suffix = d.suffix, ks), kd AS (SELECT {k} AS k FROM d0 WHERE n > 0),
+h0 AS (SELECT host, un.n, un.bad, (d0.bad - un.bad + kd.k * d0.up) / (d0.n - un.n + kd.k) AS up FROM un JOIN d0 ON d0.domain = un.domain, kd), kh AS (SELECT {k} AS k FROM h0 WHERE n > 0),
+m AS (SELECT host, n, k, (bad + k * up) / (n + k) AS mean FROM h0, kh), low AS (SELECT host, mean - 1.645e0 * sqrt(mean * (1 - mean) / (n + k + 1)) AS low FROM m)""".replace(
+    "{k}", "greatest(1.0, least(200.0, coalesce(1 / CASE WHEN rho > 0 THEN rho END - 1, 200.0)))"
+)
+
+
+def _with_rho(sql: str) -> str:
+    """Puts the moment estimate where a strength is asked for."""
+    rho = "(sum(n * pow(bad / n - up, 2)) - sum(up * (1 - up))) / nullif(sum((n - 1) * up * (1 - up)), 0)"
+    return sql.replace("rho", f"({rho})")
+
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORD}'), []) AS w FROM documents), sh AS (SELECT DISTINCT doc_id, unnest({_shingles("w", 4)}) AS s FROM w), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r AS (SELECT doc_id AS d, doc_id AS t FROM documents UNION SELECT r.d, l.b FROM r JOIN l ON l.a = r.t)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT d, min(t) AS component_id FROM r GROUP BY d) c ON c.d = documents.doc_id""",
+    "op4_url_filter": f"""WITH {_with_rho(_URLS)}, rules AS (SELECT * FROM (VALUES {_RULES}) AS t(h, p, v)),
+f AS (SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p DESC) AS rn FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND rn = 1 JOIN low ON low.host = u.host""",
+    "op6_source_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '{_WORD}'), [])) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix-' || doc_id), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2e0 AS cap, [5e0, 2e0, 1e0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w FROM d GROUP BY source),
+v AS (SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(cap) OVER q, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER q, 0)) AS level FROM s WINDOW q AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT arg_min(level, cap / w) AS level FROM v WHERE cap / w > level), t AS (SELECT source, source_size, least(cap, coalesce(z.level * w, cap)) AS target FROM s LEFT JOIN z ON true),
+g AS (SELECT *, CAST(floor(target / source_size) AS BIGINT) AS whole, target / source_size - floor(target / source_size) AS p, target - floor(target / source_size) * source_size AS budget FROM t WHERE source_size > 0),
+c AS (SELECT d.*, g.*, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size) AS upto FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source WHERE size > 0 AND p > 0),
+k AS (SELECT source, coalesce(max(upto) FILTER (WHERE upto <= budget), 0) AS taken FROM c GROUP BY source),
+x AS (SELECT c.doc_id, c.source, row_number() OVER (PARTITION BY c.source ORDER BY abs(size - (budget - taken)), u, doc_id) AS rn FROM c JOIN k ON k.source IS NOT DISTINCT FROM c.source WHERE upto > budget AND size < 2 * (budget - taken)),
+m AS (SELECT c.doc_id, 1 AS more FROM c WHERE upto <= budget UNION ALL SELECT doc_id, 1 FROM x WHERE rn = 1)
+SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(g.whole + coalesce(m.more, 0), 0) * d.size AS BIGINT) AS taken FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN m ON m.doc_id = d.doc_id AND d.size > 0""",
+    "op10_line_dedup": f"""WITH ln AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents), w AS (SELECT doc_id, no, doc_id * 1000000 + no AS id, regexp_extract_all(line, '{_WORD}') AS w FROM ln),
+sh AS (SELECT DISTINCT id, doc_id, no, unnest({_shingles("w", 5)}) AS s FROM w), n AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND b.id < a.id GROUP BY 1, 2), gone AS (SELECT DISTINCT a FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+r AS (SELECT a // 1000000 AS doc_id, count(*) AS n_removed, string_agg(CAST(a % 1000000 AS VARCHAR), ',' ORDER BY a) AS removed FROM gone GROUP BY 1)
+SELECT documents.doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id""",
+}
