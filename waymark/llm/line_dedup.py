@@ -32,6 +32,8 @@ from waymark.llm.common import free_name, small, stored
 #: Hashed counters of token frequency: the bound of what is sent to the tasks.
 COUNTERS = 1 << 16
 MAX_STARS = 6
+#: Comparisons for each undecided class of a token that are made in the join rather than by another star.
+PAIRS_A_ROW = 256
 
 
 def line_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -131,7 +133,9 @@ def token_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The later classes ``lid`` of the pairs ``(lid, other)`` that are similar."""
+    """The later classes ``lid`` of a stored table of pairs ``(lid, other)`` that are similar."""
+    asked = small(stored(pairs.select(F.explode(F.array("lid", "other")).alias("asked")).distinct(), "asked"))
+    sets = sets.join(asked, F.col("lid") == F.col("asked"), "left_semi")
     a = sets.select(F.col("lid").alias("a"), F.col("tokens").alias("at"))
     b = sets.select(F.col("lid").alias("b"), F.col("tokens").alias("bt"))
     both = pairs.join(a, pairs["lid"] == F.col("a")).join(b, F.col("other") == F.col("b"))
@@ -148,28 +152,31 @@ def with_earlier(members: DataFrame, sets: DataFrame, num: int, den: int) -> Dat
         return length & (overlap * (den + num) >= (F.col(n) + F.col(m)) * num)
 
     left = members.withColumn("open", F.lit(True))
+    parts = max(12, members.count() // 500_000)
     done = None
     for turn in range(MAX_STARS + 1):
         groups = left.groupBy("token").agg(F.count("*").alias("m"), F.count_if("open").alias("q"), F.min(F.struct("first", "lid", "n", "pos")).alias("p"))
-        now = left.join(stored(groups.where("m > 1 and q > 0"), "open"), "token")
-        now = stored(now, "left")
-        total = now.where("open").agg(F.sum("m"), F.count("*")).first()
+        groups = stored(groups.where("m > 1 and q > 0").coalesce(parts), "open")
+        total = groups.agg(F.sum(F.col("q") * F.col("m")), F.sum("q")).first()
         if not total[1]:
             break
-        last = turn == MAX_STARS or total[0] <= 8 * total[1]
+        last = turn == MAX_STARS or turn > 0 and total[0] <= PAIRS_A_ROW * total[1]
         if last:
+            now = stored(left.join(small(groups.select("token")), "token"), "rest")
             late = now.where("open").select("token", "lid", "n", "pos", "first")
             early = now.select("token", F.col("lid").alias("other"), F.col("n").alias("m2"), F.col("pos").alias("pos2"), F.col("first").alias("first2"))
             pairs = late.join(early, "token").where((F.col("first2") < F.col("first")) & fits("n", "pos", "m2", "pos2"))
         else:
+            now = left.join(small(groups.select("token", "p")), "token")
             star = now.where("open").select("lid", "n", "pos", F.col("p.lid").alias("other"), F.col("p.n").alias("m2"), F.col("p.pos").alias("pos2"))
             pairs = star.where((F.col("lid") != F.col("other")) & fits("n", "pos", "m2", "pos2"))
-        found = stored(similar(pairs.select("lid", "other").distinct(), sets, num, den), "similar")
+        pairs = stored(pairs.select("lid", "other").distinct().coalesce(parts), "pairs")
+        found = stored(similar(pairs, sets, num, den).coalesce(parts), "similar")
         done = found if done is None else done.union(found)
         if last:
             break
         # each earliest class has met all, so it leaves; classes that are done ask no more
-        rest = now.where(F.col("lid") != F.col("p.lid")).drop("m", "q", "p")
+        rest = now.where(F.col("lid") != F.col("p.lid")).drop("p")
         known = small(found.withColumnRenamed("lid", "known"))
         left = stored(rest.join(known, rest["lid"] == F.col("known"), "left").withColumn("open", F.col("open") & F.col("known").isNull()).drop("known"), "left")
     return (members.select("lid").where("false") if done is None else done).distinct()
@@ -182,13 +189,13 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     lines, prefixes = table.where("line is not null").select("doc_id", "th", "line", "lid"), table.where("token is not null").select("token", "lid", "n", "pos")
     place = F.struct("doc_id", "line", "th")
     classes = stored(lines.groupBy("lid").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
-    shared = small(stored(prefixes.groupBy("token").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo <> hi").select("token"), "shared"))
-    members = stored(prefixes.join(shared, "token").distinct(), "members")
+    # tokens that two classes have: both sides read one exchange, and AQE may split it
+    members = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr("a.token = b.token AND a.lid <> b.lid"), "left_semi").distinct(), "members")
     near = members.select("lid").distinct()
     firsts = stored(classes.join(near, "lid").select("lid", "first"), "firsts")
     members = stored(members.join(small(firsts), "lid"), "members")
     chosen = firsts.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_list("lid").alias("wanted"))
-    chosen = small(stored(chosen, "chosen"), 50_000)
+    chosen = small(stored(chosen, "chosen"), 150_000)
     sets = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("h")))
     sets = stored(token_sets(sets, k).dropDuplicates(["lid"]), "tokens")
     late = with_earlier(members, sets, num, den).withColumn("late", F.lit(True))
