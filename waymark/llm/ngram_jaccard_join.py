@@ -6,8 +6,8 @@ words none). Two texts link when ``den * |A and B| >= num * |A or B|``.
 Method. Equal sets are collapsed to one id first. A set's tokens are XOR-hashed into a bit sketch: each token flips one
 bit, so the Hamming distance of two sketches is at most the size of the sets' symmetric difference. For a size band with
 largest size ``hi`` that difference is at most ``d = (den-num)*2*hi/(den+num)``; the sketch of a band is cut into more
-than ``d`` parts, so by the pigeonhole principle two linked sets agree in one part, and parts are equi-joined. A dense
-256-bit sketch then rejects candidates whose Hamming distance is above what their sizes permit, and the rest is verified
+than ``d`` parts, so by the pigeonhole principle two linked sets agree in one part, and parts are equi-joined. A short and
+then a longer dense sketch reject candidates whose Hamming distance is above what their sizes permit, and the rest is verified
 on the shingles.
 
 Scale. A part's key is shared by few sets unless these are near copies of one another. Each set first meets the least set that
@@ -134,7 +134,7 @@ def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def token_table(docs: DataFrame, k: int) -> DataFrame:
-    """``(sid, n, s0..s3, tokens)`` of rows ``(sid, text)``: the dense sketch and the shingles."""
+    """``(sid, n, s0..s3, bits, tokens)`` of rows ``(sid, text)``: the short and the long sketch, and the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +148,21 @@ def token_table(docs: DataFrame, k: int) -> DataFrame:
                 begin = np.concatenate(([0], np.cumsum(size)[:-1]))
                 bit = (tokens >> K.U(40)) & K.U(255)
                 sketch = [np.bitwise_xor.reduceat(np.where(bit >> K.U(6) == q, K.U(1) << (bit & K.U(63)), K.U(0)), begin).view(np.int64) for q in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), *map(pa.array, sketch), K.ragged(tokens.view(np.int64), size, pa.int64())], ["sid", "n", "s0", "s1", "s2", "s3", "tokens"])
+                bits, width = long_sketches(tokens, size)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), *map(pa.array, sketch), K.ragged(bits, width, pa.int64()), K.ragged(tokens.view(np.int64), size, pa.int64())], ["sid", "n", "s0", "s1", "s2", "s3", "bits", "tokens"])
 
-    return docs.select("sid", "text").mapInArrow(run, "sid long, n long, s0 long, s1 long, s2 long, s3 long, tokens array<long>")
+    return docs.select("sid", "text").mapInArrow(run, "sid long, n long, s0 long, s1 long, s2 long, s3 long, bits array<long>, tokens array<long>")
+
+
+def long_sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches with a power of two of words that grows with the set, about eight bits for each token that may differ."""
+    width = 1 << np.ceil(np.log2(np.maximum(size * 1.3 / 64, 1))).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(width)))
+    h = K.mix(tokens ^ K.U(0x94D049BB133111EB))
+    word = np.zeros(base[-1], K.U)
+    at = np.repeat(base[:-1], size) + ((h >> K.U(6)) & np.repeat(width - 1, size).astype(K.U)).astype(np.int64)
+    np.bitwise_xor.at(word, at, K.U(1) << (h & K.U(63)))
+    return word.view(np.int64), width
 
 
 SKETCH = ["n", "s0", "s1", "s2", "s3"]
@@ -165,12 +177,29 @@ def may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (far * (den + num) <= (n + m) * (den - num))
 
 
+def folded(a: str, b: str) -> Column:
+    """The long sketch ``a`` at the width of ``b``: of two halves the parity, where it is the wider one."""
+    half = (F.size(a) / 2).cast("int")
+    return F.when(F.size(a) > F.size(b), F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(a))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of a stored table that link. Only the tokens of sets that have a pair are shuffled, if these are few."""
-    asked = small(stored(pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "asked"))
-    tokens = sets.select("sid", "tokens").join(asked, F.col("sid") == F.col("asked"), "left_semi")
-    side = lambda x: tokens.select(F.col("sid").alias(f"{x}_sid"), F.col("tokens").alias(f"{x}_tokens"))
-    both = pairs.join(side("a"), F.col("a") == F.col("a_sid")).join(side("b"), F.col("b") == F.col("b_sid"))
+    """The pairs ``(a, b)`` of a stored table that link.
+
+    The long sketches, a fiftieth of the tokens, reject nearly all that do not; only what they leave is joined to its tokens.
+    """
+    sides = lambda cols, only: (only.select(F.col("sid").alias(f"{x}_sid"), *(F.col(c).alias(f"{x}_{c}") for c in cols)) for x in "ab")
+
+    def of_pairs(rows: DataFrame, name: str) -> DataFrame:
+        asked = small(stored(rows.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), name))
+        return sets.join(asked, F.col("sid") == F.col("asked"), "left_semi")
+
+    a, b = sides(["n", "bits"], of_pairs(pairs, "asked"))
+    both = pairs.join(a, F.col("a") == F.col("a_sid")).join(b, F.col("b") == F.col("b_sid"))
+    far = F.aggregate(F.zip_with(folded("a_bits", "b_bits"), folded("b_bits", "a_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    close = stored(both.where(far * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b"), "close")
+    a, b = sides(["tokens"], of_pairs(close, "asked"))
+    both = close.join(a, F.col("a") == F.col("a_sid")).join(b, F.col("b") == F.col("b_sid"))
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     return both.where(shared * (den + num) >= (F.size("a_tokens") + F.size("b_tokens")) * num).select("a", "b")
 
