@@ -189,8 +189,9 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     lines, prefixes = table.where("line is not null").select("doc_id", "th", "line", "lid"), table.where("token is not null").select("token", "lid", "n", "pos")
     place = F.struct("doc_id", "line", "th")
     classes = stored(lines.groupBy("lid").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
-    # tokens that two classes have: both sides read one exchange, and AQE may split it
-    members = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr("a.token = b.token AND a.lid <> b.lid"), "left_semi").distinct(), "members")
+    # prefix tokens of classes that another class fits: both sides have the same columns, so they read one exchange, and AQE may split it
+    fits = f"least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num} AND least(a.n - a.pos, b.n - b.pos) * {den + num} >= (a.n + b.n) * {num}"
+    members = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr(f"a.token = b.token AND a.lid <> b.lid AND {fits}"), "left_semi").distinct(), "members")
     near = members.select("lid").distinct()
     firsts = stored(classes.join(near, "lid").select("lid", "first"), "firsts")
     members = stored(members.join(small(firsts), "lid"), "members")
