@@ -39,6 +39,7 @@ def test_groups_of_near_copies(spark):
 def test_stars_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(op, "PAIRS_A_ROW", 0)
     monkeypatch.setattr(op, "MAX_STARS", 2)
+    monkeypatch.setattr(op, "SKETCH_WORDS", -1)
     rows = near_copies(60, 60, 3, 11)
     assert run(spark.createDataFrame(rows, DOCS)) == components([r[:2] for r in rows])
 

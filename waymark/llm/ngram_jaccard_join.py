@@ -37,6 +37,8 @@ from waymark.llm.components import components
 BAND_STEP = 1.6
 #: Pairs of different components that keys may hold for each of their rows before these are drawn together by a star.
 PAIRS_A_ROW = 256
+#: Words of all long sketches of some pairs up to which they are broadcast (32 MB); beyond it the pairs are shuffled to them.
+SKETCH_WORDS = 4_000_000
 #: Orders of the keys by which sets first meet, and stars by which groups of near copies are drawn together before what is left is compared pair by pair.
 STARS, MAX_STARS = 4, 8
 
@@ -194,7 +196,11 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         asked = small(stored(rows.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), name))
         return sets.join(asked, F.col("sid") == F.col("asked"), "left_semi")
 
-    a, b = sides(["n", "bits"], of_pairs(pairs, "asked"))
+    bits = stored(of_pairs(pairs, "asked").select("sid", "n", "bits"), "bits")
+    words = bits.agg(F.sum(F.size("bits"))).first()[0] or 0
+    a, b = sides(["n", "bits"], bits)
+    if words <= SKETCH_WORDS:
+        a, b = F.broadcast(a), F.broadcast(b)
     both = pairs.join(a, F.col("a") == F.col("a_sid")).join(b, F.col("b") == F.col("b_sid"))
     far = F.aggregate(F.zip_with(folded("a_bits", "b_bits"), folded("b_bits", "a_bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     close = stored(both.where(far * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)).select("a", "b"), "close")
