@@ -1,7 +1,7 @@
 """A training-corpus pipeline over ``documents``; each stage is written as Parquet and reread as the next one's input.
 
 1. ``language_id``: documents without a recognised language go (no letter, or a score below MIN_SCORE).
-2. ``near_duplicates``: of each group of near copies (4-word shingles, Jaccard 0.85) one document stays, that with the least id.
+2. ``near_duplicates``: of each group of near copies (5-word shingles, Jaccard 0.8) one document stays, that with the least id.
 3. ``decontamination``: documents that hold a benchmark item go.
 4. ``mixing``: sources are brought to their target weights; a document is repeated as often as the mix takes it.
 5. ``sharding``: each row gets its shard.
@@ -23,6 +23,8 @@ from waymark.llm.sharding import with_shards
 
 #: Least score of a recognised language; clean prose scores near 1.
 MIN_SCORE = 0.3
+#: Words of a shingle, and least similarity of near copies in hundredths. Operator 3's query has its own, 4 and 85.
+SHINGLE_WORDS, SIMILARITY = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null id stay. Of rows that repeat the kept id, those with the least text hash stay as one."""
-    groups = ngram_jaccard_join(docs)
+    groups = ngram_jaccard_join(docs, k=SHINGLE_WORDS, num=SIMILARITY, den=100)
     gone = small(stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     ids = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1")

@@ -25,6 +25,16 @@ def test_one_of_each_group_stays(spark, docs):
     assert kept == sorted(d for d, (_, c) in groups.items() if c == d)
 
 
+def test_near_copies_by_five_words_and_four_fifths(spark, docs):
+    base = [f"w{i}" for i in range(100)]
+    edited = [f"e{w}" if i in (30, 60) else w for i, w in enumerate(base)]  # 0.848 of four words, 0.811 of five
+    extra = spark.createDataFrame([(9001, " ".join(base), "en", "a", 0), (9002, " ".join(edited), "en", "a", 0)], DOCS)
+    both = docs.union(extra)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, both, SF).collect())
+    groups = components([(r["doc_id"], r["text"]) for r in both.collect()], k=5, num=80)
+    assert 9001 in kept and 9002 not in kept and kept == sorted(d for d, (_, c) in groups.items() if c == d)
+
+
 def test_nasty_rows_pass_all_stages(spark, nasty, empty):
     for start in (nasty, empty):
         frame = start
