@@ -79,6 +79,20 @@ def test_leaks_anywhere_in_long_texts_and_edge_items(spark, nasty, empty):
     assert decontamination.contaminations(empty, bench).count() == 0 and decontamination.decontaminate(nasty, bench).count() == nasty.count()
 
 
+def test_edited_and_glued_leaks(spark):
+    item = [f"q{i}" for i in range(15)]
+    edited = [item[:i] + ["other"] + item[i + 1 :] for i in range(15)]
+    glued = [[*item[:-1], item[-1] + ".%%%"], ["((" + item[0], *item[1:]], ["((" + item[0], *item[1:-1], item[-1] + "%"]]
+    parted = [item[:11], item[:11] + ["x", "y", "z"], item[4:11], item[::2], item[::-1]]  # without the answer, or without its order
+    rows = [(i, " ".join(["pad"] * 50 + w + ["end"] * 50), "en", "a", 0) for i, w in enumerate(edited + glued + parted)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "who was the first Ada")], "item_id long, text string")
+    rows += [(100, "they asked who was the first and went on", "en", "a", 0), (101, "they asked who was the first Ada and went on", "en", "a", 0)]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminations(frame, bench).collect()}
+    assert got == {(i, 1) for i in range(18)} | {(101, 2)}
+    assert {r["doc_id"] for r in decontamination.decontaminate(frame, bench).collect()} == {*range(18, 23), 100}
+
+
 # URL filter
 
 
