@@ -218,6 +218,12 @@ def test_constant_notice_without_a_class_is_template(spark):
     assert got[99] == "" and all("Always" not in got[i] and got[i].endswith(f"tail {i}") for i in range(8))
 
 
+def test_titles_of_equal_length_and_start_are_no_template(spark):
+    page = lambda i: f"<body><div><h2>Weekly market report of 2024-01-{i + 10}</h2><p>{' '.join(f'word{i}{j}' for j in range(30))}</p></div></body>"
+    pages = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(8)], "page_id long, url string, html string")
+    assert all(r["text"].startswith(f"Weekly market report of 2024-01-{r['page_id'] + 10}\n\nword") for r in html_extraction.main_texts(pages).collect())
+
+
 def test_pages_against_their_articles(spark):
     import html
     import re

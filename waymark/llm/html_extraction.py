@@ -18,6 +18,7 @@ and stray tags are tolerated; an unclosed comment, script or style runs to the e
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -159,8 +160,8 @@ def tree_of(blocks: list[tuple[tuple[str, ...], str, int]]) -> list:
         at[TEXTS] += 1
         at[CHARS] += len(text)
         at[LINKS] += linked
-        # a constant text is known by a short mark of it
-        mark = f"{len(text)}:{text[:24]}"
+        # a constant text is known by a digest of it
+        mark = hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).hexdigest()
         at[CONST] = mark if at[TEXTS] == 1 else None if at[CONST] != mark else mark
         if at[TEXTS] > 1:
             at[MOST] = 2
