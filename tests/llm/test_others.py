@@ -205,6 +205,25 @@ def test_article_of_single_pages():
     assert html_extraction.extract(plain, None) == "Text of some length here.\n\nAnd more of it 1 < 2."
 
 
+@pytest.mark.parametrize("names", ["content has-sidebar", "layout-sidebar-right", "post no-comments", "sidebar"])
+def test_wrappers_named_after_other_parts(names):
+    inner = "<article><div class='entry-header'><h1>Head</h1><p class=byline>By A B</p></div><p>Text of some length here.</p><div class='related-posts'>More</div></article>"
+    page = f"<body><div class=page><div class='{names}'>{inner}</div><div class='left-sidebar'>Side</div><div class='comments-area'><p>I agree</p></div></div></body>"
+    assert html_extraction.extract(page, None) == "Head\n\nBy A B\n\nText of some length here."
+    plain = f"<body><div class='{names}'><div class='post-header'><h1>Head</h1></div><p>Text of some length here.</p></div><div class='main-nav'>Nav</div></body>"
+    assert html_extraction.extract(plain, None) == "Head\n\nText of some length here."
+
+
+def test_comments_longer_than_the_article_stay_out():
+    page = f"<body><article><h1>Head</h1><p>Short.</p></article><div id=comments>{'<div class=comment><p>I agree with all of this.</p></div>' * 20}</div></body>"
+    assert html_extraction.extract(page, None) == "Head\n\nShort."
+
+
+def test_article_of_links():
+    page = "<body><nav><a href=x>Menu</a></nav><article><p><a href=x>All of this text is a link</a></p><p>and <a href=y>most of this one too</a></p></article></body>"
+    assert html_extraction.extract(page, None) == "All of this text is a link\n\nand most of this one too"
+
+
 def test_wrapper_groups():
     trees = [html_extraction.tree_of(html_extraction.blocks_of(f"<body><div><h2>t{i}</h2><p>a{i}</p>{'<p>b</p>' * i}</div>{'<table><tr><td>x</td></tr></table>' if i else ''}</body>")) for i in range(3)]
     w = html_extraction.align(html_extraction.align(trees[0], trees[1]), trees[2])

@@ -8,8 +8,9 @@ their own pages, and their wrappers (small, whatever the number of pages) are th
 
 The wrapper decides which groups hold the article: the semantic container with the most slot text (``article``, ``main``, a
 content class), else the smallest group that holds nearly all of the text that is neither link nor noise. Groups that are
-navigation, headers, footers, sidebars, notices, adverts, forms or comments by tag or class, and texts that never change
-across a host outside a semantic container, are template. The decision is applied to each page by group path; a page that lacks
+navigation, headers, footers, sidebars, notices, adverts, forms or comments by tag or class name, and texts that never change
+across a host outside a semantic container, are template. A class name counts as a whole (``has-sidebar`` is none), and not at all
+on a group that holds most of the slot text together with an article, main or h1. Text in links weighs less, unless there is no other. The decision is applied to each page by group path; a page that lacks
 the container gets a wrapper of its own.
 
 Cases. A null or empty page, or one without an article text, gives an empty text. Pages without a host share one wrapper. Unclosed
@@ -23,6 +24,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -35,6 +37,7 @@ from waymark.llm.url_filter import host_of
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PIECES = re.compile(r"[a-z]+")
+NOT_NAME = re.compile(r"[^a-z]+")
 
 # HTML elements by their part in a page.
 BLOCKS = frozenset(
@@ -53,13 +56,18 @@ NOISE_NAMES = frozenset(
     "recommended breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget toolbar pagination pager copyright legal skip tags byline".split()
 )
 CONTENT_NAMES = frozenset("content article post entry story main maincontent articlebody body text".split())
+#: Pieces of a class name that say what a page has or how it is laid out, and pieces that only say which part of a noise group it is.
+LAYOUT_PIECES = frozenset("has have is no not with without hide hidden show layout col cols column columns two three".split())
+PART_PIECES = frozenset("area list section wrap wrapper container box block bar panel inner outer top bottom left right item items links link text content primary secondary main posts articles stories entries".split())
+#: Noise names that are parts of an article when they stand in one.
+HEADING_NAMES = frozenset("header byline".split())
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """The tag with its class, id and role words."""
+    """The tag with its class, id and role names, in which runs of other signs than letters are hyphens."""
     if not attrs:
         return tag
-    names = sorted({w for m in NAMES.finditer(attrs) for w in PIECES.findall((m[2] or m[3] or m[4] or "").lower())})
+    names = sorted({w for m in NAMES.finditer(attrs) for x in (m[2] or m[3] or m[4] or "").lower().split() if (w := NOT_NAME.sub("-", x).strip("-"))})
     return f"{tag}.{'.'.join(names)}" if names else tag
 
 
@@ -216,23 +224,62 @@ def expression(at: list) -> str:
     return f"{at[LABEL]}({inner}){'?' if not at[LEAST] else ''}{'+' if at[MOST] > 1 else ''}"
 
 
+@lru_cache(100_000)
+def is_noise_name(name: str, inside: bool) -> bool:
+    """Whether a class name says noise: its last piece does, or its first with only parts after it; ``entry-header`` is an article's."""
+    *before, last = name.split("-")
+    if LAYOUT_PIECES.intersection(before):
+        return False
+    if last in NOISE_NAMES:
+        return not (last in HEADING_NAMES and (inside or CONTENT_NAMES.intersection(before)))
+    return bool(before) and before[0] in NOISE_NAMES and not (inside and before[0] in HEADING_NAMES) and all(p in PART_PIECES or p in NOISE_NAMES for p in (*before[1:], last))
+
+
 def is_noise(label: str, inside: bool) -> bool:
     tag, *names = label.split(".")
     if tag in NOISE_TAGS and not (inside and tag == "header"):
         return True
-    return tag not in ("html", "body", "main", "article") and bool(NOISE_NAMES.intersection(names))
+    return tag not in ("html", "body", "main", "article") and any(is_noise_name(n, inside) for n in names)
+
+
+def slot_text(at: list, linked: int) -> float:
+    """Characters of a group's own texts, those in links ``linked`` times less; a constant text counts a fifth."""
+    own = max(0, at[CHARS] - linked * at[LINKS])
+    return own if at[CONST] is None or at[PAGES] < 3 else 0.2 * own
+
+
+def holders(wrapper: list, linked: int) -> set[tuple[str, ...]]:
+    """Paths of groups that hold most of the slot text and an article, main or h1, none of them below a noise tag."""
+    out: set[tuple[str, ...]] = set()
+    known: dict[tuple[str, ...], tuple[float, bool]] = {}
+
+    def walk(at: list, path: tuple[str, ...]) -> tuple[float, bool]:
+        tag = at[LABEL].split(".")[0]
+        below = [walk(k, (*path, k[LABEL])) for k in at[KIDS] if k[LABEL].split(".")[0] not in NOISE_TAGS]
+        known[path] = slot_text(at, linked) + sum(t for t, _ in below), tag in ("article", "main", "h1") or any(h for _, h in below)
+        return known[path]
+
+    whole, _ = walk(wrapper, ())
+    out.update(p for p, (t, h) in known.items() if h and 2 * t > whole)
+    return out
 
 
 def decision(wrapper: list) -> dict:
-    """``main``: path of the container; ``drop``: paths of template groups in it; ``semantic``: whether the container names itself."""
+    """``main``: path of the container; ``drop``: paths of template groups in it; ``keep``: paths of groups that no name makes noise; ``semantic``: whether the container names itself."""
+    out = decided(wrapper, 2)
+    return out if out["main"] is not None else decided(wrapper, 0)  # all text is in links
+
+
+def decided(wrapper: list, linked: int) -> dict:
+    keep = holders(wrapper, linked)
     found: list[tuple[int, float, int, tuple[str, ...]]] = []  # rank, text, depth, path
     weight: dict[tuple[str, ...], float] = {}
 
     def walk(at: list, path: tuple[str, ...], inside: bool) -> float:
-        own = max(0, at[CHARS] - 2 * at[LINKS]) if at[CONST] is None or at[PAGES] < 3 else 0.2 * max(0, at[CHARS] - 2 * at[LINKS])
-        tag, *names = at[LABEL].split(".") if at[LABEL] else ("",)
+        tag = at[LABEL].split(".")[0]
+        names = PIECES.findall(at[LABEL])[1:]
         semantic = 3 if tag == "article" else 2 if tag == "main" or "main" in names and tag == "div" else 1 if CONTENT_NAMES.intersection(names) and tag in ("div", "section", "td") else 0
-        total = own + sum(walk(k, (*path, k[LABEL]), inside or semantic > 1) for k in at[KIDS] if not is_noise(k[LABEL], inside or semantic > 1))
+        total = slot_text(at, linked) + sum(walk(k, (*path, k[LABEL]), inside or semantic > 1) for k in at[KIDS] if (*path, k[LABEL]) in keep or not is_noise(k[LABEL], inside or semantic > 1))
         weight[path] = total
         if total and (semantic or tag in ("", "html", "body", "div", "section", "td", "main", "center")):
             found.append((semantic, total, len(path), path))
@@ -240,11 +287,11 @@ def decision(wrapper: list) -> dict:
 
     whole = walk(wrapper, (), False)
     if not whole:
-        return {"main": None, "semantic": False, "drop": []}
+        return {"main": None, "semantic": False, "drop": [], "keep": []}
     named = [f for f in found if f[0] and f[1] >= 0.2 * whole]
     if named:
         best = max(named, key=lambda f: (f[0], f[1], -f[2]))
-        return {"main": list(best[3]), "semantic": True, "drop": []}
+        return {"main": list(best[3]), "semantic": True, "drop": [], "keep": sorted(map(list, keep))}
     best = max((f for f in found if f[1] >= 0.9 * whole), key=lambda f: (f[2], f[1]))
     drop: list[list[str]] = []
 
@@ -255,7 +302,7 @@ def decision(wrapper: list) -> dict:
             constant(k, (*path, k[LABEL]))
 
     constant(wrapper, ())
-    return {"main": list(best[3]), "semantic": False, "drop": drop}
+    return {"main": list(best[3]), "semantic": False, "drop": drop, "keep": sorted(map(list, keep))}
 
 
 def main_text(blocks: list[tuple[tuple[str, ...], str, int]], rule: dict) -> str:
@@ -263,12 +310,12 @@ def main_text(blocks: list[tuple[tuple[str, ...], str, int]], rule: dict) -> str
     if rule["main"] is None:
         return ""
     main = tuple(rule["main"])
-    drop = {tuple(p) for p in rule["drop"]}
+    drop, kept = {tuple(p) for p in rule["drop"]}, {tuple(p) for p in rule["keep"]}
     n = len(main)
     keep = []
     for path, text, _ in blocks:
         if path[:n] == main and path not in drop:
-            if not any(is_noise(label, rule["semantic"] and i >= n) for i, label in enumerate(path)):
+            if not any(is_noise(path[i], rule["semantic"]) and path[: i + 1] not in kept for i in range(n, len(path))):
                 keep.append(text)
     return "\n\n".join(keep)
 
