@@ -191,6 +191,38 @@ def test_mix_cases(spark, nasty, empty):
     assert mixing.mixed(nasty.withColumnRenamed("lang", "p").withColumnRenamed("n_chars", "step")).count() >= 0
 
 
+def greedy(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """{doc_id: words taken}, stepping over what does not fit, then the nearest one."""
+    import hashlib
+
+    sizes, own, out = defaultdict(int), defaultdict(list), {}
+    for d, t, s in rows:
+        u = (int(hashlib.md5(f"mix-{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        own[s].append((u, d, len(words(t))))
+        sizes[s] += len(words(t))
+    for s, target in fill(sizes, weights, share, cap).items():
+        whole = math.floor(target / sizes[s])
+        left, spare = target - whole * sizes[s], []
+        for u, d, n in sorted(own[s]):
+            out[d] = whole * n
+            if left > 0 and n <= left:
+                left, out[d] = left - n, (whole + 1) * n
+            else:
+                spare.append((abs(n - left), u, d, n))
+        if close := [x for x in spare if x[3] < 2 * left]:
+            out[min(close)[2]] += min(close)[3]
+    return out
+
+
+def test_filled_mix_steps_over_what_does_not_fit(spark, docs):
+    huge = docs.union(spark.createDataFrame([(9000 + i, "word " * n, "en", "src5", 0) for i, n in enumerate((9000, 3000, 1500))], DOCS))
+    for table in (docs, huge):
+        want = greedy([tuple(r) for r in table.select("doc_id", "text", "source").collect()])
+        assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(table, fill=True).collect()} == want
+    got = mixing.mixed(docs, fill=True).select("source", mixing.words_of(mixing.F.col("text")).alias("n")).where("source = 'src10'").agg(mixing.F.sum("n")).first()[0]
+    assert got == 1649 + 16 + 47 + 443 + 350  # of 2864; the one left has 2770
+
+
 # HTML
 
 

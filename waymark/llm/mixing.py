@@ -7,7 +7,9 @@ ordering the sources by the level at which they fill up).
 Sample. With rate r = target / words of a source, each of its documents gets floor(r) whole copies for certain. The
 rest, r - floor(r), is the document's inclusion probability p for one more copy. Documents are ranked by their random odds
 divided by their inclusion odds, (u / (1 - u)) / (p / (1 - p)) with u from a hash of the id, and taken from the least up while the
-words fit the source's budget. One more document, the one whose size is nearest to what is left, closes the gap.
+words fit the source's budget. With ``fill`` a document that does not fit is stepped over, and later ones that fit are taken until
+none does; without it, as in the query's SQL, the first that does not fit ends the order. One more document, the one whose size is
+nearest to what is left, closes the gap.
 
 Scale. Ranks are not sorted as a whole: words are summed by source and 4,096 intervals of the rank, the interval in which the
 budget ends is found from these sums, and only its rows are sorted. So a source with a third of all rows is never one task's.
@@ -61,7 +63,47 @@ def rank_of(u: Column, p: Column) -> Column:
     return F.when(p > 0, x / (1 + x)).otherwise(1.0)
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int], share: float, cap: float) -> tuple[DataFrame, DataFrame]:
+def within(span: Column, at: Column, size: Column) -> Column:
+    """Whether a row at place ``at`` of the order lies in a span: after its start, before the document that blocks it, and of a size that fits."""
+    return (span["after"].isNull() | (at > span["after"])) & (span["block"].isNull() | (at < span["block"])) & (span["most"].isNull() | (size <= span["most"]))
+
+
+def spans_of(ranked: DataFrame, budgets: DataFrame, fill: bool) -> DataFrame:
+    """``(of, left, spans)`` by source: the spans of the order that are taken, and what they leave of the budget.
+
+    A span ends at the first document that does not fit. With ``fill`` that one is stepped over, and a span of the documents that
+    fit what is left follows, until none does.
+    """
+    at = F.struct("rank", "u", "doc_id", "size")
+    place = ranked.select(at.alias("at")).schema["at"].dataType.simpleString()
+    state = stored(budgets.select("of", F.col("budget").alias("left"), F.expr(f"CAST(NULL AS {place})").alias("after"), F.expr(f"CAST(array() AS array<struct<after:{place},block:{place},most:double>>)").alias("spans"), F.lit(True).alias("open")), "spans")
+    first = True
+    while True:
+        rows = ranked.join(small(state.where("open").select("of", "left", "after")), F.col("source").eqNullSafe(F.col("of")))
+        if not first:
+            rows = rows.where((at > F.col("after")) & (F.col("size") <= F.col("left")))
+        step = F.least(F.lit(INTERVALS - 1), F.floor(F.col("rank") * INTERVALS))
+        sums = rows.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("step")))
+        over = F.when(F.col("upto") > F.col("left"), F.struct("step", (F.col("upto") - F.col("words")).alias("before")))
+        ends = sums.groupBy("source").agg(F.min(over).alias("e"), F.max("upto").alias("total"))
+        ends = stored(ends.select(F.col("source").alias("end_of"), "e.step", "e.before", "total"), "ends")
+        inside = rows.join(small(ends.where("step is not null").drop("total")), F.col("source").eqNullSafe(F.col("end_of")) & (step == F.col("step")))
+        inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size")))
+        blocks = inside.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), at)).alias("block"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.min("before")).alias("taken"))
+        blocks = stored(blocks.select(F.col("source").alias("block_of"), "block", "taken"), "blocks")
+        found = ends.join(small(blocks), F.col("end_of").eqNullSafe(F.col("block_of")), "left").select("end_of", "block", F.coalesce("taken", "total").alias("taken"))
+        most = F.lit(None).cast("double") if first else F.col("left")
+        span = F.struct("after", "block", most.alias("most"))
+        state = state.join(small(found), F.col("of").eqNullSafe(F.col("end_of")), "left")
+        spans = F.when(F.col("open") & F.col("taken").isNotNull(), F.concat("spans", F.array(span))).otherwise(F.col("spans"))
+        state = stored(state.select("of", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), F.col("block").alias("after"), spans.alias("spans"), F.col("block").isNotNull().alias("open")), "spans")
+        if not fill or state.where("open").isEmpty():
+            return state.select("of", "left", "spans")
+        first = False
+
+
+def mix_plan(docs: DataFrame, weights: Sequence[int], share: float, cap: float, fill: bool) -> tuple[DataFrame, DataFrame]:
     """The narrow table ``(doc_id, source, size, u)`` and the plan, a row a source; both stored."""
     rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size")), "sizes")
     sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
@@ -69,52 +111,37 @@ def mix_plan(docs: DataFrame, weights: Sequence[int], share: float, cap: float)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
     goal = goal.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.col("whole")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
     goal = stored(goal, "targets")
-    known = goal.select(F.col("source").alias("of"), "p", "budget")
-    ranked = rows.where("size > 0").join(small(known), F.col("source").eqNullSafe(F.col("of"))).where("p > 0").withColumn("u", random_of(F.col("doc_id")))
-    ranked = ranked.withColumn("rank", rank_of(F.col("u"), F.col("p")))
-    step = F.least(F.lit(INTERVALS - 1), F.floor(F.col("rank") * INTERVALS))
-    sums = ranked.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words"), F.first("budget").alias("budget"))
-    running = Window.partitionBy("source").orderBy("step")
-    sums = sums.withColumn("upto", F.sum("words").over(running))
-    ends = sums.where("upto > budget").groupBy("source").agg(F.min(F.struct("step", (F.col("upto") - F.col("words")).alias("before"))).alias("e"))
-    ends = stored(ends.select(F.col("source").alias("end_of"), "e.step", "e.before"), "ends")
-    at = F.struct("rank", "u", "doc_id", "size")
-    inside = ranked.join(small(ends), F.col("source").eqNullSafe(F.col("end_of")) & (step == F.col("step")))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size"))
-    taken = inside.withColumn("upto", upto).where("upto <= budget").groupBy("source").agg(F.max(at).alias("cut"), F.max("upto").alias("taken"))
-    taken = stored(taken.select(F.col("source").alias("cut_of"), "cut", "taken"), "cuts")
-    cuts = ends.join(small(taken), F.col("end_of").eqNullSafe(F.col("cut_of")), "left").select("end_of", "step", F.col("cut"), F.coalesce("taken", "before").alias("taken"))
-    cuts = stored(cuts, "cuts")
+    known = goal.select(F.col("source").alias("p_of"), "p")
+    ranked = rows.where("size > 0").join(small(known), F.col("source").eqNullSafe(F.col("p_of"))).where("p > 0").withColumn("u", random_of(F.col("doc_id")))
+    ranked = ranked.select("doc_id", "source", "size", "u", rank_of(F.col("u"), F.col("p")).alias("rank"))
+    spans = spans_of(ranked, goal.select(F.col("source").alias("of"), "budget"), fill)
     # the document that closes the gap, from those not taken
-    out = ranked.join(small(cuts), F.col("source").eqNullSafe(F.col("end_of"))).where((step > F.col("step")) | ((step == F.col("step")) & (F.col("cut").isNull() | (at > F.col("cut")))))
-    gap = F.col("budget") - F.col("taken")
-    close = out.where((F.col("size") < 2 * gap)).groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "rank", "u", "doc_id", "size")).alias("c"))
+    at, gap = F.struct("rank", "u", "doc_id", "size"), F.col("left")
+    out = ranked.join(small(spans), F.col("source").eqNullSafe(F.col("of"))).where((F.col("size") < 2 * gap) & ~F.exists("spans", lambda s: within(s, at, F.col("size"))))
+    close = out.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "rank", "u", "doc_id", "size")).alias("c"))
     close = stored(close.select(F.col("source").alias("close_of"), F.struct("c.rank", "c.u", "c.doc_id", "c.size").alias("close")), "closings")
-    plan = goal.join(small(cuts), F.col("source").eqNullSafe(F.col("end_of")), "left").join(small(close), F.col("source").eqNullSafe(F.col("close_of")), "left")
-    return rows, stored(plan.select(F.col("source").alias("plan_of"), "source_size", "target", "whole", "p", "end_of", "step", "cut", "close"), "plan")
+    plan = goal.join(small(spans), F.col("source").eqNullSafe(F.col("of")), "left").join(small(close), F.col("source").eqNullSafe(F.col("close_of")), "left")
+    return rows, stored(plan.select(F.col("source").alias("plan_of"), "source_size", "target", "whole", "p", "spans", "close"), "plan")
 
 
 def copies_of(doc_id: Column, size: Column, plan: Callable[[str], Column]) -> Column:
     """Copies that a row takes, from its line of the plan."""
     doc_id, u = doc_id.cast("long"), random_of(doc_id.cast("long"))
-    rank = rank_of(u, plan("p"))
-    at = F.struct(rank.alias("rank"), u.alias("u"), doc_id.alias("doc_id"), size.alias("size"))
-    step = F.least(F.lit(INTERVALS - 1), F.floor(rank * INTERVALS))
-    below = (step < plan("step")) | ((step == plan("step")) & (at <= plan("cut")))
-    more = (plan("p") > 0) & (plan("step").isNull() | F.coalesce(below, F.lit(False)) | (plan("close").isNotNull() & at.eqNullSafe(plan("close"))))
+    at = F.struct(rank_of(u, plan("p")).alias("rank"), u.alias("u"), doc_id.alias("doc_id"), size.alias("size"))
+    more = (plan("p") > 0) & (F.exists(plan("spans"), lambda s: within(s, at, size)) | (plan("close").isNotNull() & at.eqNullSafe(plan("close"))))
     return F.when(size > 0, plan("whole") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("int")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fill: bool = False) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs(doc_id, text, source)``."""
-    rows, plan = mix_plan(docs, weights, share, cap)
+    rows, plan = mix_plan(docs, weights, share, cap, fill)
     planned = rows.join(small(plan), F.col("source").eqNullSafe(F.col("plan_of")))
     return planned.select("doc_id", "size", "source_size", "target", (copies_of(F.col("doc_id"), F.col("size"), F.col) * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fill: bool = False) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    _, plan = mix_plan(docs, weights, share, cap)
+    _, plan = mix_plan(docs, weights, share, cap, fill)
     line, times = free_name(docs, "mix_plan"), free_name(docs, "mix_times")
     lines = small(plan).select(F.struct("*").alias(line))
     planned = docs.join(lines, docs["source"].cast("string").eqNullSafe(F.col(f"{line}.plan_of")))
