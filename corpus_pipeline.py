@@ -18,7 +18,7 @@ from waymark.llm.common import scratch_root, small, stored, table
 from waymark.llm.decontamination import decontaminate
 from waymark.llm.language_id import fit, held_out, identify
 from waymark.llm.mixing import mixed
-from waymark.llm.ngram_jaccard_join import ngram_jaccard_join
+from waymark.llm.ngram_jaccard_join import mark_of, row_components
 from waymark.llm.sharding import with_shards
 
 #: Least score of a recognised language; clean prose scores near 1.
@@ -35,19 +35,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a null id stay. Of rows that repeat the kept id, those with the least text hash stay as one."""
-    groups = ngram_jaccard_join(docs, k=SHINGLE_WORDS, num=SIMILARITY, den=100)
-    gone = small(stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    ids = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1")
+    """Rows with a null id stay. Of a group's rows that repeat the kept id, that with the least text hash stays; other groups' rows of that id are not touched."""
+    groups = row_components(docs, SHINGLE_WORDS, SIMILARITY, 100)
+    mark = mark_of(docs["text"])
+    gone = small(stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct(), "gone"))
+    kept = docs.join(gone, (docs["doc_id"] == gone["gone"]) & (mark == gone["gone_mark"]), "left_anti")
+    least = groups.where("doc_id = component_id")
+    ids = least.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1")
     twice = stored(ids.select("twice"), "twice")
     if twice.isEmpty():
         return kept
-    twice = small(twice)
-    again = kept.join(twice, kept["doc_id"] == twice["twice"], "left_semi")
-    once = kept.join(twice, kept["doc_id"] == twice["twice"], "left_anti")
-    # one of the rows of an id, by an aggregate that combines before the shuffle
-    one = again.groupBy(F.col("doc_id").alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("_row"))
+    # the groups that each text of a repeated id is in; an empty text's is 0
+    twice = small(stored(least.join(small(twice), F.col("doc_id") == F.col("twice")).select("twice", F.col("mark").alias("twice_mark"), F.coalesce("label", F.lit(0)).alias("twice_label")).distinct(), "twice"))
+    same = (kept["doc_id"] == twice["twice"]) & (mark == twice["twice_mark"])
+    again = kept.join(twice, same).select(F.col("twice"), F.col("twice_label"), F.struct(*(kept[c] for c in docs.columns)).alias("_row"), mark.alias("_mark"))
+    once = kept.join(twice, same, "left_anti")
+    # one of the rows of an id and group, by an aggregate that combines before the shuffle
+    one = again.groupBy("twice", "twice_label").agg(F.min_by("_row", "_mark").alias("_row"))
     return once.union(one.select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns)))
 
 

@@ -35,6 +35,14 @@ def test_near_copies_by_five_words_and_four_fifths(spark, docs):
     assert 9001 in kept and 9002 not in kept and kept == sorted(d for d, (_, c) in groups.items() if c == d)
 
 
+def test_only_linked_texts_of_a_repeated_id_go(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (1, ""), (2, b), (2, c), (3, d), (3, d), (4, a + " z"), (4, c), (5, None)]
+    frame = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = sorted((r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, frame, SF).collect())
+    assert got == [(1, ""), (1, a), (1, b), (2, c), (3, d), (5, "")]
+
+
 def test_nasty_rows_pass_all_stages(spark, nasty, empty):
     for start in (nasty, empty):
         frame = start

@@ -111,9 +111,14 @@ def tokens_at(tokens: np.ndarray, sizes: np.ndarray, keep: np.ndarray) -> np.nda
     return tokens[np.repeat(keep, sizes)]
 
 
+def mark_of(text: Column) -> Column:
+    """By which a row is known beside its id, where ids are repeated."""
+    return F.xxhash64(text.cast("string"))
+
+
 def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Two kinds of rows: ``(doc_id, n, sid)`` of every row (``sid`` null for an empty set), and ``(sid, key)``, each set's part keys once in a task."""
-    names = ["doc_id", "n", "sid", "key"]
+    """Two kinds of rows: ``(doc_id, n, sid, mark)`` of every row (``sid`` null for an empty set), and ``(sid, key)``, each set's part keys once in a task."""
+    names = ["doc_id", "n", "sid", "key", "mark"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -129,10 +134,10 @@ def set_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     for s in range(0, len(keys), 100_000):
                         part = keys[s : s + 100_000]
                         empty = pa.nulls(len(part), pa.int64())
-                        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(ids[keep][of[s : s + 100_000]]), pa.array(part)], names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.nulls(batch.num_rows, pa.int64())], names)
+                        yield pa.RecordBatch.from_arrays([empty, empty, pa.array(ids[keep][of[s : s + 100_000]]), pa.array(part), empty], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sid, mask=n == 0), pa.nulls(batch.num_rows, pa.int64()), batch.column(2)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, key long")
+    return docs.select("doc_id", "text", mark_of(F.col("text")).alias("mark")).mapInArrow(run, "doc_id long, n long, sid long, key long, mark long")
 
 
 def token_table(docs: DataFrame, k: int) -> DataFrame:
@@ -269,9 +274,14 @@ def linked(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs(doc_id, text)``; see the module's text."""
+    return row_components(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def row_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The same with ``mark``, the text's, and ``label``, which tells components apart whose least ids are equal (null for an empty set)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     both = stored(set_table(docs, k, num, den), "sets")
-    table, keys = both.where("key is null").select("doc_id", "n", "sid"), both.where("key is not null").select("key", "sid")
+    table, keys = both.where("key is null").select("doc_id", "n", "sid", "mark"), both.where("key is not null").select("key", "sid")
     # keys that two sets have: both sides read one exchange, and AQE may split it
     members = stored(keys.alias("a").join(keys.alias("b"), F.expr("a.key = b.key AND a.sid <> b.sid"), "left_semi"), "members")
     known = F.col("sid").isNotNull() & F.col("doc_id").isNotNull()
@@ -281,10 +291,10 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     sets = stored(token_table(docs.join(chosen, "doc_id").select("sid", "text"), k).dropDuplicates(["sid"]), "tokens")
     named = linked(members, sets, num, den).join(first, "sid")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    linked_to = named.join(least, "label").select("sid", "component_id")
+    linked_to = named.join(least, "label").select("sid", "component_id", "label")
     # a set that one row has and that links with no other needs no entry
     classes = first.join(linked_to, "sid", "left").where("copies > 1 or component_id is not null")
-    classes = small(stored(classes.select("sid", F.coalesce("component_id", "rep").alias("component_id")), "components"))
-    alone = table.where(~known).select("doc_id", "n", F.when(F.col("sid").isNull(), F.col("doc_id")).alias("component_id"))
-    rest = table.where(known).join(classes, "sid", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return rest.union(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = small(stored(classes.select("sid", F.coalesce("component_id", "rep").alias("component_id"), "label"), "components"))
+    alone = table.where(~known).select("doc_id", "n", F.when(F.col("sid").isNull(), F.col("doc_id")).alias("component_id"), "mark", F.col("sid").alias("label"))
+    rest = table.where(known).join(classes, "sid", "left").select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "mark", F.coalesce("label", "sid").alias("label"))
+    return rest.union(alone).withColumnRenamed("n", "n_shingles")
