@@ -6,7 +6,7 @@ import math
 
 import duckdb
 import pytest
-from conftest import SF
+from driver_tables import SF
 
 from waymark.plans.catalogue import ORACLES, QUERIES
 
