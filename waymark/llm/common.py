@@ -24,6 +24,51 @@ def scratch_root(spark: SparkSession) -> str:
     return f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's own file systems; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Scratch tables of one run. Each is deleted as soon as it is done with; at the end, and on failure, all that are not kept.
+
+    A table that a returned frame still reads is kept (``keep``): the frame is lazy, so its caller reads it later.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*[df for df, _ in self.paths.values()])
+
+    def store(self, df: DataFrame, name: str = "t") -> DataFrame:
+        """Write ``df`` as Parquet in the shared folder and read it back; this cuts lineage, so a lost executor costs only a reread."""
+        path = f"{scratch_root(self.spark)}/{name}-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(path)
+        except Exception:
+            remove(self.spark, path)
+            raise
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)  # the frame is held, so its id stays its own
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.paths.pop(id(df), None)
+        return df
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            _, path = self.paths.pop(id(t), (None, None))
+            if path:
+                remove(self.spark, path)
+
+
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import small, stored
+from waymark.llm.common import Scratch, small
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(sid, label)`` for every end of ``edges(a, b)``: the least id that it reaches.
 
     Rounds of two joins, each stored: a node takes the least label among its neighbours, then the label of its label.
@@ -16,17 +16,15 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. Loops and repeated edges change nothing; an empty table gives an empty one.
     """
     arcs = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
-    both = stored(arcs, "arcs")
-    parts = max(12, both.count() // 500_000)
-    keep = lambda df: stored(df.coalesce(parts), "labels")
-    both = keep(both)
-    labels = keep(both.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("m")).select("sid", F.least("sid", "m").alias("label")))
+    both = scratch.store(arcs, "arcs")
+    labels = scratch.store(both.groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("m")).select("sid", F.least("sid", "m").alias("label"), F.lit(-1).cast("long").alias("old")), "labels")
     while True:
-        near = both.join(small(labels), both["b"] == labels["sid"]).groupBy("a").agg(F.min("label").alias("m"))
-        hooked = labels.join(near, labels["sid"] == near["a"]).select("sid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        near = both.join(small(labels.select("sid", "label")), both["b"] == F.col("sid")).groupBy("a").agg(F.min("label").alias("m"))
+        hooked = labels.drop("old").join(near, F.col("sid") == F.col("a")).select("sid", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         up = small(labels.select(F.col("sid").alias("up"), F.col("label").alias("upper")))
-        jumped = hooked.join(up, hooked["label"] == up["up"], "left").select("sid", "old", F.least("label", F.coalesce("upper", "label")).alias("label"))
-        jumped = keep(jumped)
-        labels = jumped.select("sid", "label")
-        if jumped.where("label <> old").isEmpty():
-            return labels
+        jumped = hooked.join(up, hooked["label"] == up["up"], "left").select("sid", F.least("label", F.coalesce("upper", "label")).alias("label"), "old")
+        last, labels = labels, scratch.store(jumped, "labels")
+        scratch.drop(last)
+        if labels.where("label <> old").isEmpty():
+            scratch.drop(both)
+            return labels.select("sid", "label")
