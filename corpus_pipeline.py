@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import scratch_root, small, stored, table
+from waymark.llm.common import Scratch, remove, scratch_root, small, table
 from waymark.llm.decontamination import decontaminate
 from waymark.llm.language_id import fit, held_out, identify
 from waymark.llm.mixing import mixed
@@ -38,15 +38,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Rows with a null id stay. Of a group's rows that repeat the kept id, that with the least text hash stays; other groups' rows of that id are not touched."""
     groups = row_components(docs, SHINGLE_WORDS, SIMILARITY, 100)
     mark = mark_of(docs["text"])
-    gone = small(stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct(), "gone"))
-    kept = docs.join(gone, (docs["doc_id"] == gone["gone"]) & (mark == gone["gone_mark"]), "left_anti")
-    least = groups.where("doc_id = component_id")
-    ids = least.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1")
-    twice = stored(ids.select("twice"), "twice")
-    if twice.isEmpty():
-        return kept
-    # the groups that each text of a repeated id is in; an empty text's is 0
-    twice = small(stored(least.join(small(twice), F.col("doc_id") == F.col("twice")).select("twice", F.col("mark").alias("twice_mark"), F.coalesce("label", F.lit(0)).alias("twice_label")).distinct(), "twice"))
+    with Scratch(spark) as scratch:
+        gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"), F.col("mark").alias("gone_mark")).distinct()
+        gone = small(scratch.keep(scratch.store(gone, "gone")))
+        kept = docs.join(gone, (docs["doc_id"] == gone["gone"]) & (mark == gone["gone_mark"]), "left_anti")
+        least = groups.where("doc_id = component_id")
+        ids = least.groupBy(F.col("doc_id").alias("twice")).agg(F.count("*").alias("rows")).where("rows > 1")
+        ids = scratch.store(ids.select("twice"), "ids")
+        if ids.isEmpty():
+            return kept
+        # the groups that each text of a repeated id is in; an empty text's is 0
+        twice = least.join(small(ids), F.col("doc_id") == F.col("twice")).select("twice", F.col("mark").alias("twice_mark"), F.coalesce("label", F.lit(0)).alias("twice_label")).distinct()
+        twice = small(scratch.keep(scratch.store(twice, "twice")))
     same = (kept["doc_id"] == twice["twice"]) & (mark == twice["twice_mark"])
     again = kept.join(twice, same).select(F.col("twice"), F.col("twice_label"), F.struct(*(kept[c] for c in docs.columns)).alias("_row"), mark.alias("_mark"))
     once = kept.join(twice, same, "left_anti")
@@ -80,9 +83,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; the tables of the others are deleted once the next stage is written, and all on failure."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = f"{scratch_root(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        try:
+            stage(spark, docs, sf_dir).write.parquet(path)
+        except Exception:
+            remove(spark, path)
+            raise
+        finally:
+            if last:
+                remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
