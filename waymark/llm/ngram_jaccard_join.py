@@ -46,11 +46,11 @@ LARGEST = 1 << 36
 #: Keys of one partition, on average, and of one packed chunk.
 KEYS_A_PARTITION, KEYS_A_CHUNK = 2_000_000, 1_000_000
 #: Pairs of different components that keys may hold for each of their rows before these are drawn together by a star.
-PAIRS_A_ROW = 8
+PAIRS_A_ROW = 16
 #: Words of all long sketches of some pairs up to which they are broadcast (32 MB); beyond it the pairs are shuffled to them.
 SKETCH_WORDS = 4_000_000
 #: Orders of the keys by which sets first meet, and stars by which groups of near copies are drawn together before what is left is compared pair by pair.
-STARS, MAX_STARS = 4, 8
+STARS, MAX_STARS = 4, 2
 
 
 def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -379,8 +379,9 @@ def linked(near: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: in
         left = known.select(F.explode("keys").alias("key"), "sid", "label", *SKETCH)
         if gone is not None:  # pivots that have met all sets of their key
             left = left.join(gone, ["key", "sid"], "left_anti")
-        groups = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct("sid", *SKETCH)).alias("least"))
-        sums = groups.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("labels"), F.min(F.struct("c", "least")).getField("least").alias("p"))
+        # a key's pivot is drawn by a hash of both, so a set meets another pivot at each of its keys
+        groups = left.groupBy("key", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("sid", "key").alias("h"), "sid", "label", *SKETCH)).alias("least"))
+        sums = groups.groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count("*").alias("labels"), F.min("least").alias("p"))
         open_ = scratch.store(sums.where("labels > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("pairs"), "p"), "open")
         total = open_.agg(F.sum("pairs"), F.sum("m")).first()
         if not total[1]:
@@ -392,13 +393,11 @@ def linked(near: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: in
             pairs = now.join(other, "key").where((F.col("label") < F.col("other_label")) & may_link("", "o_", num, den)).select(*pair())
         else:
             now = left.join(small(open_.select("key", "p")), "key")
-            pairs = now.where((F.col("sid") != F.col("p.sid")) & may_link("", "p.", num, den)).withColumn("other", F.col("p.sid")).select(*pair())
+            pairs = now.where((F.col("label") != F.col("p.label")) & may_link("", "p.", num, den)).withColumn("other", F.col("p.sid")).select(*pair())
         found = verified(pairs.distinct(), sets, scratch, num, den)
         if not found.isEmpty():
-            old, edges = (edges, labels), scratch.store(edges.union(found), "edges")
+            edges = edges.union(found)
             labels = components(edges, scratch)
-            scratch.drop(*old)
-        scratch.drop(found)
         if last:
             break
         met = open_.select("key", F.col("p.sid").alias("sid"))
