@@ -191,36 +191,58 @@ def test_mix_cases(spark, nasty, empty):
     assert mixing.mixed(nasty.withColumnRenamed("lang", "p").withColumnRenamed("n_chars", "step")).count() >= 0
 
 
-def greedy(rows, weights=(5, 2, 1), share=1.5, cap=2.0):
-    """{doc_id: words taken}, stepping over what does not fit, then the nearest one."""
+def pareto(rows, seed="mix", weights=(5, 2, 1), share=1.5, cap=2.0):
+    """({doc_id: words taken}, {doc_id: inclusion probability}) by a plain loop over sources and layers."""
     import hashlib
 
-    sizes, own, out = defaultdict(int), defaultdict(list), {}
+    draw = lambda x: (int(hashlib.md5(f"{seed}-{x}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    sizes, own, out, chance = defaultdict(int), defaultdict(lambda: defaultdict(list)), {}, {}
     for d, t, s in rows:
-        u = (int(hashlib.md5(f"mix-{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        own[s].append((u, d, len(words(t))))
-        sizes[s] += len(words(t))
+        n = len(words(t))
+        sizes[s] += n
+        out[d] = 0
+        if n:
+            e = n.bit_length() - 1
+            own[s][e, (n * 4 >> e) % 4].append((d, n))
     for s, target in fill(sizes, weights, share, cap).items():
-        whole = math.floor(target / sizes[s])
-        left, spare = target - whole * sizes[s], []
-        for u, d, n in sorted(own[s]):
-            out[d] = whole * n
-            if left > 0 and n <= left:
-                left, out[d] = left - n, (whole + 1) * n
-            else:
-                spare.append((abs(n - left), u, d, n))
-        if close := [x for x in spare if x[3] < 2 * left]:
-            out[min(close)[2]] += min(close)[3]
-    return out
-
-
-def test_filled_mix_steps_over_what_does_not_fit(spark, docs):
-    huge = docs.union(spark.createDataFrame([(9000 + i, "word " * n, "en", "src5", 0) for i, n in enumerate((9000, 3000, 1500))], DOCS))
-    for table in (docs, huge):
-        want = greedy([tuple(r) for r in table.select("doc_id", "text", "source").collect()])
-        assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(table, fill=True).collect()} == want
-    got = mixing.mixed(docs, fill=True).select("source", mixing.words_of(mixing.F.col("text")).alias("n")).where("source = 'src10'").agg(mixing.F.sum("n")).first()[0]
-    assert got == 1649 + 16 + 47 + 443 + 350  # of 2864; the one left has 2770
+        if not sizes[s]:
+            continue
+        whole, cum, expected, start = math.floor(target / sizes[s]), 0.0, 0.0, draw(f"source-{s}" if s is not None else "source-null")
+        p = target / sizes[s] - whole
+        for _, layer in sorted(own[s].items(), reverse=True):
+            many, total = len(layer), float(sum(n for _, n in layer))
+            ends = min(n for _, n in layer) + max(n for _, n in layer)
+            cum += total
+            k = max(0, min(many, math.floor((p * cum - expected) * many / total + start)))
+            pi = {d: k * n / total if 2 * k <= many else 1 - (many - k) * (ends - n) / (many * ends - total) for d, n in layer}
+            expected += sum(pi[d] * n for d, n in layer)
+            ranked = layer if k in (0, many) else sorted(layer, key=lambda x: draw(x[0]) / (1 - draw(x[0])) / (pi[x[0]] / (1 - pi[x[0]])))
+            for i, (d, n) in enumerate(ranked):
+                out[d], chance[d] = (whole + (i < k)) * n, pi[d]
+    return out, chance
+
+
+def test_mix_is_a_pareto_sample(spark, docs):
+    huge = docs.union(spark.createDataFrame([(9000 + i, "word " * n, "en", "src5", 0) for i, n in enumerate((9000, 3000, 1500))] + [(9500 + i, "w " * (40 + i % 9), "en", None, 0) for i in range(300)], DOCS))
+    for table, seed in ((docs, "mix"), (huge, "mix"), (huge, "again")):
+        want, _ = pareto([tuple(r) for r in table.select("doc_id", "text", "source").collect()], seed)
+        assert {r["doc_id"]: r["taken"] for r in mixing.mix_sources(table, seed=seed).collect()} == want
+
+
+def test_inclusion_frequencies_over_many_seeds():
+    """The twin's inclusions agree with its probabilities, which differ by document and sum to the layer's number."""
+    rows = [(i, "w " * n, "a" if i % 2 else "b") for i, n in enumerate([33, 35, 36, 38, 39] * 12 + [65, 70, 75, 79] * 6 + [300, 5, 2])]
+    seen, want, times = defaultdict(float), defaultdict(float), 1000
+    whole = {s: math.floor(t / sum(len(words(x)) for _, x, y in rows if y == s)) for s, t in fill({s: sum(len(words(x)) for _, x, y in rows if y == s) for s in "ab"}, (5, 2, 1), 1.5, 2.0).items()}
+    for i in range(times):
+        taken, chance = pareto(rows, f"s{i}")
+        for d, t, s in rows:
+            seen[d] += taken[d] / len(words(t)) - whole[s]
+            want[d] += chance[d]
+    assert len({round(x, 1) for x in want.values()}) > 5
+    for d in want:
+        p = want[d] / times
+        assert abs(seen[d] / times - p) < 4.5 * math.sqrt(max(p * (1 - p), 1e-3) / times) + 0.01
 
 
 # HTML

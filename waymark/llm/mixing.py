@@ -4,29 +4,31 @@ Targets. Sources, by code point with null last, have weights that repeat a cycle
 source gets more than ``cap`` times its words: what is over goes to the others by weight until none is above (solved at once by
 ordering the sources by the level at which they fill up).
 
-Sample. With rate r = target / words of a source, each of its documents gets floor(r) whole copies for certain. The
-rest, r - floor(r), is the document's inclusion probability p for one more copy. Documents are ranked by their random odds
-divided by their inclusion odds, (u / (1 - u)) / (p / (1 - p)) with u from a hash of the id, and taken from the least up while the
-words fit the source's budget. With ``fill`` a document that does not fit is stepped over, and later ones that fit are taken until
-none does; without it, as in the query's SQL, the first that does not fit ends the order. One more document, the one whose size is
-nearest to what is left, closes the gap.
-
-Scale. Ranks are not sorted as a whole: words are summed by source and 4,096 intervals of the rank, the interval in which the
-budget ends is found from these sums, and only its rows are sorted. So a source with a third of all rows is never one task's.
-A decision is a function of the row and its source's line of the plan; texts are not shuffled.
-
-Cases. A null text has size 0 and takes nothing. Null ids share one random number; equal rows are taken together or not at all. A
-source without words takes nothing. An empty table gives an empty one. Same rows, same result.
+Sample. With rate r = target / words of a source, each of its documents gets floor(r) whole copies for certain. What is left, p =
+r - floor(r) of its words, is met by one more copy of a sample of fixed size. A source's documents are layered by size, four
+layers an octave. From the largest layer down, each layer gets the number n of documents that brings the expected words nearest to
+p of all words so far, so what one layer's whole number misses the next makes up; the first is rounded at random. In a layer of N
+documents inclusion probabilities differ by size s: n s / sum(s) where n is at most half of N, else 1 - (N - n) (k - s) / sum(k - s)
+with k the least plus the largest size; either way they are below 1 and sum to n. Documents are ranked by their random odds divided
+by their inclusion odds, (u / (1 - u)) / (pi / (1 - pi)) with u from a hash of the id, and the n least are taken.
+
+Scale. Layers are counted by an aggregate; the plan has a row for each source and layer, at most some 160 for a source. Ranks are
+not sorted as a whole: rows are counted by layer and 4,096 intervals of the rank, and only the interval in which the n-th lies is
+sorted, equal rows as one. So a source with a third of all rows is never one task's. A decision is a function of the row and its
+line of the plan; texts are not shuffled.
+
+Cases. A null text has size 0 and takes nothing. A null id's random number comes from its text. Rows equal in id and size are taken
+together or not at all. A source without words takes nothing. An empty table gives an empty one. Same rows, same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import free_name, small, stored
+from waymark.llm.common import Scratch, free_name, small
 
 INTERVALS = 4096
 
@@ -35,10 +37,21 @@ def words_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def random_of(doc_id: Column) -> Column:
-    """A number in (0, 1) from the id: 52 bits of md5."""
-    digits = F.substring(F.md5(F.encode(F.concat(F.lit("mix-"), F.coalesce(doc_id.cast("string"), F.lit("null"))), "utf-8")), 1, 13)
-    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+def random_of(key: Column) -> Column:
+    """A number in (0, 1) from a text: 52 bits of md5."""
+    return (F.conv(F.substring(F.md5(F.encode(key, "utf-8")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def draw_of(doc_id: Column, text: Column, seed: str) -> Column:
+    """A document's random number: by its id, or by its text where it has none."""
+    name = F.when(doc_id.isNull(), F.concat(F.lit("null-"), F.coalesce(text.cast("string"), F.lit("")))).otherwise(doc_id.cast("long").cast("string"))
+    return random_of(F.concat(F.lit(f"{seed}-"), name))
+
+
+def layer_of(size: Column) -> Column:
+    """Four layers an octave: the place of the highest bit of ``size`` and the next two bits."""
+    octave = F.length(F.bin(size)) - 1
+    return (octave * 4 + F.call_function("shiftright", size * 4, octave) % 4).cast("int")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float) -> DataFrame:
@@ -57,93 +70,97 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, cap: float)
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def rank_of(u: Column, p: Column) -> Column:
-    """The Pareto rank x / (1 + x), in (0, 1), of random number ``u`` at inclusion probability ``p`` (1 where p is 0)."""
-    x = (u / (1 - u)) / (p / (1 - p))
-    return F.when(p > 0, x / (1 + x)).otherwise(1.0)
-
+def layers_of(rows: DataFrame, goal: DataFrame, seed: str) -> DataFrame:
+    """``(source, layer, n, of, total, ends)``: how many of a layer's documents are taken, and what their probabilities come from.
 
-def within(span: Column, at: Column, size: Column) -> Column:
-    """Whether a row at place ``at`` of the order lies in a span: after its start, before the document that blocks it, and of a size that fits."""
-    return (span["after"].isNull() | (at > span["after"])) & (span["block"].isNull() | (at < span["block"])) & (span["most"].isNull() | (size <= span["most"]))
-
-
-def spans_of(ranked: DataFrame, budgets: DataFrame, fill: bool) -> DataFrame:
-    """``(of, left, spans)`` by source: the spans of the order that are taken, and what they leave of the budget.
-
-    A span ends at the first document that does not fit. With ``fill`` that one is stepped over, and a span of the documents that
-    fit what is left follows, until none does.
+    ``rows(source, size, layer)``, ``goal(source, p)``; a layer has ``of`` documents of ``total`` words, ``ends`` is least plus largest.
     """
+    size = F.col("size").cast("double")
+    sums = rows.groupBy("source", "layer").agg(F.count("*").cast("double").alias("of"), F.sum(size).alias("total"), F.sum(size * size).alias("square"), (F.min(size) + F.max(size)).alias("ends"))
+    start = random_of(F.concat(F.lit(f"{seed}-source-"), F.coalesce("source", F.lit("null"))))
+    one = sums.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("layer", "of", "total", "square", "ends")), asc=False).alias("layers"))
+    goal = goal.select(F.col("source").alias("goal_of"), "p")
+    one = one.join(goal, F.col("source").eqNullSafe(F.col("goal_of"))).select("source", "layers", "p", start.alias("start"))
+    taken = "array<struct<layer:int,n:double,of:double,total:double,ends:double>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        cum = acc["cum"] + x["total"]
+        n = F.greatest(F.lit(0.0), F.least(x["of"], F.floor((F.col("p") * cum - acc["words"]) * x["of"] / x["total"] + F.col("start")).cast("double")))
+        out = F.struct(x["layer"].alias("layer"), n.alias("n"), x["of"].alias("of"), x["total"].alias("total"), x["ends"].alias("ends"))
+        words = F.when(2 * n <= x["of"], n * x["square"] / x["total"]).otherwise(x["total"] - (x["of"] - n) * (x["ends"] * x["total"] - x["square"]) / (x["of"] * x["ends"] - x["total"]))
+        return F.struct(cum.alias("cum"), (acc["words"] + words).alias("words"), F.concat(acc["out"], F.array(out)).alias("out"))
+
+    zero = F.struct(F.lit(0.0).alias("cum"), F.lit(0.0).alias("words"), F.expr(f"CAST(array() AS {taken})").alias("out"))
+    return one.select("source", F.explode(F.aggregate("layers", zero, step).getField("out")).alias("l")).select("source", "l.*")
+
+
+def rank_of(u: Column, size: Column, n: Column, of: Column, total: Column, ends: Column) -> Column:
+    """The Pareto rank x / (1 + x), in [0, 1], of a document of a layer that is neither taken whole nor left out."""
+    pi = F.when(2 * n <= of, n * size / total).otherwise(1 - (of - n) * (ends - size) / (of * ends - total))
+    x = (u / (1 - u)) / (pi / (1 - pi))
+    return x / (1 + x)
+
+
+def cuts_of(ranked: DataFrame) -> DataFrame:
+    """``(source, layer, cut)``: the last place of the order that is taken, from ``ranked(source, layer, n, rank, u, doc_id, size)``."""
+    group, step = ["source", "layer"], F.least(F.lit(INTERVALS - 1), F.floor(F.col("rank") * INTERVALS))
+    rows = ranked.withColumn("step", step)
+    sums = rows.groupBy(*group, "step").agg(F.count("*").alias("rows"), F.first("n").alias("n"))
+    sums = sums.withColumn("upto", F.sum("rows").over(Window.partitionBy(*group).orderBy("step")))
+    ends = sums.where("upto >= n AND upto - rows < n").select(F.col("source").alias("s"), F.col("layer").alias("l"), F.col("step").alias("end"), (F.col("upto") - F.col("rows")).alias("before"))
+    inside = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("layer") == F.col("l")) & (F.col("step") == F.col("end")))
+    equal = inside.groupBy(*group, "rank", "u", "doc_id", "size").agg(F.count("*").alias("rows"), F.first("n").alias("n"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("rows").over(Window.partitionBy(*group).orderBy("rank", "u", "doc_id", "size"))
     at = F.struct("rank", "u", "doc_id", "size")
-    place = ranked.select(at.alias("at")).schema["at"].dataType.simpleString()
-    state = stored(budgets.select("of", F.col("budget").alias("left"), F.expr(f"CAST(NULL AS {place})").alias("after"), F.expr(f"CAST(array() AS array<struct<after:{place},block:{place},most:double>>)").alias("spans"), F.lit(True).alias("open")), "spans")
-    first = True
-    while True:
-        rows = ranked.join(small(state.where("open").select("of", "left", "after")), F.col("source").eqNullSafe(F.col("of")))
-        if not first:
-            rows = rows.where((at > F.col("after")) & (F.col("size") <= F.col("left")))
-        step = F.least(F.lit(INTERVALS - 1), F.floor(F.col("rank") * INTERVALS))
-        sums = rows.groupBy("source", step.alias("step")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-        sums = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("step")))
-        over = F.when(F.col("upto") > F.col("left"), F.struct("step", (F.col("upto") - F.col("words")).alias("before")))
-        ends = sums.groupBy("source").agg(F.min(over).alias("e"), F.max("upto").alias("total"))
-        ends = stored(ends.select(F.col("source").alias("end_of"), "e.step", "e.before", "total"), "ends")
-        inside = rows.join(small(ends.where("step is not null").drop("total")), F.col("source").eqNullSafe(F.col("end_of")) & (step == F.col("step")))
-        inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("rank", "u", "doc_id", "size")))
-        blocks = inside.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), at)).alias("block"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.min("before")).alias("taken"))
-        blocks = stored(blocks.select(F.col("source").alias("block_of"), "block", "taken"), "blocks")
-        found = ends.join(small(blocks), F.col("end_of").eqNullSafe(F.col("block_of")), "left").select("end_of", "block", F.coalesce("taken", "total").alias("taken"))
-        most = F.lit(None).cast("double") if first else F.col("left")
-        span = F.struct("after", "block", most.alias("most"))
-        state = state.join(small(found), F.col("of").eqNullSafe(F.col("end_of")), "left")
-        spans = F.when(F.col("open") & F.col("taken").isNotNull(), F.concat("spans", F.array(span))).otherwise(F.col("spans"))
-        state = stored(state.select("of", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), F.col("block").alias("after"), spans.alias("spans"), F.col("block").isNotNull().alias("open")), "spans")
-        if not fill or state.where("open").isEmpty():
-            return state.select("of", "left", "spans")
-        first = False
-
-
-def mix_plan(docs: DataFrame, weights: Sequence[int], share: float, cap: float, fill: bool) -> tuple[DataFrame, DataFrame]:
-    """The narrow table ``(doc_id, source, size, u)`` and the plan, a row a source; both stored."""
-    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size")), "sizes")
-    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    return equal.withColumn("upto", upto).where("upto >= n").groupBy(*group).agg(F.min(at).alias("cut"))
+
+
+def mix_plan(docs: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, cap: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """The narrow table ``(doc_id, source, size, layer, u)`` and the plan, a row for each source and layer (layer null: size 0); both stored."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), draw_of(F.col("doc_id"), F.col("text"), seed).alias("u"))
+    rows = scratch.store(rows.withColumn("layer", F.when(F.col("size") > 0, layer_of(F.col("size")))), "sizes")
+    sizes = scratch.store(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     goal = targets(sizes, weights, share, cap)
     rate = F.coalesce(F.col("target") / F.nullif(F.col("source_size").cast("double"), F.lit(0.0)), F.lit(0.0))
-    goal = goal.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.col("whole")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    goal = stored(goal, "targets")
-    known = goal.select(F.col("source").alias("p_of"), "p")
-    ranked = rows.where("size > 0").join(small(known), F.col("source").eqNullSafe(F.col("p_of"))).where("p > 0").withColumn("u", random_of(F.col("doc_id")))
-    ranked = ranked.select("doc_id", "source", "size", "u", rank_of(F.col("u"), F.col("p")).alias("rank"))
-    spans = spans_of(ranked, goal.select(F.col("source").alias("of"), "budget"), fill)
-    # the document that closes the gap, from those not taken
-    at, gap = F.struct("rank", "u", "doc_id", "size"), F.col("left")
-    out = ranked.join(small(spans), F.col("source").eqNullSafe(F.col("of"))).where((F.col("size") < 2 * gap) & ~F.exists("spans", lambda s: within(s, at, F.col("size"))))
-    close = out.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - gap).alias("off"), "rank", "u", "doc_id", "size")).alias("c"))
-    close = stored(close.select(F.col("source").alias("close_of"), F.struct("c.rank", "c.u", "c.doc_id", "c.size").alias("close")), "closings")
-    plan = goal.join(small(spans), F.col("source").eqNullSafe(F.col("of")), "left").join(small(close), F.col("source").eqNullSafe(F.col("close_of")), "left")
-    return rows, stored(plan.select(F.col("source").alias("plan_of"), "source_size", "target", "whole", "p", "spans", "close"), "plan")
-
-
-def copies_of(doc_id: Column, size: Column, plan: Callable[[str], Column]) -> Column:
+    goal = goal.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.col("whole"))
+    goal = scratch.store(goal, "targets")
+    layers = scratch.store(layers_of(rows.where("size > 0"), goal, seed), "layers")
+    drawn = small(layers.where("n > 0 AND n < of").select(F.col("source").alias("s"), F.col("layer").alias("l"), "n", "of", "total", "ends"))
+    ranked = rows.join(drawn, F.col("source").eqNullSafe(F.col("s")) & (F.col("layer") == F.col("l")))
+    ranked = ranked.select("source", "layer", "n", rank_of(F.col("u"), F.col("size"), F.col("n"), F.col("of"), F.col("total"), F.col("ends")).alias("rank"), "u", "doc_id", "size")
+    cuts = cuts_of(ranked).select(F.col("source").alias("s"), F.col("layer").alias("l"), "cut")
+    plan = layers.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("layer") == F.col("l")), "left").drop("s", "l")
+    empty = goal.select("source", *(F.lit(None).cast(t).alias(c) for c, t in plan.dtypes if c != "source"))
+    plan = plan.unionByName(empty)
+    goal = goal.select(F.col("source").alias("plan_of"), "source_size", "target", "whole")
+    plan = goal.join(plan, F.col("source").eqNullSafe(F.col("plan_of"))).drop("source").withColumnRenamed("layer", "plan_layer")
+    return rows, scratch.store(plan, "plan")
+
+
+def copies_of(doc_id: Column, size: Column, u: Column, plan: dict[str, Column]) -> Column:
     """Copies that a row takes, from its line of the plan."""
-    doc_id, u = doc_id.cast("long"), random_of(doc_id.cast("long"))
-    at = F.struct(rank_of(u, plan("p")).alias("rank"), u.alias("u"), doc_id.alias("doc_id"), size.alias("size"))
-    more = (plan("p") > 0) & (F.exists(plan("spans"), lambda s: within(s, at, size)) | (plan("close").isNotNull() & at.eqNullSafe(plan("close"))))
-    return F.when(size > 0, plan("whole") + F.coalesce(more, F.lit(False)).cast("long")).otherwise(F.lit(0)).cast("int")
+    at = F.struct(rank_of(u, size, *(plan[c] for c in ("n", "of", "total", "ends"))).alias("rank"), u.alias("u"), doc_id.cast("long").alias("doc_id"), size.alias("size"))
+    more = F.when(plan["n"] >= plan["of"], True).when(plan["cut"].isNull(), False).otherwise(at <= plan["cut"])
+    return F.when(size > 0, plan["whole"] + more.cast("long")).otherwise(F.lit(0)).cast("int")
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fill: bool = False) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs(doc_id, text, source)``."""
-    rows, plan = mix_plan(docs, weights, share, cap, fill)
-    planned = rows.join(small(plan), F.col("source").eqNullSafe(F.col("plan_of")))
-    return planned.select("doc_id", "size", "source_size", "target", (copies_of(F.col("doc_id"), F.col("size"), F.col) * F.col("size")).alias("taken"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows, plan = map(scratch.keep, mix_plan(docs, scratch, weights, share, cap, seed))
+    planned = rows.join(small(plan), F.col("source").eqNullSafe(F.col("plan_of")) & F.col("layer").eqNullSafe(F.col("plan_layer")))
+    copies = copies_of(F.col("doc_id"), F.col("size"), F.col("u"), {c: F.col(c) for c in plan.columns})
+    return planned.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, fill: bool = False) -> DataFrame:
+def mixed(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    _, plan = mix_plan(docs, weights, share, cap, fill)
-    line, times = free_name(docs, "mix_plan"), free_name(docs, "mix_times")
+    with Scratch(docs.sparkSession) as scratch:
+        plan = scratch.keep(mix_plan(docs, scratch, weights, share, cap, seed)[1])
+    line, own, times = (free_name(docs, x) for x in ("mix_plan", "mix_own", "mix_times"))
     lines = small(plan).select(F.struct("*").alias(line))
-    planned = docs.join(lines, docs["source"].cast("string").eqNullSafe(F.col(f"{line}.plan_of")))
-    copies = copies_of(docs["doc_id"], words_of(docs["text"]), lambda c: F.col(f"{line}.{c}"))
+    size = words_of(docs["text"])
+    sized = docs.withColumn(own, F.struct(size.alias("size"), F.when(size > 0, layer_of(size)).alias("layer"), draw_of(docs["doc_id"], docs["text"], seed).alias("u")))
+    planned = sized.join(lines, sized["source"].cast("string").eqNullSafe(F.col(f"{line}.plan_of")) & F.col(f"{own}.layer").eqNullSafe(F.col(f"{line}.plan_layer")))
+    copies = copies_of(F.col("doc_id"), F.col(f"{own}.size"), F.col(f"{own}.u"), {c: F.col(f"{line}.{c}") for c in plan.columns})
     return planned.withColumn(times, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)

@@ -121,16 +121,19 @@ SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM docum
     "op4_url_filter": f"""WITH {_with_rho(_URLS)}, rules AS (SELECT * FROM (VALUES {_RULES}) AS t(h, p, v)),
 f AS (SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p DESC) AS rn FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
 SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND rn = 1 JOIN low ON low.host = u.host""",
-    "op6_source_mixing": f"""WITH d AS (SELECT doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '{_WORD}'), [])) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix-' || doc_id), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+    "op6_source_mixing": f"""WITH RECURSIVE n AS (SELECT doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '{_WORD}'), [])) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix-' || doc_id), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
+d AS (SELECT *, (length(bin(size)) - 1) * 4 + ((size * 4) >> CAST(length(bin(size)) - 1 AS BIGINT)) % 4 AS layer FROM n),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2e0 AS cap, [5e0, 2e0, 1e0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w FROM d GROUP BY source),
 v AS (SELECT *, (sum(source_size) OVER () * 1.5e0 - coalesce(sum(cap) OVER q, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER q, 0)) AS level FROM s WINDOW q AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 z AS (SELECT arg_min(level, cap / w) AS level FROM v WHERE cap / w > level), t AS (SELECT source, source_size, least(cap, coalesce(z.level * w, cap)) AS target FROM s LEFT JOIN z ON true),
-g AS (SELECT *, CAST(floor(target / source_size) AS BIGINT) AS whole, target / source_size - floor(target / source_size) AS p, target - floor(target / source_size) * source_size AS budget FROM t WHERE source_size > 0),
-c AS (SELECT d.*, g.*, sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size) AS upto FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source WHERE size > 0 AND p > 0),
-k AS (SELECT source, coalesce(max(upto) FILTER (WHERE upto <= budget), 0) AS taken FROM c GROUP BY source),
-x AS (SELECT c.doc_id, c.source, row_number() OVER (PARTITION BY c.source ORDER BY abs(size - (budget - taken)), u, doc_id) AS rn FROM c JOIN k ON k.source IS NOT DISTINCT FROM c.source WHERE upto > budget AND size < 2 * (budget - taken)),
-m AS (SELECT c.doc_id, 1 AS more FROM c WHERE upto <= budget UNION ALL SELECT doc_id, 1 FROM x WHERE rn = 1)
-SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(g.whole + coalesce(m.more, 0), 0) * d.size AS BIGINT) AS taken FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN m ON m.doc_id = d.doc_id AND d.size > 0""",
+g AS (SELECT *, CAST(floor(target / source_size) AS BIGINT) AS whole, target / source_size - floor(target / source_size) AS p, (CAST('0x' || substr(md5('mix-source-' || coalesce(source, 'null')), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS start FROM t WHERE source_size > 0),
+l AS (SELECT g.source, p, start, layer, CAST(count(*) AS DOUBLE) AS many, CAST(sum(size) AS DOUBLE) AS total, CAST(sum(size * size) AS DOUBLE) AS square, CAST(min(size) + max(size) AS DOUBLE) AS ends, row_number() OVER (PARTITION BY g.source ORDER BY layer DESC) AS k FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source WHERE size > 0 GROUP BY g.source, p, start, layer),
+f AS (SELECT source, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS layer, 0e0 AS n, 0e0 AS many, 0e0 AS total, 0e0 AS ends, 0e0 AS cum, 0e0 AS words FROM g UNION ALL
+SELECT source, k, layer, n, many, total, ends, cum, words + CASE WHEN 2 * n <= many THEN n * square / total ELSE total - (many - n) * (ends * total - square) / (many * ends - total) END
+FROM (SELECT f.source, l.k, l.layer, greatest(0e0, least(l.many, floor((l.p * (f.cum + l.total) - f.words) * l.many / l.total + l.start))) AS n, l.many, l.total, l.square, l.ends, f.cum + l.total AS cum, f.words FROM f JOIN l ON l.source IS NOT DISTINCT FROM f.source AND l.k = f.k + 1)),
+o AS (SELECT *, (u / (1 - u)) / (pi / (1 - pi)) AS x FROM (SELECT d.*, n, CASE WHEN 2 * n <= many THEN n * size / total ELSE 1 - (many - n) * (ends - size) / (many * ends - total) END AS pi FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source AND f.layer = d.layer WHERE size > 0 AND n > 0 AND n < many)),
+m AS (SELECT doc_id FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY source, layer ORDER BY x / (1 + x), u, doc_id, size) AS place FROM o) WHERE place <= n UNION ALL SELECT doc_id FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source AND f.layer = d.layer WHERE size > 0 AND n >= many)
+SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(g.whole + CAST(m.doc_id IS NOT NULL AS INT), 0) * d.size AS BIGINT) AS taken FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN m ON m.doc_id = d.doc_id""",
     "op10_line_dedup": f"""WITH ln AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents), w AS (SELECT doc_id, no, doc_id * 1000000 + no AS id, regexp_extract_all(line, '{_WORD}') AS w FROM ln),
 sh AS (SELECT DISTINCT id, doc_id, no, unnest({_shingles("w", 5)}) AS s FROM w), n AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND b.id < a.id GROUP BY 1, 2), gone AS (SELECT DISTINCT a FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
