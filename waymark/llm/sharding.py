@@ -11,19 +11,17 @@ no window is larger than a range.
 Bounds. The driver holds ``cells`` splitters and the counts of the ranges (at most about three times as many). ``cells`` grows
 with the bytes up to MAX_CELLS.
 
-Cases. A null text has size 1, no text_crc32 and a key of its own. Null ids and repeated rows get slots as all rows do; which
+Cases. A null text has size 1, no text_crc32 and one key with all null texts. Null ids and repeated rows get slots as all rows do; which
 of two equal rows has which slot is open. An empty table gives an empty one. Fewer records than shards leave shards empty.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import free_name, stored
+from waymark.llm.common import Scratch, free_name
 
 MIN_CELLS, MAX_CELLS = 1 << 12, 1 << 13
 #: Bytes of a range at which more ranges are made.
@@ -35,18 +33,14 @@ def size_of(text: Column) -> Column:
 
 
 def key_of(text: Column) -> Column:
-    return F.coalesce(F.xxhash64(text), F.lit(0))
+    """A hash of the text; that of a null is the hash's seed, one key for all nulls."""
+    return F.xxhash64(text)
 
 
-def position(splitters: list[int], key: Column) -> Column:
-    """How many of the ascending splitters are at most ``key``, by binary search."""
-    if not splitters:
-        return F.lit(0)
-    table = F.lit(splitters) if len(splitters) < 2 else F.array(*map(F.lit, splitters))
-    steps = F.array(*(F.lit(1 << i) for i in range(len(splitters).bit_length() - 1, -1, -1)))
-    if len(splitters) < 2:
-        return F.when(key >= splitters[0], 1).otherwise(0)
-    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(lo + s <= len(splitters), F.when(F.get(table, lo + s - 1) <= key, lo + s).otherwise(lo)).otherwise(lo))
+def position(table: Column, key: Column) -> Column:
+    """How many of the ascending splitters in an array column are at most ``key``, by binary search."""
+    steps = F.array(*(F.lit(1 << i) for i in range(MAX_CELLS.bit_length() + 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda lo, s: F.when(lo + s <= F.size(table), F.when(F.get(table, lo + s - 1) <= key, lo + s).otherwise(lo)).otherwise(lo))
 
 
 def splitters_of(rows: DataFrame, total: int, cells: int) -> list[int]:
@@ -110,35 +104,44 @@ def place(ranges: list[tuple[int, int, int, int, bool]], shards: int) -> dict[tu
     return out
 
 
-Locate = Callable[[Column, Column], tuple[Column, Column]]
+class Ranges:
+    """Splitters and slices as one broadcast row of arrays, so a plan holds none of their values."""
+
+    def __init__(self, splitters: list[int], slices: list[int]) -> None:
+        self.row = (splitters, slices)
+
+    def beside(self, df: DataFrame, key: Column) -> tuple[DataFrame, Column, Column]:
+        """``df`` with key and arrays beside each row, and a record's range and slice from its key and ``doc_id``."""
+        name, own = free_name(df, "ranges"), free_name(df, "range_key")
+        one = df.sparkSession.createDataFrame([(self.row,)], f"`{name}` struct<splitters:array<long>,slices:array<int>>")
+        df = df.withColumn(own, key).crossJoin(F.broadcast(one))  # one row; the key is made once, below the join
+        in_range = position(F.col(name)["splitters"], F.col(own)).cast("int")
+        n = F.coalesce(F.get(F.col(name)["slices"], in_range), F.lit(1))
+        by_id = F.pmod(F.xxhash64(df["doc_id"].cast("long"), F.lit(11)), F.greatest(n, F.lit(1)))
+        by_key = F.pmod(F.xxhash64(F.col(own), F.lit(13)), F.greatest(-n, F.lit(1)))
+        return df, in_range, F.when(n > 0, by_id).otherwise(by_key).cast("int")
 
 
-def assigned(docs: DataFrame, shards: int = 16) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]], Locate]:
+def assigned(docs: DataFrame, scratch: Scratch, shards: int = 16) -> tuple[DataFrame, dict[tuple[int, int], tuple[int, int]], Ranges]:
     """The narrow table (stored), the place of each range's slices, and what gives a record's range and slice from its key and id."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size"), F.crc32(F.encode(F.col("text"), "utf-8")).alias("text_crc32"), key_of(F.col("text")).alias("key"))
-    rows = stored(narrow, "records")
+    rows = scratch.store(narrow, "records")
     total = rows.agg(F.sum("size")).first()[0] or 0
     cells = max(MIN_CELLS, min(MAX_CELLS, total // CELL_BYTES))
     splitters = splitters_of(rows, total, cells)
     # overfull ranges are cut into slices
-    sizes = rows.groupBy(position(splitters, F.col("key")).alias("range")).agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
+    beside, in_range, _ = Ranges(splitters, []).beside(rows, rows["key"])
+    sizes = beside.groupBy(in_range.alias("range")).agg(F.sum("size").alias("bytes"), F.min("key").alias("lo"), F.max("key").alias("hi")).collect()
     target = 2 * max(1, total // cells)
     parts = {r["range"]: (-(-r["bytes"] // target), r["lo"] == r["hi"]) for r in sizes if r["bytes"] > 2 * target}
-    cuts = [F.lit(x) for r, (n, one) in parts.items() for x in (r, n if one else -n)]
-
-    def locate(key: Column, doc_id: Column) -> tuple[Column, Column]:
-        in_range = position(splitters, key).cast("int")
-        if not cuts:
-            return in_range, F.lit(0)
-        n = F.coalesce(F.create_map(*cuts)[in_range], F.lit(1))
-        by_id = F.pmod(F.xxhash64(doc_id.cast("long"), F.lit(11)), F.greatest(n, F.lit(1)))
-        by_key = F.pmod(F.xxhash64(key, F.lit(13)), F.greatest(-n, F.lit(1)))
-        return in_range, F.when(n > 0, by_id).otherwise(by_key).cast("int")
-
-    in_range, in_slice = locate(F.col("key"), F.col("doc_id"))
-    counted = rows.groupBy(in_range.alias("range"), in_slice.alias("slice")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
+    slices = [0 for _ in range(len(splitters) + 1)] if parts else []
+    for r, (n, one) in parts.items():
+        slices[r] = n if one else -n
+    ranges = Ranges(splitters, slices)
+    beside, in_range, in_slice = ranges.beside(rows, rows["key"])
+    counted = beside.groupBy(in_range.alias("range"), in_slice.alias("slice")).agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     places = place([(r["range"], r["slice"], r["bytes"], r["rows"], parts.get(r["range"], (0, False))[1]) for r in counted], shards)
-    return rows, places, locate
+    return rows, places, ranges
 
 
 def place_table(docs: DataFrame, places: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
@@ -148,9 +151,11 @@ def place_table(docs: DataFrame, places: dict[tuple[int, int], tuple[int, int]])
 
 def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` for every row of ``docs(doc_id, text)``."""
-    rows, places, locate = assigned(docs, shards)
-    in_range, in_slice = locate(F.col("key"), F.col("doc_id"))
-    ranged = rows.select("doc_id", "size", "text_crc32", "key", in_range.alias("range"), in_slice.alias("slice"))
+    with Scratch(docs.sparkSession) as scratch:
+        rows, places, ranges = assigned(docs, scratch, shards)
+        scratch.keep(rows)
+    beside, in_range, in_slice = ranges.beside(rows, rows["key"])
+    ranged = beside.select("doc_id", "size", "text_crc32", "key", in_range.alias("range"), in_slice.alias("slice"))
     order = Window.partitionBy("range", "slice").orderBy("key", "doc_id", "size", "text_crc32")
     ranged = ranged.withColumn("n", F.row_number().over(order) - 1).join(place_table(docs, places), ["range", "slice"])
     return ranged.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -158,8 +163,9 @@ def shard_slots(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 def with_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     """``docs`` with the column ``shard``, for a writer; the texts are not shuffled."""
-    _, places, locate = assigned(docs, shards)
-    name, rng, part = (free_name(docs, x) for x in ("shard", "range", "slice"))
-    in_range, in_slice = locate(key_of(docs["text"]), docs["doc_id"])
+    with Scratch(docs.sparkSession) as scratch:
+        _, places, ranges = assigned(docs, scratch, shards)
+    name, rng, part = (free_name(docs, x) for x in ("shard", "range_of", "slice_of"))
+    beside, in_range, in_slice = ranges.beside(docs, key_of(docs["text"]))
     homes = place_table(docs, places).select(F.col("range").alias(rng), F.col("slice").alias(part), F.col("shard").alias(name))
-    return docs.select("*", in_range.alias(rng), in_slice.alias(part)).join(homes, [rng, part]).select(*docs.columns, name)
+    return beside.select(*docs.columns, in_range.alias(rng), in_slice.alias(part)).join(homes, [rng, part]).select(*docs.columns, name)
