@@ -329,7 +329,7 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den:
     sides = lambda cols, only: (only.select(F.col("sid").alias(f"{x}_sid"), *(F.col(c).alias(f"{x}_{c}") for c in cols)) for x in "ab")
 
     def of_pairs(rows: DataFrame) -> DataFrame:
-        asked = small(rows.select(F.explode(F.array("a", "b")).alias("asked")).distinct())
+        asked = small(scratch.store(rows.select(F.explode(F.array("a", "b")).alias("asked")).distinct(), "asked"))
         return sets.join(asked, F.col("sid") == F.col("asked"), "left_semi")
 
     pairs = scratch.store(pairs, "pairs")
@@ -386,7 +386,7 @@ def linked(near: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: in
         total = open_.agg(F.sum("pairs"), F.sum("m")).first()
         if not total[1]:
             break
-        last = turn == MAX_STARS or total[0] <= PAIRS_A_ROW * total[1]
+        last = turn == MAX_STARS or turn > 0 and total[0] <= PAIRS_A_ROW * total[1]
         if last:
             now = scratch.store(left.join(small(open_.select("key")), "key"), "rest")
             other = now.select("key", F.col("sid").alias("other"), F.col("label").alias("other_label"), *(F.col(c).alias(f"o_{c}") for c in SKETCH))
