@@ -5,13 +5,15 @@ line is removed if an earlier line, by (doc_id, line number), has a token set wi
 ``num / den`` = 0.8. Whether the earlier line is itself removed makes no difference.
 
 Method. Equal token sets are one class, known by its first line; later lines of a class are removed at once. Between classes:
-tokens are ordered by rarity (counts of all tokens in a fixed number of hashed counters, then the hash), each class gives its
+tokens are ordered by rarity (counts of all tokens in a fixed number of hashed counters, by powers of two, then the hash), each class gives its
 prefix of n - ceil(0.8 n) + 1 rarest tokens, and classes that share a prefix token are compared if their lengths and the
 token's positions still permit the similarity. Survivors are verified on their tokens.
 
-Scale. A class is done once any earlier similar one is known. So the classes of a token first meet only its earliest class (a
-star, linear in the rows); only what is still undecided meets the others, again by stars while that is the cheaper way, at
-last pair by pair. Copies of a very frequent line are pre-aggregated before each shuffle.
+Scale. Prefix tokens cross the network packed and are matched by sorting arrays in partitions of a fixed number of tokens; a token
+that many classes of one chunk have sends two of them to its partition and the rest to any. A class is done once any earlier
+similar one is known. So the classes of a token first meet only its earliest class, then one drawn by a hash (stars, linear in the
+rows); only what is still undecided meets the others, at last pair by pair. Copies of a very frequent line are pre-aggregated
+before each shuffle.
 
 Cases. A null text has no lines. Rows that repeat an id with the same text are one document and each is returned. Null ids sort
 first. Line ends are ``\\n``; an empty table gives an empty one.
@@ -23,17 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import kernel as K
-from waymark.llm.common import free_name, small, stored
+from waymark.llm.common import Scratch, free_name, small
 
 #: Hashed counters of token frequency: the bound of what is sent to the tasks.
 COUNTERS = 1 << 16
-MAX_STARS = 6
+#: Prefix tokens of one partition, on average, and of one packed chunk.
+TOKENS_A_PARTITION, CHUNK = 1_000_000, 500_000
+#: Bytes of line numbers by document that may be broadcast.
+BROADCAST_BYTES = 16 << 20
+MAX_STARS = 3
 #: Comparisons for each undecided class of a token that are made in the join rather than by another star.
-PAIRS_A_ROW = 256
+PAIRS_A_ROW = 16
 
 
 def line_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -75,142 +81,250 @@ def counters(docs: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def line_table(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Two kinds of rows: lines ``(doc_id, th, line, lid)``, and prefix tokens ``(lid, token, n, pos)`` of each class, once in a task."""
-    often = counters(docs, k)
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array of 32 bits, first all lowest ones; the others are mostly 0 and cost little once compressed."""
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def packed(token: np.ndarray, lid: np.ndarray, n: np.ndarray, pos: np.ndarray, partitions: int) -> Iterator[tuple[int, bool, bytes]]:
+    """(partition, wide, data) of a chunk's prefix tokens.
+
+    Of a token that several classes of the chunk have, two go to the token's partition, marked in the top bit of ``pos``; the rest is
+    wide: known to be shared, and may go anywhere.
+    """
+    order = np.argsort(token, kind="stable")
+    token, lid, n, pos = token[order], lid[order], n[order], pos[order].astype(np.uint32)
+    wide, mark = np.zeros(len(token), bool), np.zeros(len(token), bool)
+    wide[2:] = token[2:] == token[:-2]
+    mark[:-2] = wide[2:]
+    mark[1:-1] |= wide[2:]
+    pos[mark & ~wide] |= np.uint32(1 << 31)
+    own = (token >> K.U(40)) * K.U(partitions) >> K.U(24)
+    own[wide] = K.mix(lid[wide].view(K.U)) % K.U(partitions)
+    for kind in (False, True):
+        pick = np.flatnonzero(wide == kind)
+        pick = pick[np.argsort(own[pick], kind="stable")]
+        to = own[pick]
+        edge = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1]))) if len(to) else np.zeros(0, np.int64)
+        for a, e in zip(edge, np.append(edge[1:], len(to)), strict=False):
+            rows = pick[a:e]
+            yield int(to[a]), kind, token[rows].tobytes() + lid[rows].tobytes() + planes(n[rows]) + planes(pos[rows])
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, lid, n, pos) of what :func:`packed` has made."""
+    m = len(data) // 24
+    thin = lambda at: np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * m, at).reshape(4, m).T).view(np.uint32).reshape(-1)
+    return np.frombuffer(data, K.U, m), np.frombuffer(data, np.int64, m, 8 * m), thin(16 * m), thin(20 * m)
+
+
+def line_table(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, partitions: int) -> DataFrame:
+    """Two kinds of rows: lines ``(doc_id, th, line, lid)``, and packed prefix tokens ``(part, wide, data)`` of each class, once in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            rows = list(packed(*map(np.concatenate, zip(*held, strict=True)), partitions))
+            held.clear()
+            bare = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([bare] * 4 + [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], NAMES)
+
+        seen, waiting = np.zeros(0, np.int64), 0
         for batch in batches:
             for i, tokens, of, _, size, ids, where in line_sets(batch.column(2), k):
                 if not len(ids):
                     continue
-                rows = pa.array(i + where[0])
-                empty = pa.nulls(len(ids), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where[1]), pa.array(ids), empty, empty, empty], NAMES)
+                rows, m = pa.array(i + where[0]), len(ids)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where[1]), pa.array(ids), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary())], NAMES)
                 first = np.zeros(len(ids), bool)
-                for x in np.unique(ids, return_index=True)[1]:
-                    v = int(ids[x])
-                    if size[x] > 3 and v not in seen:  # up to three tokens, only equal sets are similar
-                        seen.add(v)
-                        first[x] = True
-                keep = np.repeat(first, size)
-                if not keep.any():
+                first[np.unique(ids, return_index=True)[1]] = True
+                first &= (size > 3) & ~np.isin(ids, seen)  # up to three tokens, only equal sets are similar
+                if not first.any():
                     continue
-                t, line, n, lid = tokens[keep], of[keep], size[first], ids[first]
-                order = np.lexsort((t, often[(t >> K.U(48)).astype(np.int64)], line))
+                seen = np.concatenate([seen, ids[first]])
+                t, n, lid = tokens[np.repeat(first, size)], size[first], ids[first]
+                line = np.repeat(np.arange(len(n)), n)
+                # by rarity, then value: the counters are in front, in as many bits as their logarithm needs
+                order = K.order_of(often[(t >> K.U(48)).astype(np.int64)] << K.U(58) | t >> K.U(6), line)
                 pos = np.arange(len(t)) - np.repeat(np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                prefix = n - -(-num * n // den) + 1
-                short = pos < np.repeat(prefix, n)
-                t, of_class = t[order][short], np.repeat(np.arange(len(n)), n)[short]
-                empty = pa.nulls(len(t), pa.int64())
-                yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(lid[of_class]), pa.array(t.view(np.int64)), pa.array(n[of_class]), pa.array(pos[short])], NAMES)
+                short = pos < np.repeat(n - -(-num * n // den) + 1, n)
+                of_class = line[order][short]
+                held.append((t[order][short], lid[of_class], n[of_class], pos[short]))
+                waiting += int(short.sum())
+                if waiting >= CHUNK:
+                    yield flush()
+                    seen, waiting = np.zeros(0, np.int64), 0
+        if held:
+            yield flush()
+
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, line long, lid long, part int, wide boolean, data binary")
+
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, ", ".join(f"{c} long" for c in NAMES))
+NAMES = ["doc_id", "th", "line", "lid", "part", "wide", "data"]
 
 
-NAMES = ["doc_id", "th", "line", "lid", "token", "n", "pos"]
+def shared_tokens(chunks: DataFrame, num: int, den: int) -> DataFrame:
+    """``(token, lid, n, pos)`` of tokens that two classes of fitting sizes have, from the chunks of whole partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for wide, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                token, lid, n, pos = unpacked(data.as_buffer().to_pybytes())
+                if wide:
+                    yield from rows(token, lid, n, pos)
+                else:
+                    found.append((token, lid, n, pos))
+        if not found:
+            return
+        token, lid, n, pos = map(np.concatenate, zip(*found, strict=True))
+        found.clear()
+        order = np.argsort(token)
+        token = token[order]
+        same = np.zeros(len(token), bool)  # tokens of one class go here, which spares most rows the sort below
+        same[1:] = token[1:] == token[:-1]
+        same[:-1] |= same[1:]
+        order, token = order[same], token[same]
+        lid, n, pos = lid[order], n[order].astype(np.int64), pos[order]
+        order = np.lexsort((lid, n, token))
+        token, lid, n, pos = token[order], lid[order], n[order], pos[order]
+        if not len(token):
+            return
+        head = np.concatenate(([True], token[1:] != token[:-1]))
+        more = np.repeat(np.bitwise_or.reduceat(pos >> np.uint32(31), np.flatnonzero(head)), np.diff(np.append(np.flatnonzero(head), len(token)))) > 0
+        pos &= np.uint32((1 << 31) - 1)
+        new = head.copy()
+        new[1:] |= lid[1:] != lid[:-1]  # equal sets have equal sizes, so copies of a class are neighbours
+        token, lid, n, pos, more = token[new], lid[new], n[new], pos[new], more[new]
+        near = (token[1:] == token[:-1]) & (n[:-1] * den >= n[1:] * num)  # the next size is the nearest one
+        keep = more.copy()
+        keep[1:] |= near
+        keep[:-1] |= near
+        yield from rows(token[keep], lid[keep], n[keep], pos[keep])
+
+    def rows(token: np.ndarray, lid: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for s in range(0, len(lid), 100_000):
+            e = s + 100_000
+            yield pa.RecordBatch.from_arrays([pa.array(token[s:e].view(np.int64)), pa.array(lid[s:e]), pa.array(n[s:e].astype(np.int64)), pa.array(pos[s:e].astype(np.int64))], ["token", "lid", "n", "pos"])
+
+    return chunks.select("wide", "data").mapInArrow(run, "token long, lid long, n long, pos long")
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(lid, tokens)`` of the wanted lines of ``docs(text, wanted)``."""
+    """``(lid, tokens)`` of the lines of ``docs(text, wanted)`` whose numbers are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
+            asked = row << 40 | wanted.flatten().to_numpy()
             for i, tokens, _, _, size, ids, where in line_sets(batch.column(0), k):
-                if not len(ids):
-                    continue
-                keep = np.zeros(len(ids), bool)
-                edge = np.searchsorted(where[0], np.arange(int(where[0][-1]) + 2))
-                for r in range(len(edge) - 1):
-                    own = wanted[i + r].values.to_numpy(zero_copy_only=False)
-                    keep[edge[r] : edge[r + 1]] = np.isin(ids[edge[r] : edge[r + 1]], own)
-                inside = np.repeat(keep, size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), K.ragged(tokens[inside].view(np.int64), size[keep], pa.int64())], ["lid", "tokens"])
+                keep = np.isin((i + where[0]) << 40 | where[1], asked)
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), K.ragged(tokens[np.repeat(keep, size)].view(np.int64), size[keep], pa.int64())], ["lid", "tokens"])
 
     return docs.select("text", "wanted").mapInArrow(run, "lid long, tokens array<long>")
 
 
-def similar(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The later classes ``lid`` of a stored table of pairs ``(lid, other)`` that are similar."""
-    asked = small(stored(pairs.select(F.explode(F.array("lid", "other")).alias("asked")).distinct(), "asked"))
+def similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """The later classes ``lid`` of pairs ``(lid, other)`` that are similar, a table."""
+    pairs = scratch.store(pairs, "pairs")
+    asked = small(scratch.store(pairs.select(F.explode(F.array("lid", "other")).alias("asked")).distinct(), "asked"))
     sets = sets.join(asked, F.col("lid") == F.col("asked"), "left_semi")
     a = sets.select(F.col("lid").alias("a"), F.col("tokens").alias("at"))
     b = sets.select(F.col("lid").alias("b"), F.col("tokens").alias("bt"))
     both = pairs.join(a, pairs["lid"] == F.col("a")).join(b, F.col("other") == F.col("b"))
     shared = F.size(F.array_intersect("at", "bt"))
-    return both.where(shared * (den + num) >= (F.size("at") + F.size("bt")) * num).select("lid").distinct()
+    out = scratch.store(both.where(shared * (den + num) >= (F.size("at") + F.size("bt")) * num).select("lid").distinct(), "similar")
+    scratch.drop(pairs)
+    return out
 
 
-def with_earlier(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def with_earlier(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """The classes of ``members(token, lid, n, pos, first)`` that have an earlier similar class."""
 
-    def fits(n: str, pos: str, m: str, at: str):  # noqa: ANN202
+    def fits(n: str, pos: str, m: str, at: str) -> Column:
         length = F.least(n, m) * den >= F.greatest(n, m) * num
-        overlap = 1 + F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) - 1
-        return length & (overlap * (den + num) >= (F.col(n) + F.col(m)) * num)
+        return length & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) * (den + num) >= (F.col(n) + F.col(m)) * num)
 
     left = members.withColumn("open", F.lit(True))
-    parts = max(12, members.count() // 500_000)
     done = None
     for turn in range(MAX_STARS + 1):
-        groups = left.groupBy("token").agg(F.count("*").alias("m"), F.count_if("open").alias("q"), F.min(F.struct("first", "lid", "n", "pos")).alias("p"))
-        groups = stored(groups.where("m > 1 and q > 0").coalesce(parts), "open")
+        # the pivot is the earliest class, in later turns one drawn by a hash, so a class meets another one at each token
+        draw = F.lit(0) if not turn else F.xxhash64("token", "lid", F.lit(turn))
+        groups = left.groupBy("token").agg(F.count("*").alias("m"), F.count_if("open").alias("q"), F.min(F.struct(draw.alias("draw"), "first", "lid", "n", "pos", "open")).alias("p"))
+        groups = scratch.store(groups.where("m > 1 and q > 0"), "open")
         total = groups.agg(F.sum(F.col("q") * F.col("m")), F.sum("q")).first()
         if not total[1]:
             break
-        last = turn == MAX_STARS or turn > 0 and total[0] <= PAIRS_A_ROW * total[1]
+        last = turn == MAX_STARS or turn > 1 and total[0] <= PAIRS_A_ROW * total[1]
         if last:
-            now = stored(left.join(small(groups.select("token")), "token"), "rest")
+            now = scratch.store(left.join(small(groups.select("token")), "token"), "rest")
             late = now.where("open").select("token", "lid", "n", "pos", "first")
             early = now.select("token", F.col("lid").alias("other"), F.col("n").alias("m2"), F.col("pos").alias("pos2"), F.col("first").alias("first2"))
             pairs = late.join(early, "token").where((F.col("first2") < F.col("first")) & fits("n", "pos", "m2", "pos2"))
         else:
             now = left.join(small(groups.select("token", "p")), "token")
-            star = now.where("open").select("lid", "n", "pos", F.col("p.lid").alias("other"), F.col("p.n").alias("m2"), F.col("p.pos").alias("pos2"))
-            pairs = star.where((F.col("lid") != F.col("other")) & fits("n", "pos", "m2", "pos2"))
-        pairs = stored(pairs.select("lid", "other").distinct().coalesce(parts), "pairs")
-        found = stored(similar(pairs, sets, num, den).coalesce(parts), "similar")
+            after = F.col("first") > F.col("p.first")
+            star = now.where((F.col("lid") != F.col("p.lid")) & F.when(after, F.col("open")).otherwise(F.col("p.open")))
+            star = star.withColumns({"m2": F.col("p.n"), "pos2": F.col("p.pos"), "later": F.when(after, F.col("lid")).otherwise(F.col("p.lid")), "other": F.when(after, F.col("p.lid")).otherwise(F.col("lid"))})
+            pairs = star.where(fits("n", "pos", "m2", "pos2")).select(F.col("later").alias("lid"), "other")
+        found = similar(pairs.select("lid", "other").distinct(), sets, scratch, num, den)
         done = found if done is None else done.union(found)
         if last:
             break
-        # each earliest class has met all, so it leaves; classes that are done ask no more
+        # each pivot has met all, so it leaves; classes that are done ask no more
         rest = now.where(F.col("lid") != F.col("p.lid")).drop("p")
         known = small(found.withColumnRenamed("lid", "known"))
-        left = stored(rest.join(known, rest["lid"] == F.col("known"), "left").withColumn("open", F.col("open") & F.col("known").isNull()).drop("known"), "left")
+        before, left = left, scratch.store(rest.join(known, rest["lid"] == F.col("known"), "left").withColumn("open", F.col("open") & F.col("known").isNull()).drop("known"), "left")
+        scratch.drop(before)
     return (members.select("lid").where("false") if done is None else done).distinct()
 
 
-def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``(doc_id, th, removed)``: the numbers of the removed lines, ascending, for documents that lose any."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"), F.col("text").cast("string").alias("text"))
-    table = stored(line_table(docs, k, num, den), "lines")
-    lines, prefixes = table.where("line is not null").select("doc_id", "th", "line", "lid"), table.where("token is not null").select("token", "lid", "n", "pos")
+def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``(doc_id, th, removed)``, a table: the numbers of the removed lines, ascending, for documents that lose any."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
+    often = counters(docs, k)
+    rough = np.frompyfunc(int.bit_length, 1, 1)(often).astype(K.U)  # by powers of two, six bits
+    # about one in five tokens, and one more of each line, is a prefix token
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(often.sum()) // (3 * TOKENS_A_PARTITION)))
+    table = scratch.store(line_table(docs, k, num, den, rough, partitions), "lines")
+    chunks = table.where("data is not null").repartitionById(partitions, "part")
+    members = scratch.store(shared_tokens(chunks, num, den).distinct(), "members")
     place = F.struct("doc_id", "line", "th")
-    classes = stored(lines.groupBy("lid").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
-    # prefix tokens of classes that another class fits: both sides have the same columns, so they read one exchange, and AQE may split it
-    fits = f"least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num} AND least(a.n - a.pos, b.n - b.pos) * {den + num} >= (a.n + b.n) * {num}"
-    members = stored(prefixes.alias("a").join(prefixes.alias("b"), F.expr(f"a.token = b.token AND a.lid <> b.lid AND {fits}"), "left_semi").distinct(), "members")
-    near = members.select("lid").distinct()
-    firsts = stored(classes.join(near, "lid").select("lid", "first"), "firsts")
-    members = stored(members.join(small(firsts), "lid"), "members")
-    chosen = firsts.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_list("lid").alias("wanted"))
-    chosen = small(stored(chosen, "chosen"), 150_000)
+    lines = scratch.store(table.where("line is not null").select("doc_id", "th", "line", "lid"), "lines")
+    scratch.drop(table)
+    classes = scratch.store(lines.groupBy("lid").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
+    firsts = scratch.store(classes.join(members.select("lid").distinct(), "lid").select("lid", "first"), "firsts")
+    chosen = firsts.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_set("first.line").alias("wanted"))
+    chosen = scratch.store(chosen, "chosen")
+    rows, numbers = chosen.agg(F.count("*"), F.sum(F.size("wanted"))).first()
+    chosen = F.broadcast(chosen) if 48 * rows + 8 * (numbers or 0) <= BROADCAST_BYTES else chosen
     sets = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("h")))
-    sets = stored(token_sets(sets, k).dropDuplicates(["lid"]), "tokens")
-    late = with_earlier(members, sets, num, den).withColumn("late", F.lit(True))
+    sets = scratch.store(token_sets(sets, k), "tokens")
+    if not sets.groupBy("lid").count().where("count > 1").isEmpty():  # of documents whose row is repeated
+        sets = scratch.store(sets.dropDuplicates(["lid"]), "tokens")
+    members = scratch.store(members.join(small(firsts), "lid"), "members")
+    late = with_earlier(members, sets, scratch, num, den).withColumn("late", F.lit(True))
     marked = classes.join(late, "lid", "left").where("late or first <> last").select("lid", "first", F.coalesce("late", F.lit(False)).alias("late"))
-    marked = small(stored(marked, "marked"))
+    marked = small(scratch.store(marked, "marked"))
     gone = lines.join(marked, "lid").where(F.col("late") | (place > F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return scratch.store(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+
+
+def of_rows(gone: DataFrame) -> DataFrame:
+    """Hint a broadcast of removed lines if their bytes are few."""
+    rows, numbers = gone.agg(F.count("*"), F.sum(F.size("removed"))).first()
+    return F.broadcast(gone) if 48 * rows + 8 * (numbers or 0) <= BROADCAST_BYTES else gone
 
 
 def removed_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` for every row of ``docs(doc_id, text)``."""
-    gone = small(stored(repeated_lines(docs, k, num, den), "removed"), 50_000)
+    with Scratch(docs.sparkSession) as scratch:
+        gone = of_rows(scratch.keep(repeated_lines(docs, scratch, k, num, den)))
     text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("own"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
     gone = gone.withColumnRenamed("doc_id", "of")
     out = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("of")) & (F.col("own") == F.col("th")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
@@ -218,10 +332,11 @@ def removed_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
 
 def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all other columns stay."""
-    gone = small(stored(repeated_lines(docs, k, num, den), "removed"), 50_000)
+    with Scratch(docs.sparkSession) as scratch:
+        gone = of_rows(scratch.keep(repeated_lines(docs, scratch, k, num, den)))
     of, th, out = (free_name(docs, x) for x in ("line_of", "line_th", "line_removed"))
     gone = gone.toDF(of, th, out)
     text = docs["text"].cast("string")
-    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.coalesce(F.xxhash64(text), F.lit(0)) == F.col(th)), "left")
+    joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(th)), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(out), i.cast("bigint"))), "\n")
     return joined.select(*(F.when(F.col(out).isNull(), text).otherwise(kept).alias(c) if c.lower() == "text" else F.col(c) for c in docs.columns))
