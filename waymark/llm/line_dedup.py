@@ -7,7 +7,7 @@ line is removed if an earlier line, by (doc_id, line number), has a token set wi
 Method. Equal token sets are one class, known by its first line; later lines of a class are removed at once. Between classes:
 tokens are ordered by rarity (counts of all tokens in a fixed number of hashed counters, by powers of two, then the hash), each class gives its
 prefix of n - ceil(0.8 n) + 1 rarest tokens, and classes that share a prefix token are compared if their lengths and the
-token's positions still permit the similarity. Survivors are verified on their tokens.
+token's positions still permit the similarity, and a parity sketch of 128 bits does. Survivors are verified on their tokens.
 
 Scale. Prefix tokens cross the network packed and are matched by sorting arrays in partitions of a fixed number of tokens; a token
 that many classes of one chunk have sends two of them to its partition and the rest to any. A class is done once any earlier
@@ -37,9 +37,9 @@ COUNTERS = 1 << 16
 TOKENS_A_PARTITION, CHUNK = 1_000_000, 500_000
 #: Bytes of line numbers by document that may be broadcast.
 BROADCAST_BYTES = 16 << 20
-MAX_STARS = 3
+MAX_STARS = 2
 #: Comparisons for each undecided class of a token that are made in the join rather than by another star.
-PAIRS_A_ROW = 16
+PAIRS_A_ROW = 64
 
 
 def line_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -212,7 +212,7 @@ def shared_tokens(chunks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(lid, tokens)`` of the lines of ``docs(text, wanted)`` whose numbers are wanted."""
+    """``(lid, s0, s1, tokens)`` of the lines of ``docs(text, wanted)`` whose numbers are wanted; ``s0`` and ``s1`` are a parity sketch of 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,9 +222,12 @@ def token_sets(docs: DataFrame, k: int) -> DataFrame:
             for i, tokens, _, _, size, ids, where in line_sets(batch.column(0), k):
                 keep = np.isin((i + where[0]) << 40 | where[1], asked)
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), K.ragged(tokens[np.repeat(keep, size)].view(np.int64), size[keep], pa.int64())], ["lid", "tokens"])
+                    own, n = tokens[np.repeat(keep, size)], size[keep]
+                    begin, bit = np.concatenate(([0], np.cumsum(n)[:-1])), (own >> K.U(40)) & K.U(127)
+                    sketch = [np.bitwise_xor.reduceat(np.where(bit >> K.U(6) == q, K.U(1) << (bit & K.U(63)), K.U(0)), begin).view(np.int64) for q in range(2)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), *map(pa.array, sketch), K.ragged(own.view(np.int64), n, pa.int64())], ["lid", "s0", "s1", "tokens"])
 
-    return docs.select("text", "wanted").mapInArrow(run, "lid long, tokens array<long>")
+    return docs.select("text", "wanted").mapInArrow(run, "lid long, s0 long, s1 long, tokens array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
@@ -242,34 +245,37 @@ def similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den:
 
 
 def with_earlier(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
-    """The classes of ``members(token, lid, n, pos, first)`` that have an earlier similar class."""
+    """The classes of ``members(token, lid, n, pos, first, s0, s1)`` that have an earlier similar class."""
+    cols = ["n", "pos", "s0", "s1"]
 
-    def fits(n: str, pos: str, m: str, at: str) -> Column:
+    def fits(other: str) -> Column:
+        """Length, position and Hamming distance of the sketches, which is at most the tokens that only one has, permit the similarity."""
+        (n, pos, s0, s1), (m, at, t0, t1) = ([F.col(f"{x}{c}") for c in cols] for x in ("", other))
         length = F.least(n, m) * den >= F.greatest(n, m) * num
-        return length & (F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at)) * (den + num) >= (F.col(n) + F.col(m)) * num)
+        far = F.bit_count(s0.bitwiseXOR(t0)) + F.bit_count(s1.bitwiseXOR(t1))
+        return length & (F.least(n - pos, m - at) * (den + num) >= (n + m) * num) & (far * (den + num) <= (n + m) * (den - num))
 
     left = members.withColumn("open", F.lit(True))
     done = None
     for turn in range(MAX_STARS + 1):
         # the pivot is the earliest class, in later turns one drawn by a hash, so a class meets another one at each token
         draw = F.lit(0) if not turn else F.xxhash64("token", "lid", F.lit(turn))
-        groups = left.groupBy("token").agg(F.count("*").alias("m"), F.count_if("open").alias("q"), F.min(F.struct(draw.alias("draw"), "first", "lid", "n", "pos", "open")).alias("p"))
+        groups = left.groupBy("token").agg(F.count("*").alias("m"), F.count_if("open").alias("q"), F.min(F.struct(draw.alias("draw"), "first", "lid", *cols, "open")).alias("p"))
         groups = scratch.store(groups.where("m > 1 and q > 0"), "open")
         total = groups.agg(F.sum(F.col("q") * F.col("m")), F.sum("q")).first()
         if not total[1]:
             break
-        last = turn == MAX_STARS or turn > 1 and total[0] <= PAIRS_A_ROW * total[1]
+        last = turn == MAX_STARS or turn > 0 and total[0] <= PAIRS_A_ROW * total[1]
         if last:
             now = scratch.store(left.join(small(groups.select("token")), "token"), "rest")
-            late = now.where("open").select("token", "lid", "n", "pos", "first")
-            early = now.select("token", F.col("lid").alias("other"), F.col("n").alias("m2"), F.col("pos").alias("pos2"), F.col("first").alias("first2"))
-            pairs = late.join(early, "token").where((F.col("first2") < F.col("first")) & fits("n", "pos", "m2", "pos2"))
+            late = now.where("open").select("token", "lid", "first", *cols)
+            early = now.select("token", F.col("lid").alias("other"), F.col("first").alias("o_first"), *(F.col(c).alias(f"o_{c}") for c in cols))
+            pairs = late.join(early, "token").where((F.col("o_first") < F.col("first")) & fits("o_"))
         else:
             now = left.join(small(groups.select("token", "p")), "token")
             after = F.col("first") > F.col("p.first")
             star = now.where((F.col("lid") != F.col("p.lid")) & F.when(after, F.col("open")).otherwise(F.col("p.open")))
-            star = star.withColumns({"m2": F.col("p.n"), "pos2": F.col("p.pos"), "later": F.when(after, F.col("lid")).otherwise(F.col("p.lid")), "other": F.when(after, F.col("p.lid")).otherwise(F.col("lid"))})
-            pairs = star.where(fits("n", "pos", "m2", "pos2")).select(F.col("later").alias("lid"), "other")
+            pairs = star.where(fits("p.")).select(F.when(after, F.col("lid")).otherwise(F.col("p.lid")).alias("lid"), F.when(after, F.col("p.lid")).otherwise(F.col("lid")).alias("other"))
         found = similar(pairs.select("lid", "other").distinct(), sets, scratch, num, den)
         done = found if done is None else done.union(found)
         if last:
@@ -305,6 +311,7 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80,
     sets = scratch.store(token_sets(sets, k), "tokens")
     if not sets.groupBy("lid").count().where("count > 1").isEmpty():  # of documents whose row is repeated
         sets = scratch.store(sets.dropDuplicates(["lid"]), "tokens")
+    firsts = scratch.store(firsts.join(sets.select("lid", "s0", "s1"), "lid"), "firsts")
     members = scratch.store(members.join(small(firsts), "lid"), "members")
     late = with_earlier(members, sets, scratch, num, den).withColumn("late", F.lit(True))
     marked = classes.join(late, "lid", "left").where("late or first <> last").select("lid", "first", F.coalesce("late", F.lit(False)).alias("late"))
