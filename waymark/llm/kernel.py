@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at once; one longer text makes a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 250_000
 
 U = np.uint64
 
@@ -42,19 +42,34 @@ LOWER = np.arange(256)
 LOWER[65:91] += 32
 BYTE_CODE = codes(256, 1)[LOWER]
 STEP = codes(64, 2) | U(1)
-_powers = np.ones(1, U)
+BASE = 0x9E3779B97F4A7C17
+_powers, _inverse = np.ones(1, U), np.ones(1, U)
+#: Bytes of a slice up to which words are hashed by running sums; a longer one, of a single text, takes powers of its longest word only.
+RUNNING = 1 << 22
 
 
 def powers(n: int) -> np.ndarray:
     """At least ``n`` powers of an odd number, modulo 2**64."""
     global _powers
     if len(_powers) < n:
-        step = np.full(2 * n, 0x9E3779B97F4A7C17, U)
-        step[0] = 1
-        _powers = np.cumprod(step, dtype=U)
+        _powers = geometric(BASE, 2 * n)
     return _powers
 
 
+def inverses(n: int) -> np.ndarray:
+    """The inverses of at least ``n`` powers."""
+    global _inverse
+    if len(_inverse) < n:
+        _inverse = geometric(pow(BASE, -1, 1 << 64), 2 * n)
+    return _inverse
+
+
+def geometric(base: int, n: int) -> np.ndarray:
+    step = np.full(n, base, U)
+    step[0] = 1
+    return np.cumprod(step, dtype=U)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -94,11 +109,16 @@ class Words:
         length = self.end - self.start
         if len(self.start):
             with np.errstate(over="ignore"):
-                where = np.flatnonzero(inside)
-                inner = where - np.repeat(self.start, length)
-                part = BYTE_CODE[data[where]] * powers(int(length.max()))[inner]
-                heads = np.concatenate(([0], np.cumsum(length)[:-1]))
-                self.hash = mix(np.add.reduceat(part, heads) + length.astype(U) * U(0xD6E8FEB86659FD93))
+                if len(data) <= RUNNING:
+                    upto = np.zeros(len(data) + 1, U)
+                    np.cumsum(BYTE_CODE[data] * powers(len(data))[: len(data)], out=upto[1:])
+                    total = (upto[self.end] - upto[self.start]) * inverses(len(data))[self.start]
+                else:
+                    where = np.flatnonzero(inside)
+                    inner = where - np.repeat(self.start, length)
+                    part = BYTE_CODE[data[where]] * powers(int(length.max()))[inner]
+                    total = np.add.reduceat(part, np.concatenate(([0], np.cumsum(length)[:-1])))
+                self.hash = mix(total + length.astype(U) * U(0xD6E8FEB86659FD93))
         else:
             self.hash = np.zeros(0, U)
 

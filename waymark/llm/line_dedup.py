@@ -34,7 +34,7 @@ from waymark.llm.common import Scratch, free_name, small
 #: Hashed counters of token frequency: the bound of what is sent to the tasks.
 COUNTERS = 1 << 16
 #: Prefix tokens of one partition, on average, and of one packed chunk.
-TOKENS_A_PARTITION, CHUNK = 1_000_000, 500_000
+TOKENS_A_PARTITION, CHUNK = 1_000_000, 250_000
 #: Bytes of line numbers by document that may be broadcast.
 BROADCAST_BYTES = 16 << 20
 MAX_STARS = 2
@@ -59,6 +59,14 @@ def line_sets(col: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarr
         yield i, tokens, of, lines, size, ids, np.stack([w.row[head], number[head]])
 
 
+def line_counts(col: pa.Array) -> pa.Array:
+    """How many lines each text has; a null none."""
+    data, at = K.buffers(col)
+    ends = np.concatenate(([0], np.flatnonzero(data == 10) + 1))
+    n = np.searchsorted(ends, at[1:], side="right") - np.searchsorted(ends, at[:-1], side="right") + 1
+    return pa.array(np.where(col.is_null().to_numpy(zero_copy_only=False), 0, n))
+
+
 def counters(docs: DataFrame, k: int) -> np.ndarray:
     """How often the tokens of each hashed counter occur in all lines."""
 
@@ -119,7 +127,8 @@ def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
 
 
 def line_table(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, partitions: int) -> DataFrame:
-    """Two kinds of rows: lines ``(doc_id, th, line, lid)``, and packed prefix tokens ``(part, wide, data)`` of each class, once in a chunk."""
+    """Three kinds of rows: ``(doc_id, th, line)`` of every row with the number of its lines, lines ``(doc_id, th, line, lid)``, and packed
+    prefix tokens ``(part, wide, data)`` of each class, once in a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -132,6 +141,8 @@ def line_table(docs: DataFrame, k: int, num: int, den: int, often: np.ndarray, p
 
         seen, waiting = np.zeros(0, np.int64), 0
         for batch in batches:
+            m = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), line_counts(batch.column(2)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary())], NAMES)
             for i, tokens, of, _, size, ids, where in line_sets(batch.column(2), k):
                 if not len(ids):
                     continue
@@ -288,8 +299,8 @@ def with_earlier(members: DataFrame, sets: DataFrame, scratch: Scratch, num: int
     return (members.select("lid").where("false") if done is None else done).distinct()
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``(doc_id, th, removed)``, a table: the numbers of the removed lines, ascending, for documents that lose any."""
+def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Two tables: ``(doc_id, th, n_lines)`` of every row, and ``(doc_id, th, removed)``, the numbers of the removed lines, ascending, for documents that lose any."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string").alias("text"))
     often = counters(docs, k)
     rough = np.frompyfunc(int.bit_length, 1, 1)(often).astype(K.U)  # by powers of two, six bits
@@ -299,14 +310,14 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80,
     chunks = table.where("data is not null").repartitionById(partitions, "part")
     members = scratch.store(shared_tokens(chunks, num, den).distinct(), "members")
     place = F.struct("doc_id", "line", "th")
-    lines = scratch.store(table.where("line is not null").select("doc_id", "th", "line", "lid"), "lines")
+    rows = scratch.store(table.where("lid is null and data is null").select("doc_id", "th", F.col("line").cast("int").alias("n_lines")), "rows")
+    lines = scratch.store(table.where("lid is not null").select("doc_id", "th", "line", "lid"), "lines")
     scratch.drop(table)
     classes = scratch.store(lines.groupBy("lid").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
     firsts = scratch.store(classes.join(members.select("lid").distinct(), "lid").select("lid", "first"), "firsts")
     chosen = firsts.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_set("first.line").alias("wanted"))
     chosen = scratch.store(chosen, "chosen")
-    rows, numbers = chosen.agg(F.count("*"), F.sum(F.size("wanted"))).first()
-    chosen = F.broadcast(chosen) if 48 * rows + 8 * (numbers or 0) <= BROADCAST_BYTES else chosen
+    chosen = few_numbers(chosen, "wanted")
     sets = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("h")))
     sets = scratch.store(token_sets(sets, k), "tokens")
     if not sets.groupBy("lid").count().where("count > 1").isEmpty():  # of documents whose row is repeated
@@ -317,32 +328,30 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80,
     marked = classes.join(late, "lid", "left").where("late or first <> last").select("lid", "first", F.coalesce("late", F.lit(False)).alias("late"))
     marked = small(scratch.store(marked, "marked"))
     gone = lines.join(marked, "lid").where(F.col("late") | (place > F.col("first")))
-    return scratch.store(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
+    return rows, scratch.store(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
 
 
-def of_rows(gone: DataFrame) -> DataFrame:
-    """Hint a broadcast of removed lines if their bytes are few."""
-    rows, numbers = gone.agg(F.count("*"), F.sum(F.size("removed"))).first()
-    return F.broadcast(gone) if 48 * rows + 8 * (numbers or 0) <= BROADCAST_BYTES else gone
+def few_numbers(df: DataFrame, column: str) -> DataFrame:
+    """Hint a broadcast of a stored table of line numbers by document if its bytes are few."""
+    rows, numbers = df.agg(F.count("*"), F.sum(F.size(column))).first()
+    return F.broadcast(df) if 48 * rows + 8 * (numbers or 0) <= BROADCAST_BYTES else df
 
 
 def removed_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``(doc_id, n_lines, n_removed, removed)`` for every row of ``docs(doc_id, text)``."""
     with Scratch(docs.sparkSession) as scratch:
-        gone = of_rows(scratch.keep(repeated_lines(docs, scratch, k, num, den)))
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"))
-    gone = gone.withColumnRenamed("doc_id", "of")
-    out = rows.join(gone, rows["doc_id"].eqNullSafe(F.col("of")) & (F.col("own") == F.col("th")), "left")
+        rows, gone = map(scratch.keep, repeated_lines(docs, scratch, k, num, den))
+    gone = few_numbers(gone, "removed").select(F.col("doc_id").alias("of"), F.col("th").alias("own"), "removed")
+    out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("th") == F.col("own")), "left")
     return out.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce("removed", F.array().cast("array<bigint>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; all other columns stay."""
     with Scratch(docs.sparkSession) as scratch:
-        gone = of_rows(scratch.keep(repeated_lines(docs, scratch, k, num, den)))
+        gone = scratch.keep(repeated_lines(docs, scratch, k, num, den)[1])
     of, th, out = (free_name(docs, x) for x in ("line_of", "line_th", "line_removed"))
-    gone = gone.toDF(of, th, out)
+    gone = few_numbers(gone, "removed").toDF(of, th, out)
     text = docs["text"].cast("string")
     joined = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text) == F.col(th)), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains(F.col(out), i.cast("bigint"))), "\n")
