@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-#: Rows up to which a narrow side (a few fixed-width columns) may be broadcast. Beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side may be broadcast. Beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 #: White space of the word pattern ``[^\x20\x09-\x0D]+``, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -79,8 +80,16 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if ``df`` (a stored table) has at most ``rows`` rows; else leave a shuffle join, which AQE may split."""
+def width(kind: DataType) -> int:
+    """Bytes of a value as a join's hash table holds it; of what has no fixed width, a usual one."""
+    if isinstance(kind, StructType):
+        return 16 + sum(width(f.dataType) for f in kind)
+    return {"string": 48, "binary": 64}.get(kind.typeName(), 16 + 16 * width(kind.elementType) if isinstance(kind, ArrayType) else 8)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast if ``df`` (a stored table of fixed-width columns) has at most BROADCAST_BYTES; else leave a shuffle join, which AQE may split."""
+    rows = BROADCAST_BYTES // width(df.schema)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

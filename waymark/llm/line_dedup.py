@@ -223,22 +223,23 @@ def shared_tokens(chunks: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def token_sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(lid, s0, s1, tokens)`` of the lines of ``docs(text, wanted)`` whose numbers are wanted; ``s0`` and ``s1`` are a parity sketch of 128 bits."""
+    """``(lid, doc_id, th, line, s0, s1, tokens)`` of the lines of ``docs(doc_id, th, text, wanted)`` whose numbers are wanted; ``s0`` and ``s1`` are a parity sketch of 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(1)
+            wanted = batch.column(3)
             row = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy())
             asked = row << 40 | wanted.flatten().to_numpy()
-            for i, tokens, _, _, size, ids, where in line_sets(batch.column(0), k):
+            for i, tokens, _, _, size, ids, where in line_sets(batch.column(2), k):
                 keep = np.isin((i + where[0]) << 40 | where[1], asked)
                 if keep.any():
-                    own, n = tokens[np.repeat(keep, size)], size[keep]
+                    own, n, rows = tokens[np.repeat(keep, size)], size[keep], pa.array(i + where[0][keep])
                     begin, bit = np.concatenate(([0], np.cumsum(n)[:-1])), (own >> K.U(40)) & K.U(127)
                     sketch = [np.bitwise_xor.reduceat(np.where(bit >> K.U(6) == q, K.U(1) << (bit & K.U(63)), K.U(0)), begin).view(np.int64) for q in range(2)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), *map(pa.array, sketch), K.ragged(own.view(np.int64), n, pa.int64())], ["lid", "s0", "s1", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(where[1][keep]), *map(pa.array, sketch), K.ragged(own.view(np.int64), n, pa.int64())], names)
 
-    return docs.select("text", "wanted").mapInArrow(run, "lid long, s0 long, s1 long, tokens array<long>")
+    names = ["lid", "doc_id", "th", "line", "s0", "s1", "tokens"]
+    return docs.select("doc_id", "th", "text", "wanted").mapInArrow(run, "lid long, doc_id long, th long, line long, s0 long, s1 long, tokens array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
@@ -313,19 +314,21 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80,
     rows = scratch.store(table.where("lid is null and data is null").select("doc_id", "th", F.col("line").cast("int").alias("n_lines")), "rows")
     lines = scratch.store(table.where("lid is not null").select("doc_id", "th", "line", "lid"), "lines")
     scratch.drop(table)
-    classes = scratch.store(lines.groupBy("lid").agg(F.min(place).alias("first"), F.max(place).alias("last")), "classes")
-    firsts = scratch.store(classes.join(members.select("lid").distinct(), "lid").select("lid", "first"), "firsts")
+    # one aggregate tells each class's first line, how many lines it has, and whether it may be similar to another
+    asked = members.select("lid", F.lit(None).cast(lines.select(place.alias("p")).schema["p"].dataType).alias("place"))
+    classes = lines.select("lid", place.alias("place")).union(asked).groupBy("lid")
+    classes = scratch.store(classes.agg(F.min("place").alias("first"), F.count("place").alias("lines"), F.count("*").alias("all")), "classes")
+    firsts = classes.where("all > lines").select("lid", "first")
     chosen = firsts.groupBy(F.col("first.doc_id").alias("d"), F.col("first.th").alias("h")).agg(F.collect_set("first.line").alias("wanted"))
-    chosen = scratch.store(chosen, "chosen")
-    chosen = few_numbers(chosen, "wanted")
+    chosen = few_numbers(scratch.store(chosen, "chosen"), "wanted")
     sets = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["th"] == F.col("h")))
     sets = scratch.store(token_sets(sets, k), "tokens")
     if not sets.groupBy("lid").count().where("count > 1").isEmpty():  # of documents whose row is repeated
         sets = scratch.store(sets.dropDuplicates(["lid"]), "tokens")
-    firsts = scratch.store(firsts.join(sets.select("lid", "s0", "s1"), "lid"), "firsts")
-    members = scratch.store(members.join(small(firsts), "lid"), "members")
-    late = with_earlier(members, sets, scratch, num, den).withColumn("late", F.lit(True))
-    marked = classes.join(late, "lid", "left").where("late or first <> last").select("lid", "first", F.coalesce("late", F.lit(False)).alias("late"))
+    known = small(sets.select("lid", place.alias("first"), "s0", "s1"))
+    members = scratch.store(members.join(known, "lid"), "members")
+    late = small(scratch.store(with_earlier(members, sets, scratch, num, den), "late")).withColumn("late", F.lit(True))
+    marked = classes.join(late, "lid", "left").where("late or lines > 1").select("lid", "first", F.coalesce("late", F.lit(False)).alias("late"))
     marked = small(scratch.store(marked, "marked"))
     gone = lines.join(marked, "lid").where(F.col("late") | (place > F.col("first")))
     return rows, scratch.store(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("removed")), "removed")
