@@ -37,6 +37,8 @@ COUNTERS = 1 << 16
 TOKENS_A_PARTITION, CHUNK = 1_000_000, 250_000
 #: Bytes of line numbers by document that may be broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Classes of a token of which each is compared with each, in its partition, before any is sent on; of a larger group all are.
+NEIGHBOURS = 32
 MAX_STARS = 2
 #: Comparisons for each undecided class of a token that are made in the join rather than by another star.
 PAIRS_A_ROW = 64
@@ -207,11 +209,23 @@ def shared_tokens(chunks: DataFrame, num: int, den: int) -> DataFrame:
         pos &= np.uint32((1 << 31) - 1)
         new = head.copy()
         new[1:] |= lid[1:] != lid[:-1]  # equal sets have equal sizes, so copies of a class are neighbours
-        token, lid, n, pos, more = token[new], lid[new], n[new], pos[new], more[new]
-        near = (token[1:] == token[:-1]) & (n[:-1] * den >= n[1:] * num)  # the next size is the nearest one
+        token, lid, n, pos, more = token[new], lid[new], n[new], pos[new].astype(np.int64), more[new]
+        # within a token by size: whether any other class fits, by length and position; of a larger group all stay
         keep = more.copy()
-        keep[1:] |= near
-        keep[:-1] |= near
+        for step in range(1, NEIGHBOURS + 1):
+            if step >= len(token):
+                break
+            same = token[step:] == token[:-step]
+            if step == NEIGHBOURS:
+                near = same
+            else:
+                a, b = n[:-step], n[step:]
+                near = same & (a * den >= b * num) & (np.minimum(a - pos[:-step], b - pos[step:]) * (den + num) >= (a + b) * num)
+            keep[step:] |= near
+            keep[:-step] |= near
+            if step == NEIGHBOURS and near.any():
+                large = np.unique(token[step:][near])
+                keep |= np.isin(token, large)
         yield from rows(token[keep], lid[keep], n[keep], pos[keep])
 
     def rows(token: np.ndarray, lid: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
