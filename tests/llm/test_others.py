@@ -367,6 +367,25 @@ def test_vectors_that_take_no_part(spark):
     assert nearest.nearest(table.where("vec_id < 0")).count() == 0
 
 
+def test_most_pairs_are_not_verified(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
+    asked = np.flatnonzero(ids % 25 == 0)
+    q, _, d = nearest.first_found(ids[:1000], vectors[:1000], ids[asked], vectors[asked], 10)
+    bounds = nearest.bounds_of(len(asked), q, d, 10)
+    q, of, _, tried = nearest.search_block(ids, vectors, ids[asked], vectors[asked], bounds, 10, 16, 0.9, 1)
+    want = exact([(r["vec_id"], r["embedding"]) for r in rows], 25, 10)
+    hits = sum(len({i for i, _ in want[int(ids[a])]} & set(ids[of[q == n]].tolist())) for n, a in enumerate(asked))
+    assert hits >= 0.9 * 10 * len(asked) and tried < 0.75 * len(ids) * len(asked)
+
+
+def test_lengths_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 1, 0.5), (0, [1.0, 0.0], 1, 0.5), (1, [1.0, 1.0], 1, 0.5), (1, [1.0, 1.0], 2, 0.1), (2, [1.0], 0, 0.0), (100, [3.0], 0, 0.0), (3, [5.0], 0, 0.0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, Rank int, score double")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in nearest.nearest(table).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 1, 1.0), (100, 1, 2, 2.0), (100, 2, 3, 2.0)]
+
+
 def test_chi_square():
     assert abs(float(nearest.chi_square_cdf(np.array(15.507313055865453), 8)) - 0.95) < 1e-9
     assert abs(nearest.chi_square_quantile(0.95, 8) - 15.507313055865453) < 1e-6
