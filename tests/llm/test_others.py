@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -68,6 +69,20 @@ def test_wand_gives_what_scoring_all_gives():
             assert all(abs(score[i] - s) < 1e-12 for i, s in got.items())
 
 
+def test_scores_do_not_depend_on_the_shard(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    rng = random.Random(5)
+    items = spark.createDataFrame([(i, " ".join(rng.choices(words, k=20))) for i in range(60)], "item_id long, text string")
+    texts = [(100 + i, "start " + r["text"] + " end") for i, r in enumerate(items.collect())]
+    held = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = sorted(map(tuple, decontamination.contaminations(held, items).collect()))
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 8)
+    monkeypatch.setattr(decontamination, "SHARDS_A_PASS", 3)
+    parts = sorted(map(tuple, decontamination.contaminations(held, items).collect()))
+    assert [x[:2] for x in parts] == [x[:2] for x in whole] and {(100 + i, i) for i in range(60)} <= {x[:2] for x in whole}
+    assert all(math.isclose(a[2], b[2], rel_tol=1e-12) for a, b in zip(parts, whole, strict=True))
+
+
 def test_leaks_anywhere_in_long_texts_and_edge_items(spark, nasty, empty):
     item = " ".join(f"q{i}" for i in range(40))
     rows = [(i, " ".join(["pad"] * (i * 37) + [item] + ["end"] * 500), "en", "a", 0) for i in range(8)]

@@ -11,8 +11,9 @@ what passes is searched by block-max WAND and all items at or above the threshol
 short part has few shingles, and one word that differs or has something glued to it breaks them all; so an item is also held when
 ``overlap`` of its words lie in runs of RUN words that the passage holds and half of its answer's words are in the passage.
 
-The items are read in shards of at most SHARD_ITEMS; a shard's index goes to the tasks, the documents are never
-shuffled or joined.
+Document frequencies and the mean length are counted over all items first, so an item's scores do not depend on its shard. The
+items are read in shards of at most SHARD_ITEMS; SHARDS_A_PASS indexes at a time go to the tasks, the documents are never shuffled
+or joined.
 
 Cases. Null or empty texts and items match nothing. A part of fewer than five words is one shingle. Equal items are all reported.
 Repeated rows are each searched. An empty benchmark gives no match. Other columns are passed through.
@@ -20,6 +21,7 @@ Repeated rows are each searched. An empty benchmark gives no match. Other column
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import kernel as K
+from waymark.llm.common import Scratch
 
 K1, B = 1.2, 0.75
 #: Items of an index shard, and of a block of its postings.
 SHARD_ITEMS, BLOCK = 2_000, 4
+#: Shards that are searched in one pass over the documents: what a task holds.
+SHARDS_A_PASS = 16
 #: Words of a run: with three, any one edited word leaves at least 0.8 of an item of 15 words or more.
 RUN = 3
 
@@ -58,8 +63,8 @@ def part_shingles(words: np.ndarray, k: int) -> tuple[int, np.ndarray]:
     return k, np.unique(K.shingles(words, np.zeros(len(words), np.int64), k)[0]) if k else np.zeros(0, K.U)
 
 
-def build(items: list[tuple[int, str]], k: int = 5, answer_share: float = 0.25) -> Index | None:
-    """The index of one shard; None if no item has a word."""
+def build(items: list[tuple[int, str]], k: int = 5, answer_share: float = 0.25, corpus: tuple[int, float, dict[int, int]] | None = None) -> Index | None:
+    """The index of one shard; None if no item has a word. ``corpus``: number of all items, their mean length, and in how many each word is; without it, of these."""
     ids, bags, parts, runs, length = [], [], [], [], 0
     for item_id, text in items:
         data, at = K.buffers(pa.array([text or ""]))
@@ -75,12 +80,16 @@ def build(items: list[tuple[int, str]], k: int = 5, answer_share: float = 0.25)
     if not ids:
         return None
     vocab, df = np.unique(np.concatenate([w for w, _ in bags]), return_counts=True)
-    idf = np.log(1 + (len(ids) - df + 0.5) / (df + 0.5))
     sizes = np.array([c.sum() for _, c in bags])
+    many, mean = len(ids), sizes.mean()
+    if corpus:
+        many, mean = corpus[:2]
+        df = np.array([corpus[2][x] for x in vocab.view(np.int64).tolist()])
+    idf = np.log(1 + (many - df + 0.5) / (df + 0.5))
     word, item, impact = [], [], []
     for i, (w, c) in enumerate(bags):
         v = np.searchsorted(vocab, w)
-        x = idf[v] * c * (K1 + 1) / (c + K1 * (1 - B + B * sizes[i] / sizes.mean()))
+        x = idf[v] * c * (K1 + 1) / (c + K1 * (1 - B + B * sizes[i] / mean))
         word.append(v)
         item.append(np.full(len(v), i))
         impact.append(x / x.sum())
@@ -159,9 +168,8 @@ def in_runs(item: tuple[int, np.ndarray, np.ndarray], words: np.ndarray) -> floa
     return float(inside.mean())
 
 
-def search(index: Index, data: np.ndarray, at: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+def search(index: Index, w: K.Words, at: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question's share, answer's share) of all verified matches of some rows, best passage each."""
-    w = K.Words(data, at)
     v = np.minimum(np.searchsorted(index.vocab, w.hash), len(index.vocab) - 1)
     hit = np.flatnonzero(index.vocab[v] == w.hash)
     if not len(hit):
@@ -196,30 +204,63 @@ def search(index: Index, data: np.ndarray, at: np.ndarray, threshold: float, ove
     return [(r, i, *x) for (r, i), x in sorted(best.items())]
 
 
+def statistics(items: DataFrame) -> DataFrame:
+    """``(word, items, words)``: in how many items each word is; the row without a word has the number of items that have words, and of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in K.slices(batch.column(0)):
+                w = K.Words(data, at)
+                word, row = K.distinct(w.hash, w.row)
+                sizes = np.bincount(w.row, minlength=1)
+                sizes = sizes[sizes > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.ones(len(word), np.int64))], ["word", "words"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(sizes), pa.int64()), pa.array(sizes.astype(np.int64))], ["word", "words"])
+
+    return items.select("text").mapInArrow(run, "word long, words long").groupBy("word").agg(F.count("*").alias("items"), F.sum("words").alias("words"))
+
+
 def shards(benchmark: DataFrame) -> Iterator[Index]:
-    """The indexes of the items, a bounded shard at a time."""
+    """The indexes of the items, a bounded shard at a time; document frequencies and mean length are those of all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = max(1, -(-items.count() // (SHARD_ITEMS // 2)))
-    for s in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == s) if n > 1 else items
-        rows = sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        for at in range(0, len(rows), SHARD_ITEMS):
-            if index := build(rows[at : at + SHARD_ITEMS]):
-                yield index
+    with Scratch(benchmark.sparkSession) as scratch:
+        table = scratch.store(statistics(items), "words")
+        many, total = (table.where("word is null").select("items", "words").first() or (0, 0))[:2]
+        for s in range(n):
+            own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == s) if n > 1 else items
+            rows = sorted(((r["item_id"], r["text"]) for r in own.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            for at in range(0, len(rows), SHARD_ITEMS):
+                part = rows[at : at + SHARD_ITEMS]
+                words = np.unique(K.Words(*K.buffers(pa.array([t for _, t in part], pa.string()))).hash).view(np.int64)
+                known = F.broadcast(benchmark.sparkSession.createDataFrame(pa.table({"own": words})))  # the words of a bounded shard
+                found = table.join(known, F.col("word") == F.col("own")).select("word", "items").toArrow()
+                frequency = dict(zip(found["word"].to_pylist(), found["items"].to_pylist(), strict=True))
+                if many and (index := build(part, corpus=(many, total / many, frequency))):
+                    yield index
+
+
+def passes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """The indexes that go through the documents together."""
+    every = shards(benchmark)
+    while own := list(itertools.islice(every, SHARDS_A_PASS)):
+        yield own
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` of every document and item that it holds."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    for index in shards(benchmark):
+    for indexes in passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, _, data, at in K.slices(batch.column(1)):
-                    if found := search(index, data, at, threshold, overlap):
-                        rows, items, *rest = zip(*found, strict=True)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + r for r in rows])), pa.array([index.ids[x] for x in items], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                    w = K.Words(data, at)
+                    for index in indexes:
+                        if found := search(index, w, at, threshold, overlap):
+                            rows, items, *rest = zip(*found, strict=True)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + r for r in rows])), pa.array([index.ids[x] for x in items], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
         out = one if out is None else out.union(one)
@@ -229,13 +270,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     at_text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
-    for index in shards(benchmark):
+    for indexes in passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = indexes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, data, at in K.slices(batch.column(at_text)):
-                    clean[[i + f[0] for f in search(index, data, at, threshold, overlap)]] = False
+                    w = K.Words(data, at)
+                    for index in indexes:
+                        clean[[i + f[0] for f in search(index, w, at, threshold, overlap)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -155,10 +155,12 @@ def shingles(words: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def order_of(values: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """The order by group and value: one sort of both in 64 bits; where the bits left for the value do not tell two apart, a sort by two keys."""
+    """The order by group and value, hashes or small numbers: one sort of both in 64 bits; where the bits left for a hash do not tell two apart, a sort by two keys."""
     if not len(values):
         return np.zeros(0, np.int64)
     bits = int(group.max()).bit_length()
+    if values.dtype != U:  # small numbers: both fit as they are
+        return np.argsort(group.astype(np.int64) * (int(values.max()) + 1) + values, kind="stable")
     if bits > 32:
         return np.lexsort((values, group))
     joint = group.astype(U) << U(64 - bits) | values >> U(bits) if bits else values
