@@ -99,3 +99,25 @@ def test_shortest_paths_and_limit(spark):
     got = {r["node"]: r["km"] for r in graph.shortest_paths(edges_of(spark, rows), source).collect()}
     assert got == {0: 0.0, 1: 2.0, 2: 4.0, 3: 5.0}
     assert {r["node"] for r in graph.shortest_paths(edges_of(spark, rows), source, limit=4.0).collect()} == {0, 1, 2}
+
+
+def test_leg_status_branches(spark):
+    from waymark.plans.reconcile import leg_status_of
+
+    rows = [
+        (None, 900.0, 0.0, 0.0, "unlocated"), (150.0, None, 500.0, 500.0, "recorded"), (150.0, 160.0, 501.0, 0.0, "missing"), (3000.0, None, 10.0, 10.0, "missing"),
+        (2500.0, 6250.0, 0.0, 0.0, "recorded"), (2501.0, 6250.0, 0.0, 0.0, "partial"), (3000.0, 5400.0, 0.0, 0.0, "recorded"), (3000.0, 3000.0, 10.0, 501.0, "partial"), (3000.0, 3000.0, 900.0, 501.0, "missing"),
+    ]
+    df = spark.createDataFrame(rows, "s double, r double, a double, b double, want string")
+    got = df.select("want", leg_status_of(F.col("s"), F.col("r"), F.col("a"), F.col("b")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_ranks_over_ranges(spark):
+    from waymark.operators.trajectory import average_ranks
+
+    values = [i * 7 % 301 / 3 for i in range(900)] + [5.0] * 40
+    got = {(r["v"], r["rank"]) for r in average_ranks(spark.createDataFrame([(v,) for v in values], "v double"), "v", "rank").collect()}
+    order = sorted(values)
+    assert got == {(v, order.index(v) + 1 + (order.count(v) - 1) / 2) for v in values}
+    assert average_ranks(spark.createDataFrame([], "v double"), "v", "rank").count() == 0

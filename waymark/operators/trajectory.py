@@ -67,14 +67,25 @@ def track_length(stepped: DataFrame, run: str) -> DataFrame:
     return stepped.groupBy(run).agg(F.bround(F.sum("m") / 1000, 2).alias("km"), F.count("*").alias("vertices"))
 
 
+#: Ranges of values that are ranked side by side.
+RANK_RANGES = 64
+
+
 def average_ranks(rows: DataFrame, by: str, name: str) -> DataFrame:
     """Adds the average rank of ``by``: ties share the mean of their places. (AGG-18)
 
-    Values are counted first and ranked by running sums over the distinct values, so a value that is very frequent costs one row.
+    Values are counted first, so a value that is very frequent costs one row. The distinct values are cut at some of their quantiles
+    into ranges; each range sums up its own, and the sums of the ranges before it are added.
     """
     counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
-    ranked = counts.withColumn(name, F.sum("_n").over(Window.orderBy(by)) - (F.col("_n") - 1) / 2)
-    return rows.join(ranked.drop("_n"), by)
+    cuts = counts.agg(F.percentile_approx(by, [i / RANK_RANGES for i in range(1, RANK_RANGES)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts)))), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    counts = counts.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over at most RANK_RANGES rows
+    offsets = counts.groupBy("_part").agg(F.sum("_n").alias("_sum")).select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy(by))
+    ranked = counts.withColumn("_upto", upto).join(F.broadcast(offsets), "_part")
+    return rows.join(ranked.select(by, (F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), by)
 
 
 def spearman(rows: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:

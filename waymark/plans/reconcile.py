@@ -79,13 +79,19 @@ def chain_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leg_status_of(straight: Column, route: Column, off_a: Column, off_b: Column) -> Column:
-    """Eight branches, in this order. (FIL-07, GRA-08)"""
+    """Status of a leg, first match. (FIL-07, GRA-08)
+
+    1 an end without a position: unlocated; 2, 3 ends under 200 m apart are one place: recorded if both lie on the network, else
+    missing; 4 both ends on the network and no route: missing; 5 a route within the detour limit: recorded; 6 a longer route: partial;
+    7 one end on the network: partial; 8 none: missing.
+    """
     ok_a, ok_b = off_a <= 500, off_b <= 500
+    both = ok_a & ok_b
     ratio = (route + off_a + off_b) / F.greatest(straight, F.lit(1.0))
     limit = F.when(straight <= 2500, 2.5).otherwise(1.8)
     return (
-        F.when(straight.isNull(), "unlocated").when(straight < 200, "same place").when(ok_a & ok_b & route.isNull(), "missing")
-        .when(ok_a & ok_b & (ratio <= limit), "recorded").when(ok_a & ok_b, "partial, long way").when(ok_a | ok_b, "partial").otherwise("missing")
+        F.when(straight.isNull(), "unlocated").when((straight < 200) & both, "recorded").when(straight < 200, "missing").when(both & route.isNull(), "missing")
+        .when(both & (ratio <= limit), "recorded").when(both, "partial").when(ok_a | ok_b, "partial").otherwise("missing")
     )
 
 
@@ -188,10 +194,15 @@ def composite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals before and after a split must agree. (SNK-11, SRC-16)"""
+    """Rows and balance of customers before and after they are spread over regions must agree. (SNK-11, SRC-16)
+
+    Rows that the map from nation to region loses, or counts twice, show as a difference.
+    """
     c = read(spark, sf_dir, "customer").where(~F.coalesce(F.col("c_name"), F.lit("")).startswith("Total"))
-    parts = c.groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    return c.agg(F.count("*").alias("rows_in")).join(F.broadcast(parts.agg(F.sum("n").alias("rows_out")))).select("rows_in", "rows_out", (F.col("rows_in") == F.col("rows_out")).alias("holds"))
+    nations = read(spark, sf_dir, "nation").where("n_regionkey < 4")
+    spread = c.join(F.broadcast(nations), c["c_nationkey"] == nations["n_nationkey"]).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    before, after = c.agg(F.count("*").alias("rows_in")), spread.agg(F.sum("n").alias("rows_out"))
+    return before.join(F.broadcast(after)).select("rows_in", "rows_out", F.col("rows_in").eqNullSafe(F.col("rows_out")).alias("holds"))
 
 
 QUERIES = {
@@ -219,8 +230,8 @@ SELECT name, arg_max(node, depth) AS target, max(depth) AS depth FROM c GROUP BY
     "chain_legs": "WITH l AS (SELECT l_orderkey, CAST(row_number() OVER w AS INT) AS leg, l_partkey AS from_part, lead(l_partkey) OVER w AS to_part FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)) SELECT * FROM l WHERE to_part IS NOT NULL",
     "leg_status": """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice / 8 END AS st, CASE WHEN l_quantity < 5 THEN NULL ELSE l_extendedprice / 8 * (1 + l_quantity / 25) END AS ro, l_discount * 8000 AS a, l_tax * 10000 AS b FROM lineitem),
 q AS (SELECT *, (ro + a + b) / greatest(st, 1.0) AS ratio FROM m)
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN st IS NULL THEN 'unlocated' WHEN st < 200 THEN 'same place' WHEN a <= 500 AND b <= 500 AND ro IS NULL THEN 'missing' WHEN a <= 500 AND b <= 500 AND ratio <= CASE WHEN st <= 2500 THEN 2.5 ELSE 1.8 END THEN 'recorded'
-WHEN a <= 500 AND b <= 500 THEN 'partial, long way' WHEN a <= 500 OR b <= 500 THEN 'partial' ELSE 'missing' END AS status, round_even(CASE WHEN st IS NOT NULL THEN ratio END, 4) AS detour FROM q""",
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN st IS NULL THEN 'unlocated' WHEN st < 200 THEN CASE WHEN a <= 500 AND b <= 500 THEN 'recorded' ELSE 'missing' END WHEN a <= 500 AND b <= 500 AND ro IS NULL THEN 'missing' WHEN a <= 500 AND b <= 500 AND ratio <= CASE WHEN st <= 2500 THEN 2.5 ELSE 1.8 END THEN 'recorded'
+WHEN a <= 500 OR b <= 500 THEN 'partial' ELSE 'missing' END AS status, round_even(CASE WHEN st IS NOT NULL THEN ratio END, 4) AS detour FROM q""",
     "facility_verdict": """WITH f AS (SELECT l_partkey, list(DISTINCT ['a','b','c','d','e'][CAST(l_suppkey % 5 AS INT) + 1]) AS found FROM lineitem GROUP BY 1),
 r AS (SELECT p_partkey, p_size, list_distinct([['a','b','c','d','e'][p_size % 5 + 1], ['a','b','c','d','e'][(p_size * 2) % 5 + 1]]) AS want, coalesce(found, []) AS found FROM part LEFT JOIN f ON l_partkey = p_partkey),
 v AS (SELECT *, len(list_filter(want, lambda x: list_contains(found, x))) AS hits, list_sort(list_filter(want, lambda x: NOT list_contains(found, x))) AS miss FROM r)
@@ -241,5 +252,5 @@ b AS (SELECT coalesce(key, k) AS key, CASE WHEN k IS NULL THEN 'missing' WHEN t.
     "harvest_sources": f"WITH {_OFFERS}, d AS (SELECT DISTINCT name, src FROM o) SELECT name, string_agg(src, ' | ' ORDER BY src) AS sources, count(*) AS n_sources FROM d GROUP BY 1",
     "unlocated_names": "WITH d AS (SELECT o_orderkey, 'Z' || (o_custkey % 50) || CASE WHEN o_orderkey % 2 = 0 THEN ' and Z' || (o_custkey % 31) ELSE '' END AS detail FROM orders), e AS (SELECT o_orderkey, unnest(string_split(detail, ' and ')) AS name FROM d) SELECT name, count(DISTINCT o_orderkey) AS routes, min(o_orderkey) AS first FROM e GROUP BY 1",
     "composite_lookup": "SELECT p.p_partkey, min(n.p_partkey) AS note, count(*) AS n FROM part p JOIN part n ON p.p_brand = n.p_brand AND p.p_size = n.p_size AND p.p_type = n.p_type AND starts_with(p.p_name, substr(n.p_name, 1, 4)) GROUP BY 1",
-    "population_guard": "WITH c AS (SELECT * FROM customer WHERE coalesce(c_name, '') NOT LIKE 'Total%') SELECT count(*) AS rows_in, count(*) AS rows_out, true AS holds FROM c",
+    "population_guard": "SELECT count(*) AS rows_in, count(*) FILTER (WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4)) AS rows_out, count(*) FILTER (WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 4)) = count(*) AS holds FROM customer WHERE c_name IS NULL OR c_name NOT LIKE 'Total%'",
 }
