@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import math
 import random
 import zlib
@@ -299,6 +300,61 @@ def test_wrapper_groups():
     assert "h2(#)" in html_extraction.expression(w) and "p(#)+" in html_extraction.expression(w) and "table(" in html_extraction.expression(w) and "?" in html_extraction.expression(w)
 
 
+
+def test_wrapper_repeats_squares_in_order():
+    trees = [html_extraction.tree_of(html_extraction.blocks_of(p)) for p in ("<h2>a</h2><p>b</p><div>c</div><h2>d</h2>", "<h2>x</h2><p>y</p><h2>a</h2><p>z</p><div>c</div><h2>d</h2>")]
+    for w in (html_extraction.align(*trees), html_extraction.align(*trees[::-1])):
+        assert html_extraction.expression(w) == "((h2(#) p(#))+ div(') h2('))"
+        assert html_extraction.matches(w, "<h2>a</h2><p>b</p>" * 5 + "<div>c</div><h2>d</h2>")
+        assert not html_extraction.matches(w, "<h2>a</h2><p>b</p><h2>d</h2><div>c</div>")
+
+
+def random_page(r, depth=2):
+    out = ""
+    for _ in range(r.choice([0, 1, 2, 3, 5, 8, 70 if r.random() < 0.1 else 4])):
+        tag = r.choice(["p", "h2", "div", "div", "section", "#"])
+        names = r.choice(["", " class=a", " class=b"])
+        out += r.choice(["x", "y z"]) + " " if tag == "#" else f"<{tag}{names}>{random_page(r, depth - 1)}</{tag}>" if depth and tag in ("div", "section") else f"<{tag}>w{r.randrange(3)}</{tag}>"
+    return out
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_pages_match_their_wrapper(seed):
+    r = random.Random(seed)
+    pages = [f"<html><body>{random_page(r)}</body></html>" for _ in range(r.randint(1, 6))]
+    trees = [html_extraction.tree_of(html_extraction.blocks_of(p)) for p in pages]
+    half = len(trees) // 2 if seed % 2 else 0
+    w = functools.reduce(html_extraction.align, trees[half:])
+    if half:
+        w = html_extraction.align(functools.reduce(html_extraction.align, trees[:half]), w)
+    assert all(html_extraction.matches(w, p) for p in pages)
+    rule = html_extraction.decision(w)
+    assert all(isinstance(html_extraction.extract(p, rule), str) for p in pages)
+
+
+def test_wrapper_alone_finds_the_article(spark):
+    """Only div and no names: what differs from page to page is the article."""
+
+    def page(i):
+        return f"<div><div>Daily news of the town and its harbour</div><div>All sections at a glance</div></div><div><div>Title {i}</div>{''.join(f'<div>Part {j} of text {i}</div>' for j in range(i % 3 + 1))}</div><div>Imprint and contact of the house</div>"
+
+    pages = spark.createDataFrame([(i, f"http://plain/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_extraction.main_texts(pages).collect()}
+    assert got == {i: "\n\n".join([f"Title {i}", *(f"Part {j} of text {i}" for j in range(i % 3 + 1))]) for i in range(6)}
+    assert "Imprint" in html_extraction.extract(page(0), None)  # one page alone does not tell
+
+
+def test_html_cases(spark):
+    schema = "page_id long, url string, html string, text string, host string, rule string"
+    assert html_extraction.main_texts(spark.createDataFrame([], schema)).collect() == []
+    deep = "<div>" * 3000 + "<p>Deep text</p>" + "</div>" * 3000
+    long = "<article>" + "<p>word and word</p><h2>head</h2>" * 20_000 + "</article>"
+    rows = [(1, "http://h/1", PAGE, "t", "u", "v")] * 2 + [(2, "http://deep/", deep, None, None, None), (3, "http://long/", long, None, None, None), (4, None, None, None, None, None)]
+    got = sorted((r["page_id"], r["n_chars"], r["text"]) for r in html_extraction.main_texts(spark.createDataFrame(rows, schema)).collect())
+    assert [g[0] for g in got] == [1, 1, 2, 3, 4] and got[0] == got[1] and got[2][2] == "Deep text" and got[4][2] == ""
+    assert got[3][2] == "\n\n".join(["word and word", "head"] * 20_000)
+
+
 def test_constant_notice_without_a_class_is_template(spark):
     page = lambda i: f"<body><div><p>{' '.join(f'word{i}{j}' for j in range(30))}</p><p>tail {i}</p></div><div><span>Always the same words stand at the end of this page here</span></div></body>"
     pages = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(8)] + [(99, None, None)], "page_id long, url string, html string")
