@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from helpers import DOCS, later_lines, words
+from pyspark.sql import functions as F
 
 from waymark.llm import decontamination, html_extraction, language_id, line_dedup, mixing, nearest, quality, sharding, url_filter
 from waymark.llm.queries import QUERIES, URL_RULES
@@ -134,6 +135,33 @@ def test_bad_hosts_are_blocked_and_shrunk(spark):
 # sharding
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com": ("example.com", "com"), "u@10.0.0.1:80": ("10.0.0.1", "[address]"), "[::1]:8080": ("[::1]", "[address]"), "host": ("host", "host"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r["host"]: (r["d"], r["s"]) for r in rows.select("host", url_filter.domain_of(F.col("host")).alias("d"), url_filter.suffix_of(F.col("host")).alias("s")).collect()} == hosts
+
+
+def test_posterior_quantile(spark):
+    """Against a numeric integral of the beta density, over the logit, where it is smooth."""
+    cases = [(a, b, x) for a in (0.5, 1.0, 2.5, 8.0, 60.0, 900.0) for b in (0.5, 1.0, 2.5, 8.0, 60.0, 900.0) for x in (0.2, 0.5, 0.8)]
+    for x in (0.2, 0.5, 0.8):
+        rows = spark.createDataFrame([c[:2] for c in cases if c[2] == x], "a double, b double")
+        for r in rows.select("a", "b", url_filter.surely_above(F.col("a"), F.col("b"), x).alias("z")).collect():
+            t = np.linspace(-80, 80, 400_001)
+            log = -r["a"] * np.logaddexp(0, -t) - r["b"] * np.logaddexp(0, t)
+            mass = np.exp(log - log.max())
+            above = mass[t > math.log(x / (1 - x))].sum() / mass.sum()
+            assert abs(0.5 * math.erfc(-r["z"] / math.sqrt(2)) - above) < 0.02, (r, x, above)
+
+
+def test_url_repeats_nulls_and_clashes(spark):
+    rows = [(1, "http://bad.a.com/x", "h", "r")] * 2 + [(2, None, None, None), (None, "http://good.b.com/", "h", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, above string")
+    outcomes = spark.createDataFrame([("http://bad.a.com/", 1)] * 50 + [("http://good.b.com/", 0)] * 50 + [("http://good.b.com/", None), (None, 0)], "url string, bad int")
+    got = sorted((r["page_id"] or 0, r["host"], r["verdict"]) for r in url_filter.judge_urls(pages, outcomes, ()).collect())
+    assert got == [(0, "good.b.com", "allow"), (1, "bad.a.com", "block"), (1, "bad.a.com", "block"), (2, "", "allow")]
+
+
 @pytest.mark.parametrize("shards", [16, 3])
 def test_shards_are_even_gapless_and_keep_groups(spark, docs, shards):
     rows = sharding.shard_slots(docs, shards).collect()

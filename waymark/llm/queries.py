@@ -15,7 +15,7 @@ from waymark.llm.nearest import nearest
 from waymark.llm.ngram_jaccard_join import ngram_jaccard_join
 from waymark.llm.quality import quality_scores
 from waymark.llm.sharding import shard_slots
-from waymark.llm.url_filter import judge_urls
+from waymark.llm.url_filter import SUFFIXES, judge_urls
 
 # The rules of the URL query, as (host, path, verdict).
 URL_RULES = (
@@ -95,14 +95,14 @@ def _shingles(words: str, k: int) -> str:
 #: Rates by level, each prior without the unit's own outcomes.
 _URLS = r"""u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT host, greatest(1 - quality, toxic) AS bad FROM u JOIN labels ON labels.doc_id = u.page_id), hs AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM (SELECT host, bad FROM o UNION ALL SELECT host, NULL FROM u) GROUP BY host),
-b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM hs), un AS (SELECT host, CAST(n AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS bad, array_to_string(string_split(bare, '.')[-2:], '.') AS domain, string_split(bare, '.')[-1] AS suffix FROM b),
+b AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS bare FROM hs), b2 AS (SELECT *, regexp_matches(bare, '^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$') AS address, array_to_string(string_split(bare, '.')[-2:], '.') AS two, two IN ({suffixes}) AS long FROM b), un AS (SELECT host, CAST(n AS DOUBLE) AS n, CAST(bad AS DOUBLE) AS bad, CASE WHEN address THEN bare WHEN long THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE two END AS domain, CASE WHEN address THEN '[address]' WHEN long THEN two ELSE string_split(bare, '.')[-1] END AS suffix FROM b2),
 g AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS up FROM un),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(up) AS up FROM un, g GROUP BY suffix), ks AS (SELECT {k} AS k FROM s0 WHERE n > 0),
 d0 AS (SELECT domain, d.suffix, d.n, d.bad, (s0.bad - d.bad + ks.k * s0.up) / (s0.n - d.n + ks.k) AS up FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM un GROUP BY 1, 2) d JOIN s0 ON s0.suffix = d.suffix, ks), kd AS (SELECT {k} AS k FROM d0 WHERE n > 0),
 h0 AS (SELECT host, un.n, un.bad, (d0.bad - un.bad + kd.k * d0.up) / (d0.n - un.n + kd.k) AS up FROM un JOIN d0 ON d0.domain = un.domain, kd), kh AS (SELECT {k} AS k FROM h0 WHERE n > 0),
-m AS (SELECT host, n, k, (bad + k * up) / (n + k) AS mean FROM h0, kh), low AS (SELECT host, mean - 1.645e0 * sqrt(mean * (1 - mean) / (n + k + 1)) AS low FROM m)""".replace(
+m AS (SELECT host, bad + k * up AS a, n + k - (bad + k * up) AS b FROM h0, kh), m2 AS (SELECT *, cbrt(b / a) AS r FROM m), low AS (SELECT host, (1 - 1 / (9 * a) - r * (1 - 1 / (9 * b))) / sqrt(1 / (9 * a) + r * r / (9 * b)) AS above FROM m2)""".replace(
     "{k}", "greatest(1.0, least(200.0, coalesce(1 / CASE WHEN rho > 0 THEN rho END - 1, 200.0)))"
-)
+).replace("{suffixes}", ", ".join(f"'{s}'" for s in SUFFIXES))
 
 
 def _with_rho(sql: str) -> str:
@@ -120,7 +120,7 @@ r AS (SELECT doc_id AS d, doc_id AS t FROM documents UNION SELECT r.d, l.b FROM
 SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT d, min(t) AS component_id FROM r GROUP BY d) c ON c.d = documents.doc_id""",
     "op4_url_filter": f"""WITH {_with_rho(_URLS)}, rules AS (SELECT * FROM (VALUES {_RULES}) AS t(h, p, v)),
 f AS (SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC, h || p DESC) AS rn FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
-SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND rn = 1 JOIN low ON low.host = u.host""",
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.v, CASE WHEN above > 1.645 THEN 'block' ELSE 'allow' END) AS verdict FROM u LEFT JOIN f ON f.page_id = u.page_id AND rn = 1 JOIN low ON low.host = u.host""",
     "op6_source_mixing": f"""WITH RECURSIVE n AS (SELECT doc_id, source, CAST(len(coalesce(regexp_extract_all(text, '{_WORD}'), [])) AS BIGINT) AS size, (CAST('0x' || substr(md5('mix-' || doc_id), 1, 13) AS BIGINT) + 0.5e0) / 4503599627370496e0 AS u FROM documents),
 d AS (SELECT *, (length(bin(size)) - 1) * 4 + ((size * 4) >> CAST(length(bin(size)) - 1 AS BIGINT)) % 4 AS layer FROM n),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2e0 AS cap, [5e0, 2e0, 1e0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS w FROM d GROUP BY source),
