@@ -100,3 +100,11 @@ def test_text_rules(spark):
     rows = spark.createDataFrame([("Saved track 3", 1500), (" 2024-01-05 10:22 Walk to X. ", 12), (None, 5 * 1024**2)], "t string, n long")
     got = rows.select(tx.clean_name(F.col("t"), F.lit("fallback")).alias("c"), tx.squeeze(F.col("t")).alias("s"), tx.human_bytes(F.col("n")).alias("h"), tx.sequence_ratio(F.col("t"), F.lit("Walk to X")).alias("r")).collect()
     assert [r["c"] for r in got] == ["fallback", "Walk to X", "fallback"] and [r["h"] for r in got] == ["1.5 KB", "12 B", "5.0 MB"] and got[2]["r"] == 0.0 and got[1]["s"] == "ualktox"
+
+
+def test_zone_of_lines_by_pieces(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (6.0, 10.0), (6.0, 4.0), (4.0, 4.0), (4.0, 10.0), (0.0, 10.0)]  # with a notch from above
+    lines = {1: [(1, 1), (9, 1)], 2: [(-5, 5), (-1, 20)], 3: [(-1, 2), (11, 3)], 4: [(2, 8), (8, 8)], 5: [(5, 6)], 6: [(2, 2)], 7: [(-1, 0), (1, -2)], 8: [(-1, 1), (1, -1)], 9: [(4.5, 8), (5.5, 9)]}
+    points = spark.createDataFrame([(k, i, float(x), float(y)) for k, v in lines.items() for i, (x, y) in enumerate(v)], "line_id long, seq long, x double, y double")
+    got = {r["line_id"]: r["zone"] for r in ln.zone_of_lines(points, ring).collect()}
+    assert got == {1: "inside", 2: "outside", 3: "crossing", 4: "crossing", 5: "outside", 6: "inside", 7: "outside", 8: "crossing", 9: "outside"}

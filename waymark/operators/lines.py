@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.functions import geo
 from waymark.operators.spatial import cell
 
 
@@ -114,10 +115,26 @@ def simplify(points: DataFrame, tolerance: float) -> DataFrame:
     return points.groupBy("line_id").applyInPandas(run, points.schema)
 
 
-def zone_of_lines(points: DataFrame, inside: F.Column) -> DataFrame:
-    """``(line_id, zone)``: inside, crossing or outside a polygon by the lines' vertices. (JOI-14)"""
-    z = points.groupBy("line_id").agg(F.bool_and(inside).alias("all_in"), F.bool_or(inside).alias("any_in"))
-    return z.select("line_id", F.when(F.col("all_in"), "inside").when(F.col("any_in"), "crossing").otherwise("outside").alias("zone"))
+def zone_of_lines(points: DataFrame, ring: list[tuple[float, float]]) -> DataFrame:
+    """``(line_id, zone)``: inside, crossing or outside a polygon, by all of the lines' pieces. (JOI-14)
+
+    Inside: every vertex is, and no piece crosses an edge. Crossing: any vertex is inside, or any piece meets an edge, also between two
+    vertices outside. A line of one vertex is judged by it.
+    """
+    w = Window.partitionBy("line_id").orderBy("seq")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "_x2", "_y2"))
+    meets, cuts = F.lit(False), F.lit(False)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        side = lambda x, y: (bx - ax) * (y - ay) - (by - ay) * (x - ax)  # noqa: B023, E731
+        other = lambda px, py: (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
+        s, t = side(x1, y1) * side(x2, y2), other(ax, ay) * other(bx, by)
+        boxes = (F.least(x1, x2) <= max(ax, bx)) & (F.greatest(x1, x2) >= min(ax, bx)) & (F.least(y1, y2) <= max(ay, by)) & (F.greatest(y1, y2) >= min(ay, by))
+        cuts = cuts | ((s < 0) & (t < 0))
+        meets = meets | ((s <= 0) & (t <= 0) & boxes)
+    pieces = points.select("line_id", "x", "y", F.lead("x").over(w).alias("_x2"), F.lead("y").over(w).alias("_y2"))
+    pieces = pieces.select("line_id", geo.in_ring(x1, y1, ring).alias("in"), F.coalesce(cuts, F.lit(False)).alias("cuts"), F.coalesce(meets, F.lit(False)).alias("meets"))
+    z = pieces.groupBy("line_id").agg(F.bool_and(F.col("in") & ~F.col("cuts")).alias("within"), F.bool_or(F.col("in") | F.col("meets")).alias("touches"))
+    return z.select("line_id", F.when(F.col("within"), "inside").when(F.col("touches"), "crossing").otherwise("outside").alias("zone"))
 
 
 def voronoi_cells(seeds: list[tuple[int, float, float]], hull: list[tuple[float, float]]) -> dict[int, list[tuple[float, float]]]:

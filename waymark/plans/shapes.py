@@ -52,8 +52,11 @@ def evidence_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def zone_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inside, crossing or outside a box for each user's line. (JOI-14)"""
-    inside = geo.in_ring(F.col("x") + 0.25, F.col("y") + 0.25, [(500.0, 500.0), (19900.0, 500.0), (19900.0, 19500.0), (500.0, 19500.0)])
-    return ln.zone_of_lines(user_lines(spark, sf_dir), inside)
+    box = [(500.0, 500.0), (19900.0, 500.0), (19900.0, 19500.0), (500.0, 19500.0)]
+    whole = user_lines(spark, sf_dir).withColumns({"x": F.col("x") + 0.25, "y": F.col("y") + 0.25})
+    # beside the whole lines shorter ones of events, on a wider square
+    part = event_metres(spark, sf_dir).select((-F.col("event_id") % 977 - 1).alias("line_id"), F.col("event_id").alias("seq"), (F.col("x") * 1.5 - 5000.125).alias("x"), (F.col("y") * 1.5 - 5000.125).alias("y"))
+    return ln.zone_of_lines(whole.unionByName(part), box)
 
 
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +132,11 @@ SELECT user_id, round_even(fwd, 4) AS fwd, round_even(bwd, 4) AS bwd, CASE WHEN
 a AS (SELECT user_id, quantile_cont(g, 0.85) AS p85, count(*) AS n, count(*) FILTER (WHERE {OK}) AS ok, count(*) FILTER (WHERE {OK} AND kmh > 0.7) AS mv, quantile_cont(kmh, 0.5) FILTER (WHERE {OK} AND kmh > 0.7) AS med, avg(CAST(kmh > 12 AS DOUBLE)) FILTER (WHERE {OK} AND kmh > 0.7) AS fast FROM r GROUP BY user_id),
 b AS (SELECT *, CASE WHEN n >= 20 AND ok >= 20 AND mv >= 20 THEN CASE WHEN med >= 11 OR fast >= 0.25 THEN 'Motor' WHEN med <= 4.5 THEN 'Foot' END END AS mode0 FROM a)
 SELECT user_id, coalesce(mode0, 'Foot') AS mode, CASE WHEN mode0 IS NOT NULL THEN printf('speed %.1f', round_even(med, 1)) WHEN p85 > 3 THEN 'steep' ELSE 'default' END AS why FROM b""",
-    "zone_tags": f"""WITH {EVM}, i AS (SELECT user_id, x + 0.25 > 500 AND x + 0.25 < 19900 AND y + 0.25 > 500 AND y + 0.25 < 19500 AS w FROM evm) SELECT user_id AS line_id, CASE WHEN bool_and(w) THEN 'inside' WHEN bool_or(w) THEN 'crossing' ELSE 'outside' END AS zone FROM i GROUP BY 1""",
+    "zone_tags": f"""WITH {EVM}, ln AS (SELECT user_id AS line_id, event_id AS seq, x + 0.25 AS x, y + 0.25 AS y FROM evm UNION ALL SELECT -event_id % 977 - 1, event_id, x * 1.5 - 5000.125, y * 1.5 - 5000.125 FROM evm),
+g AS (SELECT line_id, x, y, coalesce(lead(x) OVER w, x) - x AS dx, coalesce(lead(y) OVER w, y) - y AS dy FROM ln WINDOW w AS (PARTITION BY line_id ORDER BY seq)),
+c AS (SELECT line_id, x BETWEEN 500 AND 19900 AND y BETWEEN 500 AND 19500 AS i, CASE WHEN dx <> 0 THEN least((500 - x) / dx, (19900 - x) / dx) WHEN x BETWEEN 500 AND 19900 THEN -1e9 ELSE 1e9 END AS xa, CASE WHEN dx <> 0 THEN greatest((500 - x) / dx, (19900 - x) / dx) ELSE 1e9 END AS xb,
+CASE WHEN dy <> 0 THEN least((500 - y) / dy, (19500 - y) / dy) WHEN y BETWEEN 500 AND 19500 THEN -1e9 ELSE 1e9 END AS ya, CASE WHEN dy <> 0 THEN greatest((500 - y) / dy, (19500 - y) / dy) ELSE 1e9 END AS yb FROM g)
+SELECT line_id, CASE WHEN bool_and(i) THEN 'inside' WHEN bool_or(greatest(0, xa, ya) <= least(1, xb, yb)) THEN 'crossing' ELSE 'outside' END AS zone FROM c GROUP BY 1""",
     "line_samples": f"""WITH {EVM}, s AS (SELECT user_id, event_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM evm WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), l AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM s WHERE x2 IS NOT NULL),
 u AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY event_id) - len AS upto, sum(len) OVER (PARTITION BY user_id) AS total FROM l), k AS (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS INT) AS k),
 c AS (SELECT user_id, k, x1, y1, x2, y2, least(1.0, greatest(0.0, (k * total / 4 - upto) / nullif(len, 0))) AS t, row_number() OVER (PARTITION BY user_id, k ORDER BY event_id DESC) AS rn FROM u, k WHERE upto <= k * total / 4 + 1e-6 AND len > 0)
