@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.operators import access
 from waymark.operators import places as pl
 
 PLACES = [("Alpha", 1.0, 1.0, "gazetteer"), ("alpha", 1.1, 1.0, "inferred"), ("Beta/Gamma", 2.0, 2.0, "gazetteer"), ("Delta", 3.0, 3.0, "team"), ("Delta", 9.0, 9.0, "gazetteer")]
@@ -70,3 +71,19 @@ def test_rounded_stops_take_the_survey(spark):
     stops = spark.createDataFrame([("A", 148.25, -9.1), ("B", 148.251, -9.1), ("C", 1.0, 1.0)], "name string, lon double, lat double")
     survey = spark.createDataFrame([("a ", 148.2534, -9.1012), ("B", 5.0, 5.0)], "name string, lon double, lat double")
     assert {r["name"]: r["lon"] for r in pl.refine_rounded(stops, survey).collect()} == {"A": 148.2534, "B": 148.251, "C": 1.0}
+
+
+def test_bridges_join_loose_ends_only(spark):
+    # two lines whose ends are 100 m apart, a third whose middle is nearer than its end, and an end too far off
+    at = {1: (0, 0), 2: (1000, 0), 3: (1100, 0), 4: (2000, 0), 5: (500, 50), 6: (500, 900), 7: (1050, 200), 8: (2000, 5000), 9: (3000, 5000)}
+    nodes = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in at.items()], "node long, x double, y double")
+    edges = spark.createDataFrame([(1, 2, 1.0), (3, 4, 1.0), (6, 7, 1.0), (5, 6, 1.0), (5, 7, 1.0), (8, 9, 1.0)], "src long, dst long, weight double")
+    got = sorted((r["a"], r["b"], r["weight"]) for r in access.bridge_gaps(edges, nodes).collect())
+    assert got == [(2, 3, 100.0)]
+
+
+def test_nearest_at_any_distance(spark):
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 0.0), (3, None, 1.0), (4, 5.0, 0.0)], "v long, x double, y double")
+    right = spark.createDataFrame([(7, 0.0, 0.0), (8, 10.0, 0.0), (9, 10.0, 0.0)], "n long, x double, y double")
+    assert sorted((r["v"], r["n"], r["d"]) for r in access.nearest_any(left, right, "v", "n", 3.0).collect()) == [(1, 7, 0.0), (2, 8, 999990.0), (4, 7, 5.0)]
+    assert access.nearest_any(left, right.where("false"), "v", "n").collect() == []

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators import graph, spatial
+from waymark.operators import access, graph, spatial
 from waymark.plans.base import EVM, SUP, event_metres, read, supplier_points
 
 RADIUS = 300.0
@@ -92,11 +92,21 @@ def service_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mst_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spanning forest of supplier pairs within 2500 m: its total and size. (GRA-02)"""
-    pts = supplier_points(spark, sf_dir)
-    pairs = spatial.radius_pairs(pts, "s_suppkey", "x", "y", 2500.0).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("d").alias("weight"))
-    forest = graph.spanning_forest(pairs, pts.select(F.col("s_suppkey").alias("node")))
-    return forest.agg(F.count("*").alias("edges"), F.bround(F.sum("weight"), 4).alias("metres"))
+    """Bridges up to 4500 m between the loose ends of chains of five suppliers: their number and total. (GRA-02)"""
+    pts = supplier_points(spark, sf_dir).select(F.col("s_suppkey").cast("long").alias("node"), "x", "y")
+    chains = pts.where("node % 5 <> 0").select(F.col("node").alias("src"), (F.col("node") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    bridges = access.bridge_gaps(chains.join(pts.select(F.col("node").alias("dst")), "dst", "left_semi"), pts, 4500.0)
+    return bridges.agg(F.count("*").alias("edges"), F.bround(F.sum("weight"), 4).alias("metres"))
+
+
+def road_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access table of suppliers as villages on the road graph of nations, as delivered and with all stops upgraded. (JOI-08, GRA-07, FIL-06, FIL-24, GRA-10)"""
+    villages = supplier_points(spark, sf_dir).select(F.col("s_suppkey").alias("village"), "x", "y", (F.col("s_suppkey") % 7 == 0).alias("foot_only"))
+    k = F.col("n_nationkey").cast("long")
+    nodes = read(spark, sf_dir, "nation").select(k.alias("node"), (k * 3001 % 20011).cast("double").alias("x"), (k * 7001 % 20011).cast("double").alias("y"))
+    stops = nodes.where("node in (0, 5, 12, 18)").select(F.col("node").alias("stop"), (F.col("x") + F.col("node") * 130).alias("x"), "y", (F.col("node") % 5 == 0).alias("track_only"))
+    both = [access.road_access(villages, nodes, road_edges(spark, sf_dir), stops, upgraded).withColumn("upgraded", F.lit(upgraded)) for upgraded in (False, True)]
+    return both[0].unionByName(both[1])
 
 
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +163,7 @@ def polygon_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nearest_ties, nearest_capped, radius_pairs, coincident_box, radius_clusters, cluster_vote, conflict_rank, shortest_paths, nearest_stop, service_bands, mst_bridge, degrees,
+        nearest_ties, nearest_capped, radius_pairs, coincident_box, radius_clusters, cluster_vote, conflict_rank, shortest_paths, nearest_stop, service_bands, mst_bridge, road_access, degrees,
         point_in_polygon, nearest_edge, voronoi_assign, zone_populations, ring_spread, polygon_areas,
     )
 }
@@ -194,6 +204,14 @@ ORACLES = {
     "shortest_paths": f"{_PATHS} SELECT source, node, km FROM paths",
     "nearest_stop": f"{_PATHS} SELECT node, arg_min(source, km * 1000 + source) AS stop, min(km) AS km, CASE WHEN min(km) <= 2.5 THEN 'near' WHEN min(km) <= 10 THEN 'long walk' ELSE 'beyond' END AS access FROM paths GROUP BY node",
     "service_bands": f"{_PATHS} SELECT source, band, count(*) AS nodes, max(km) AS furthest FROM paths, (VALUES (5), (10), (20)) AS b(band) WHERE km <= band GROUP BY 1, 2",
+    "road_access": f"""WITH RECURSIVE {SUP}, {_ROADS}, far AS (SELECT k AS source, k AS node, CAST(0 AS DOUBLE) AS km, 0 AS hops FROM n UNION SELECT source, dst, min(km + w), hops + 1 FROM far JOIN arcs ON src = node WHERE hops < 24 GROUP BY source, dst, hops),
+ways AS (SELECT source, node, min(km) AS km FROM far GROUP BY 1, 2), nd AS (SELECT k, CAST(k * 3001 % 20011 AS DOUBLE) AS x, CAST(k * 7001 % 20011 AS DOUBLE) AS y FROM n),
+stp AS (SELECT k AS stop, x + k * 130 AS x, y, k % 5 = 0 AS track FROM nd WHERE k IN (0, 5, 12, 18)), sn AS (SELECT * FROM (SELECT stop, stp.x, stp.y, track, nd.k AS node, sqrt(pow(nd.x - stp.x, 2) + pow(nd.y - stp.y, 2)) AS off, row_number() OVER (PARTITION BY stop ORDER BY sqrt(pow(nd.x - stp.x, 2) + pow(nd.y - stp.y, 2)), nd.k) AS rn FROM stp, nd) WHERE rn = 1),
+vn AS (SELECT * FROM (SELECT s_suppkey AS village, sup.x, sup.y, nd.k AS node, sqrt(pow(nd.x - sup.x, 2) + pow(nd.y - sup.y, 2)) AS off, row_number() OVER (PARTITION BY s_suppkey ORDER BY sqrt(pow(nd.x - sup.x, 2) + pow(nd.y - sup.y, 2)), nd.k) AS rn FROM sup, nd) WHERE rn = 1),
+cand AS (SELECT village, vn.x, vn.y, vn.node, vn.off, upgraded, stop, sn.off AS soff, track AND NOT upgraded AS track, ways.km, sqrt(pow(sn.x - vn.x, 2) + pow(sn.y - vn.y, 2)) AS m, vn.off <= 2500 AND km IS NOT NULL AND NOT (track AND NOT upgraded) AS by_road FROM vn CROSS JOIN sn CROSS JOIN (VALUES (false), (true)) AS up(upgraded) LEFT JOIN ways ON ways.source = sn.node AND ways.node = vn.node),
+one AS (SELECT *, off <= 2000 AND soff <= 2000 AND km IS NOT NULL AS walks, row_number() OVER (PARTITION BY village, upgraded ORDER BY by_road DESC, CASE WHEN by_road THEN km ELSE m END, stop) AS rn FROM cand)
+SELECT village, upgraded, stop AS nearest_stop, CASE WHEN by_road THEN round_even(km, 2) END AS road_km, round_even(m / 1000, 2) AS straight_km, round_even(CASE WHEN walks THEN km + (CASE WHEN off > 1 THEN off ELSE 0 END + CASE WHEN soff > 1 THEN soff ELSE 0 END) / 1000 ELSE m / 1000 END / (6 * exp(-0.175)), 2) AS walk_hours, CASE WHEN off <= 2500 THEN 'yes' ELSE 'no' END AS road_reachable,
+CASE WHEN off <= 2500 THEN 'near' WHEN off <= 10000 THEN 'long walk' ELSE 'beyond' END AS access, CASE WHEN village % 7 = 0 THEN 'no (field knowledge)' WHEN off <= 100 THEN 'yes' ELSE 'no (measured)' END AS road_at_village, round_even(off, 0) AS off_m, CASE WHEN walks THEN 'path network' ELSE 'straight line' END AS walk_basis, CASE WHEN track THEN 'track only' ELSE 'road' END AS stop_access FROM one WHERE rn = 1""",
     "degrees": f"WITH {_ROADS} SELECT src AS node, count(*) AS degree, min(w) AS least FROM arcs GROUP BY 1",
     "point_in_polygon": f"WITH {EVM}, q AS (SELECT event_id, x + 0.25 AS px, y + 0.25 AS py FROM evm), o AS (SELECT event_id, CASE WHEN {_inside(OUTLINES['L-shape'])} THEN 'L-shape' WHEN {_inside(OUTLINES['triangle'])} THEN 'triangle' END AS outline FROM q) SELECT * FROM o WHERE outline IS NOT NULL",
     "nearest_edge": f"WITH {EVM}, g AS (SELECT event_id, {_edge(OUTLINES['L-shape'])} AS a, {_edge(OUTLINES['triangle'])} AS b FROM evm) SELECT event_id, round_even(least(a, b), 3) AS d, CASE WHEN a <= b THEN 'L-shape' ELSE 'triangle' END AS outline FROM g",
