@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.byte_bpe import decoded, encoded
 from waymark.llm.common import table
 from waymark.llm.decontamination import contaminations
 from waymark.llm.html_extraction import main_texts
@@ -74,11 +76,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
+    out = decoded(ids, ranks, pattern)
+    listed = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_ngram_jaccard_join, op4_url_filter, op5_sharding,
         op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_nearest_neighbours, op10_line_dedup,
+        op12_byte_bpe,
     )
 }
 
