@@ -10,6 +10,7 @@ from waymark.llm.byte_bpe import decoded, encoded
 from waymark.llm.common import table
 from waymark.llm.decontamination import contaminations
 from waymark.llm.html_extraction import main_texts
+from waymark.llm.importance import importance_ranks
 from waymark.llm.language_id import fit, held_out, identify
 from waymark.llm.line_dedup import removed_lines
 from waymark.llm.mixing import mix_sources
@@ -76,6 +77,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance_ranks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     ids = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, pattern).drop("text")
@@ -89,7 +95,7 @@ QUERIES = {
     for f in (
         op1_language_id, op2_decontamination, op3_ngram_jaccard_join, op4_url_filter, op5_sharding,
         op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_nearest_neighbours, op10_line_dedup,
-        op12_byte_bpe,
+        op11_importance_resampling, op12_byte_bpe,
     )
 }
 
@@ -122,6 +128,22 @@ def _with_rho(sql: str) -> str:
     return sql.replace("rho", f"({rho})")
 
 
+#: The register of crc32 after each byte, and the crc32 of the UTF-8 bytes of {text}.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: xor(c >> 1, (c & 1) * 3988292384))) AS t)"
+
+
+def _crc32(text: str) -> str:
+    """The crc32 of a text's UTF-8 bytes, as SQL beside the table ``crc``."""
+    octets = f"list_transform(range(0, len(hex(encode({text}))), 2), lambda i: CAST('0x' || hex(encode({text}))[i + 1:i + 2] AS BIGINT))"
+    return f"xor(4294967295, list_reduce([4294967295] || {octets}, lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
+
+
+#: All runs of one to three words of the list w.
+_RUNS = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+
+#: A bucket's features, of a table of bucketed runs.
+_SIDE = "SELECT bucket, CAST(sum(n) AS DOUBLE) AS n FROM {of} JOIN buckets USING (s) GROUP BY bucket"
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES: dict[str, str] = {
@@ -145,6 +167,15 @@ FROM (SELECT f.source, l.k, l.layer, greatest(0e0, least(l.many, floor((l.p * (f
 o AS (SELECT *, (u / (1 - u)) / (pi / (1 - pi)) AS x FROM (SELECT d.*, n, CASE WHEN 2 * n <= many THEN n * size / total ELSE 1 - (many - n) * (ends - size) / (many * ends - total) END AS pi FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source AND f.layer = d.layer WHERE size > 0 AND n > 0 AND n < many)),
 m AS (SELECT doc_id FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY source, layer ORDER BY x / (1 + x), u, doc_id, size) AS place FROM o) WHERE place <= n UNION ALL SELECT doc_id FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source AND f.layer = d.layer WHERE size > 0 AND n >= many)
 SELECT d.doc_id, d.size, t.source_size, t.target, CAST(coalesce(g.whole + CAST(m.doc_id IS NOT NULL AS INT), 0) * d.size AS BIGINT) AS taken FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.source IS NOT DISTINCT FROM d.source LEFT JOIN m ON m.doc_id = d.doc_id""",
+    "op11_importance_resampling": f"""WITH {_CRC_TABLE}, w AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+bw AS (SELECT coalesce(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM benchmark),
+runs AS (SELECT doc_id, s, count(*) AS n FROM (SELECT doc_id, unnest({_RUNS}) AS s FROM w) GROUP BY ALL), wanted AS (SELECT s, count(*) AS n FROM (SELECT unnest({_RUNS}) AS s FROM bw) GROUP BY ALL),
+buckets AS (SELECT s, {_crc32("s")} % 10000 AS bucket FROM (SELECT s FROM runs UNION SELECT s FROM wanted), crc),
+a AS ({_SIDE.format(of="runs")}), b AS ({_SIDE.format(of="wanted")}), g AS (SELECT bucket, CAST(floor(1000e0 * ln((coalesce(b.n, 0) + 1e0) * ((SELECT coalesce(sum(n), 0) FROM a) + 1e4) / ((coalesce(a.n, 0) + 1e0) * ((SELECT coalesce(sum(n), 0) FROM b) + 1e4)))) AS BIGINT) AS gain FROM a FULL JOIN b USING (bucket)),
+d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM runs JOIN buckets USING (s) JOIN g USING (bucket) GROUP BY doc_id),
+x AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000e0 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM r) THEN rank END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id""",
     "op10_line_dedup": f"""WITH ln AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents), w AS (SELECT doc_id, no, doc_id * 1000000 + no AS id, regexp_extract_all(line, '{_WORD}') AS w FROM ln),
 sh AS (SELECT DISTINCT id, doc_id, no, unnest({_shingles("w", 5)}) AS s FROM w), n AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND b.id < a.id GROUP BY 1, 2), gone AS (SELECT DISTINCT a FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
