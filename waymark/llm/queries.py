@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.byte_bpe import decoded, encoded
 from waymark.llm.common import table
+from waymark.llm.conversations import damaged, repair_digests
 from waymark.llm.decontamination import contaminations
 from waymark.llm.html_extraction import main_texts
 from waymark.llm.importance import importance_ranks
@@ -90,12 +91,16 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_decontamination, op3_ngram_jaccard_join, op4_url_filter, op5_sharding,
         op6_source_mixing, op7_html_extraction, op8_quality_classifier, op9_nearest_neighbours, op10_line_dedup,
-        op11_importance_resampling, op12_byte_bpe,
+        op11_importance_resampling, op12_byte_bpe, op13_conversation_repair,
     )
 }
 
@@ -144,6 +149,33 @@ _RUNS = "w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]
 #: A bucket's features, of a table of bucketed runs.
 _SIDE = "SELECT bucket, CAST(sum(n) AS DOUBLE) AS n FROM {of} JOIN buckets USING (s) GROUP BY bucket"
 
+#: The cheapest way to each grammar state after each row: v0 to v3, with inserts before them c2 and c3.
+def _way(v: str, letter: str, cost: object) -> str:
+    return f"{{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}'}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_KEEP = "CASE WHEN lower(code) = '{}' THEN late ELSE 1000000 END"
+_REROLE = "CASE WHEN code = 'd' THEN 1000000 ELSE 3 + late END"
+
+
+def _inserted(of: str) -> str:
+    return f"""(SELECT *, {_least("v3", _way("c2", "I", 3))} AS c3 FROM (SELECT *, {_least("v2", _way("v0", "I", 3), _way("v1", "I", 3), _way("v3", "I", 3))} AS c2 FROM {of}))"""
+
+
+
+_STEP = ", ".join((
+    _way("v0", "D", 4),
+    _least(_way("v1", "D", 4), _way("v0", "K", _KEEP.format("s"))),
+    _least(_way("c2", "D", 4), *(_way(v, "K", _KEEP.format("u")) for v in ("v0", "v1", "c3")), *(_way(v, "R", _REROLE) for v in ("v0", "v1", "c3"))),
+    _least(_way("c3", "D", 4), _way("c2", "K", _KEEP.format("a")), _way("c2", "R", _REROLE)),
+))
+_NONE = "{'c': 1000000, 'a': ''}"
+_FULL = r"[^\x20\x09-\x0D]"
+
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
 ORACLES: dict[str, str] = {
@@ -176,6 +208,20 @@ d AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS
 x AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000e0 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.doc_id), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM w LEFT JOIN d ON d.doc_id = w.doc_id),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE n_words >= 20)
 SELECT x.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 5 * count(*) // 100 FROM r) THEN rank END AS rank FROM x LEFT JOIN r ON r.doc_id = x.doc_id""",
+    "op13_conversation_repair": f"""WITH RECURSIVE {_CRC_TABLE}, k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+f AS (SELECT conv_id, turn, role, text, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, NOT regexp_matches(text, '{_FULL}') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS cut FROM d),
+g AS (SELECT *, CASE WHEN blank THEN 'blank' WHEN seen THEN 'duplicate' WHEN cut THEN 'truncated' END AS fault, CASE WHEN blank OR seen THEN 'd' WHEN cut THEN CASE WHEN initial IN ('s', 'u', 'a') THEN upper(initial) ELSE 'X' END WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS code, CASE WHEN cut THEN 3 ELSE 0 END AS late, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM f),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY conv_id),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, {{'c': 0, 'a': ''}} AS v0, {_NONE} AS v1, {_NONE} AS v2, {_NONE} AS v3 FROM c UNION ALL
+SELECT conv_id, i + 1, s[1], s[2], s[3], s[4] FROM (SELECT q.conv_id, q.i, [{_STEP}] AS s FROM {_inserted("r")} q JOIN g ON g.conv_id IS NOT DISTINCT FROM q.conv_id AND g.i = q.i + 1)),
+z AS (SELECT conv_id, {_least("v0", "c3")} AS z FROM {_inserted("(SELECT * FROM r QUALIFY i = max(i) OVER (PARTITION BY conv_id))")}),
+e AS (SELECT *, count(*) FILTER (letter <> 'I') OVER o AS i, count(*) FILTER (letter <> 'D') OVER o AS place FROM (SELECT conv_id, unnest(string_split(z.a, '')) AS letter, unnest(range(length(z.a))) AS n FROM z WHERE z.a <> '') WINDOW o AS (PARTITION BY conv_id ORDER BY n)),
+t AS (SELECT e.conv_id, n, letter, CAST(place AS INT) AS place, g.role, CASE WHEN letter = 'I' THEN '' ELSE g.text END AS text FROM e LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.i = e.i WHERE letter <> 'D'),
+y AS (SELECT *, max(CASE WHEN place = 1 AND letter = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS led FROM t),
+h AS (SELECT conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY n)) AS repaired_sha256 FROM y GROUP BY conv_id)
+SELECT o.conv_id, coalesce(c.gaps, 0) AS gaps, coalesce(c.blank, 0) AS blank, coalesce(c.duplicate, 0) AS duplicate, coalesce(c.truncated, 0) AS truncated, coalesce(c.illegal, 0) AS illegal, CAST(coalesce(z.z.c, 0) AS BIGINT) AS cost, coalesce(z.z.a, '') AS audit, coalesce(h.repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM o.conv_id""",
     "op10_line_dedup": f"""WITH ln AS (SELECT doc_id, unnest(string_split({_LOWER}, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS no FROM documents), w AS (SELECT doc_id, no, doc_id * 1000000 + no AS id, regexp_extract_all(line, '{_WORD}') AS w FROM ln),
 sh AS (SELECT DISTINCT id, doc_id, no, unnest({_shingles("w", 5)}) AS s FROM w), n AS (SELECT id, count(*) AS n FROM sh GROUP BY 1),
 p AS (SELECT a.id AS a, b.id AS b, count(*) AS i FROM sh a JOIN sh b ON a.s = b.s AND b.id < a.id GROUP BY 1, 2), gone AS (SELECT DISTINCT a FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
