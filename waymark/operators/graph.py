@@ -1,6 +1,6 @@
 """Graph operators as DataFrame fixpoints: components, spanning forest, shortest paths, bands. (GRA-01..06, RES-01)
 
-Each round's result is stored through ``checkpoint`` where a checkpoint folder is set, else kept in the plan of few rounds.
+Each round's result is stored as a table, which cuts lineage; a round's table is deleted once the next one no longer reads it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,16 @@ def materialised(df: DataFrame) -> DataFrame:
         root = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        at = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        at.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -34,13 +43,14 @@ def undirected(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(node, component)``: the least node that each end of an edge reaches. (GRA-03, RES-01)"""
     both = undirected(edges.withColumn("weight", F.lit(1.0))).select("src", "dst")
-    labels = materialised(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
+    labels = held = materialised(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         hooked = labels.join(near, labels["node"] == near["src"]).select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         up = labels.select(F.col("node").alias("up"), F.col("component").alias("uc"))
         new = materialised(hooked.join(up, hooked["c"] == up["up"], "left").select("node", "old", F.least("c", F.coalesce("uc", "c")).alias("component")))
-        labels = new.select("node", "component")
+        discard(held)
+        labels, held = new.select("node", "component"), new
         if new.where("old <> component").isEmpty():
             return labels
 
@@ -61,8 +71,10 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = N
         both = known.union(reached.select("source", "node", "km", F.lit(True).alias("new")))
         # at equal distance the known row wins, so that the round ends
         new = materialised(both.groupBy("source", "node").agg(F.min(F.struct("km", "new")).alias("m")).select("source", "node", "m.km", "m.new"))
+        discard(best)
         best = new
         if new.where("new").isEmpty():
+            discard(arcs)
             return best.select("source", "node", "km")
 
 

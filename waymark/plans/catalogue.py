@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from waymark.plans import motion, names, places, reconcile, shapes
+from waymark.plans import motion, names, places, reconcile, roads, shapes
 
-QUERIES = {**motion.QUERIES, **names.QUERIES, **reconcile.QUERIES, **places.QUERIES, **shapes.QUERIES}
-ORACLES = {**motion.ORACLES, **names.ORACLES, **reconcile.ORACLES, **places.ORACLES, **shapes.ORACLES}
+QUERIES = {**motion.QUERIES, **names.QUERIES, **reconcile.QUERIES, **places.QUERIES, **shapes.QUERIES, **roads.QUERIES}
+ORACLES = {**motion.ORACLES, **names.ORACLES, **reconcile.ORACLES, **places.ORACLES, **shapes.ORACLES, **roads.ORACLES}
