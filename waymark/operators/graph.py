@@ -78,6 +78,39 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, limit: float | None = N
             return best.select("source", "node", "km")
 
 
+def path_trees(edges: DataFrame, best: DataFrame) -> DataFrame:
+    """``(source, node, km, prev)``: each node's predecessor on the shortest paths ``best(source, node, km)``, null at the source; the least one on a tie. (GRA-05)
+
+    The arcs that achieve a distance are known from the distances, so one join gives them. Weights are positive.
+    """
+    before = best.select("source", F.col("node").alias("src"), F.col("km").alias("to_src"))
+    tight = undirected(edges).join(best, F.col("dst") == F.col("node")).join(before, ["source", "src"]).where("to_src + weight = km AND to_src < km")
+    prev = tight.groupBy("source", "node").agg(F.min("src").alias("prev"))
+    return materialised(best.join(prev, ["source", "node"], "left").select("source", "node", "km", "prev"))
+
+
+def unrolled(trees: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(source, node, pos, at)``: the nodes of the path of each of ``pairs(source, node)``, from the node (0) to the source. (GRA-05)
+
+    Ancestors at doubling distances are stored; a place of a path is then found by its distance's binary digits, so rounds and joins
+    grow with the logarithm of the longest path, and no path is gathered.
+    """
+    pairs = pairs.select("source", "node").distinct()
+    own = trees.join(pairs.select("source").distinct(), "source", "left_semi")
+    levels = [materialised(own.select("source", "node", F.coalesce("prev", "node").alias("anc"), F.col("prev").isNotNull().cast("long").alias("steps")))]
+    while not levels[-1].where("anc <> source").isEmpty():
+        far = levels[-1].select("source", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("steps").alias("more"))
+        levels.append(materialised(levels[-1].join(far, ["source", "anc"]).select("source", "node", F.col("far").alias("anc"), (F.col("steps") + F.col("more")).alias("steps"))))
+    rows = pairs.join(levels[-1].select("source", "node", "steps"), ["source", "node"])
+    rows = rows.select("source", "node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps"))).alias("pos"), F.col("node").alias("at"))
+    for k, level in enumerate(levels):
+        jump = level.select("source", F.col("node").alias("at"), F.col("anc").alias("to"))
+        rows = rows.join(jump, ["source", "at"]).select("source", "node", "pos", F.when(F.col("pos").bitwiseAND(1 << k) != 0, F.col("to")).otherwise(F.col("at")).alias("at"))
+    out = materialised(rows)
+    discard(*levels)
+    return out
+
+
 def spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The minimum spanning forest ``(src, dst, weight)`` by Boruvka rounds; ties go to the least (src, dst). (GRA-02)
 

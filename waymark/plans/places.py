@@ -105,8 +105,7 @@ def road_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey").cast("long")
     nodes = read(spark, sf_dir, "nation").select(k.alias("node"), (k * 3001 % 20011).cast("double").alias("x"), (k * 7001 % 20011).cast("double").alias("y"))
     stops = nodes.where("node in (0, 5, 12, 18)").select(F.col("node").alias("stop"), (F.col("x") + F.col("node") * 130).alias("x"), "y", (F.col("node") % 5 == 0).alias("track_only"))
-    both = [access.road_access(villages, nodes, road_edges(spark, sf_dir), stops, upgraded).withColumn("upgraded", F.lit(upgraded)) for upgraded in (False, True)]
-    return both[0].unionByName(both[1])
+    return access.access_tables(villages, nodes, road_edges(spark, sf_dir), stops, (False, True)).drop("walk_hours_back")
 
 
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:

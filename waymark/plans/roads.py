@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import linear
+from waymark.operators import access, graph, linear
 from waymark.plans.base import EVM, SUP, event_metres, read, supplier_points
 
 
@@ -41,7 +41,38 @@ def thinned_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("line_id").agg(F.count("*").alias("pieces"), F.bround(F.sum(F.col("m1") - F.col("m0")), 3).alias("kept_m"))
 
 
-QUERIES = {f.__name__: f for f in (road_chunks, road_chunk_speeds, thinned_roads)}
+def walk_network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Paths on nations, at other places than the roads' nodes: nodes, and edges by their length in km."""
+    k = F.col("n_nationkey").cast("long")
+    nodes = read(spark, sf_dir, "nation").select((k + 100).alias("node"), (k * 7001 % 20011).cast("double").alias("x"), (k * 5003 % 20011).cast("double").alias("y"))
+    src = nodes.select(F.col("node").alias("src"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.explode(F.array((F.col("node") - 99) % 25 + 100, ((F.col("node") - 100) * 7 + 3) % 25 + 100)).alias("dst"))
+    ends = src.where("src % 6 <> 0").join(nodes.withColumnRenamed("node", "dst"), "dst")
+    return nodes, ends.select("src", "dst", (F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) / 1000).alias("weight"))
+
+
+def walk_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of suppliers to the nearest of four stops over a path network of its own, with the climb over a grid of parts' heights: hours there and back. (GRA-05, GRA-07, MTH-02, RAS-01)"""
+    villages = supplier_points(spark, sf_dir).select(F.col("s_suppkey").alias("village"), "x", "y")
+    nodes, edges = walk_network(spark, sf_dir)
+    stops = nodes.where("node in (100, 105, 112, 118)").select(F.col("node").alias("stop"), (F.col("x") + F.col("node") * 3).alias("x"), "y")
+    cells = read(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 100).alias("k")).agg((F.avg("p_size") * 8).alias("z"))
+    ground = access.Ground(cells.select(F.floor(F.col("k") / 10).cast("int").alias("row"), (F.col("k") % 10).cast("int").alias("col"), "z"), (0.0, 20011.0, 2001.1, 10, 10))
+    trips = villages.join(access.nearest_any(villages, stops, "village", "stop").select("village", "stop"), "village")
+    out = access.walks(trips, nodes, edges, access.Snapped.of(villages, nodes, edges, stops), ground)
+    return out.select("village", "stop", "basis", F.bround("metres", 3).alias("metres"), F.bround("hours", 5).alias("hours"), F.bround("hours_back", 5).alias("hours_back"))
+
+
+def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the shortest path from every path node to two stops, in order, with the km left. (GRA-05)"""
+    _, edges = walk_network(spark, sf_dir)
+    nation = read(spark, sf_dir, "nation").select((F.col("n_nationkey").cast("long") + 100).alias("source")).where("source in (100, 112)")
+    trees = graph.path_trees(edges, graph.shortest_paths(edges, nation))
+    rows = graph.unrolled(trees, trees.select("source", "node"))
+    left = trees.select("source", F.col("node").alias("at"), F.bround("km", 6).alias("km_left"))
+    return rows.join(left, ["source", "at"]).select("source", "node", "pos", "at", "km_left")
+
+
+QUERIES = {f.__name__: f for f in (road_chunks, road_chunk_speeds, thinned_roads, walk_access, path_rows)}
 
 #: Pieces of the five roads: the points of each, with their measures.
 _PIECES = f"""{SUP}, ln AS (SELECT s_suppkey % 5 AS line_id, s_suppkey AS seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM sup WINDOW w AS (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey)),
@@ -51,7 +82,29 @@ cp AS (SELECT line_id, n, k, m, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y
 pc AS (SELECT line_id, k AS chunk, m, -1 AS v, x, y FROM cp WHERE k < n UNION ALL SELECT line_id, k - 1, m, -1, x, y FROM cp WHERE k > 0 UNION ALL SELECT up.line_id, CAST(floor(upto / (wd.total / n)) AS BIGINT), upto, seq, x1, y1 FROM up JOIN wd ON wd.line_id = up.line_id WHERE abs(upto / (wd.total / n) - round(upto / (wd.total / n))) * (wd.total / n) > 1e-6),
 ps AS (SELECT line_id, chunk, m, v, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2, row_number() OVER w AS seq FROM pc WINDOW w AS (PARTITION BY line_id, chunk ORDER BY m, v))"""
 
+_TREES = """wn AS (SELECT CAST(n_nationkey AS BIGINT) + 100 AS node, CAST(CAST(n_nationkey AS BIGINT) * 7001 % 20011 AS DOUBLE) AS x, CAST(CAST(n_nationkey AS BIGINT) * 5003 % 20011 AS DOUBLE) AS y FROM nation),
+we AS (SELECT node AS src, x, y, unnest([(node - 99) % 25 + 100, ((node - 100) * 7 + 3) % 25 + 100]) AS dst FROM wn WHERE node % 6 <> 0), wd AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, min(sqrt(pow(wn.x - we.x, 2) + pow(wn.y - we.y, 2)) / 1000) AS w FROM we JOIN wn ON wn.node = we.dst WHERE src <> dst GROUP BY 1, 2),
+arcs AS (SELECT a AS src, b AS dst, w FROM wd UNION ALL SELECT b, a, w FROM wd), far AS (SELECT node AS source, node, CAST(0 AS DOUBLE) AS km, 0 AS hops FROM wn WHERE node IN (100, 105, 112, 118) UNION SELECT source, dst, min(km + w), hops + 1 FROM far JOIN arcs ON src = node WHERE hops < 24 GROUP BY source, dst, hops),
+ways AS (SELECT source, node, min(km) AS km FROM far GROUP BY 1, 2), tree AS (SELECT v.source, v.node, v.km, min(src) AS prev FROM ways v LEFT JOIN (SELECT u.source, u.km AS to_src, src, dst, w FROM ways u JOIN arcs ON src = u.node) t ON t.source = v.source AND t.dst = v.node AND t.to_src + t.w = v.km GROUP BY 1, 2, 3),
+path AS (SELECT source, node, CAST(0 AS BIGINT) AS pos, node AS here FROM tree UNION ALL SELECT path.source, path.node, pos + 1, tree.prev FROM path JOIN tree ON tree.source = path.source AND tree.node = path.here WHERE prev IS NOT NULL)"""
+
 ORACLES = {
+    "path_rows": f"""WITH RECURSIVE {_TREES} SELECT path.source, path.node, pos, here AS "at", round_even(km, 6) AS km_left FROM path JOIN tree ON tree.source = path.source AND tree.node = here WHERE path.source IN (100, 112)""",
+    "walk_access": f"""WITH RECURSIVE {SUP}, {_TREES}, st AS (SELECT node AS stop, x + node * 3 AS x, y FROM wn WHERE node IN (100, 105, 112, 118)),
+sn AS (SELECT * FROM (SELECT stop, st.x, st.y, wn.node AS source, wn.x AS tx, wn.y AS ty, sqrt(pow(wn.x - st.x, 2) + pow(wn.y - st.y, 2)) AS soff, row_number() OVER (PARTITION BY stop ORDER BY sqrt(pow(wn.x - st.x, 2) + pow(wn.y - st.y, 2)), wn.node) AS rn FROM st, wn) WHERE rn = 1),
+vn AS (SELECT * FROM (SELECT s_suppkey AS village, sup.x, sup.y, wn.node, wn.x AS nx, wn.y AS ny, sqrt(pow(wn.x - sup.x, 2) + pow(wn.y - sup.y, 2)) AS off, row_number() OVER (PARTITION BY s_suppkey ORDER BY sqrt(pow(wn.x - sup.x, 2) + pow(wn.y - sup.y, 2)), wn.node) AS rn FROM sup, wn) WHERE rn = 1),
+tr AS (SELECT * FROM (SELECT village, vn.x, vn.y, node, nx, ny, off, stop, sn.x AS sx, sn.y AS sy, source, tx, ty, soff, row_number() OVER (PARTITION BY village ORDER BY sqrt(pow(sn.x - vn.x, 2) + pow(sn.y - vn.y, 2)), stop) AS rn FROM vn, sn) WHERE rn = 1),
+w AS (SELECT tr.*, km, off <= 2000 AND soff <= 2000 AND km IS NOT NULL AS by_path FROM tr LEFT JOIN ways ON ways.source = tr.source AND ways.node = tr.node),
+pt AS (SELECT village, 'path' AS part, pos AS seq, wn.x, wn.y FROM w JOIN path ON path.source = w.source AND path.node = w.node JOIN wn ON wn.node = here WHERE by_path UNION ALL SELECT village, 'start', 0, x, y FROM w WHERE by_path AND off > 1 UNION ALL SELECT village, 'start', 1, nx, ny FROM w WHERE by_path AND off > 1
+UNION ALL SELECT village, 'end', 0, tx, ty FROM w WHERE by_path AND soff > 1 UNION ALL SELECT village, 'end', 1, sx, sy FROM w WHERE by_path AND soff > 1 UNION ALL SELECT village, 'straight', 0, x, y FROM w WHERE NOT by_path UNION ALL SELECT village, 'straight', 1, sx, sy FROM w WHERE NOT by_path),
+bo AS (SELECT village, part, false AS back, seq, x, y FROM pt UNION ALL SELECT village, part, true, -seq, x, y FROM pt), sg AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM bo WINDOW o AS (PARTITION BY village, part, back ORDER BY seq)),
+ln AS (SELECT *, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS len FROM sg WHERE x2 IS NOT NULL), up AS (SELECT *, sum(len) OVER (PARTITION BY village, part, back ORDER BY seq) - len AS upto, sum(len) OVER (PARTITION BY village, part, back) AS total FROM ln WHERE len > 0),
+nk AS (SELECT village, part, back, any_value(total) AS total, greatest(CAST(floor(any_value(total) / 60) AS BIGINT), 2) AS n FROM up GROUP BY 1, 2, 3), ks AS (SELECT *, k * total / n AS m FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM nk)),
+sp AS (SELECT * FROM (SELECT ks.village, ks.part, ks.back, k, x + least(1, greatest(0, (m - upto) / len)) * (x2 - x) AS px, y + least(1, greatest(0, (m - upto) / len)) * (y2 - y) AS py, row_number() OVER (PARTITION BY ks.village, ks.part, ks.back, k ORDER BY seq) AS rn FROM ks JOIN up ON up.village = ks.village AND up.part = ks.part AND up.back = ks.back AND m >= upto - 1e-6 AND m <= upto + len + 1e-6) WHERE rn = 1),
+hz AS (SELECT CAST(p_partkey % 100 AS INT) AS k, avg(p_size) * 8 AS z FROM part GROUP BY 1), sz AS (SELECT sp.*, z FROM sp LEFT JOIN hz ON hz.k = CAST(greatest(0, least(9, floor((20011 - py) / 2001.1e0))) AS INT) * 10 + CAST(greatest(0, least(9, floor(px / 2001.1e0))) AS INT)),
+dz AS (SELECT village, back, k, greatest(sqrt(pow(px - lag(px) OVER o, 2) + pow(py - lag(py) OVER o, 2)), 1e-6) AS d, z - lag(z) OVER o AS rise FROM sz WINDOW o AS (PARTITION BY village, part, back ORDER BY k)),
+h AS (SELECT village, sum(d / 1000 / greatest(6 * exp(-3.5 * abs(coalesce(rise, 0) / d + 0.05)), 0.05)) FILTER (NOT back) AS hours, sum(d / 1000 / greatest(6 * exp(-3.5 * abs(coalesce(rise, 0) / d + 0.05)), 0.05)) FILTER (back) AS hours_back FROM dz WHERE k > 0 GROUP BY 1)
+SELECT w.village, stop, CASE WHEN by_path THEN 'path network' ELSE 'straight line' END AS basis, round_even(CASE WHEN by_path THEN km * 1000 + CASE WHEN off > 1 THEN off ELSE 0 END + CASE WHEN soff > 1 THEN soff ELSE 0 END ELSE sqrt(pow(sx - w.x, 2) + pow(sy - w.y, 2)) END, 3) AS metres, round_even(coalesce(hours, 0), 5) AS hours, round_even(coalesce(hours_back, 0), 5) AS hours_back FROM w LEFT JOIN h ON h.village = w.village""",
     "road_chunks": f"""WITH {_PIECES}, g AS (SELECT line_id, chunk, sum(sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2))) AS metres, count(*) AS vertices, arg_min(x1, seq) AS xa, arg_min(y1, seq) AS ya, arg_max(x1, seq) AS xb, arg_max(y1, seq) AS yb FROM ps GROUP BY 1, 2)
 SELECT line_id, chunk, round_even(metres, 4) AS metres, vertices, round_even(xa, 3) + 0e0 AS x_a, round_even(ya, 3) + 0e0 AS y_a, round_even(xb, 3) + 0e0 AS x_b, round_even(yb, 3) + 0e0 AS y_b, CASE WHEN sqrt(pow(xb - xa, 2) + pow(yb - ya, 2)) > 1 THEN round_even(metres / sqrt(pow(xb - xa, 2) + pow(yb - ya, 2)), 6) END AS sinuosity FROM g""",
     "road_chunk_speeds": f"""WITH {EVM}, {_PIECES}, q AS (SELECT event_id, line_id, chunk, x, y, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy FROM evm JOIN ps ON x BETWEEN least(x1, x2) - 200 AND greatest(x1, x2) + 200 AND y BETWEEN least(y1, y2) - 200 AND greatest(y1, y2) + 200),
