@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import DOCS, later_lines, words
 from pyspark.sql import functions as F
@@ -466,16 +467,42 @@ def test_vectors_that_take_no_part(spark):
     assert nearest.nearest(table.where("vec_id < 0")).count() == 0
 
 
-def test_most_pairs_are_not_verified(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
-    ids, vectors = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
-    asked = np.flatnonzero(ids % 25 == 0)
-    q, _, d = nearest.first_found(ids[:1000], vectors[:1000], ids[asked], vectors[asked], 10)
-    bounds = nearest.bounds_of(len(asked), q, d, 10)
-    q, of, _, tried = nearest.search_block(ids, vectors, ids[asked], vectors[asked], bounds, 10, 16, 0.9, 1)
-    want = exact([(r["vec_id"], r["embedding"]) for r in rows], 25, 10)
-    hits = sum(len({i for i, _ in want[int(ids[a])]} & set(ids[of[q == n]].tolist())) for n, a in enumerate(asked))
-    assert hits >= 0.9 * 10 * len(asked) and tried < 0.75 * len(ids) * len(asked)
+@pytest.mark.parametrize("n", [500, 2000, 20_000])
+def test_the_index_alone_finds_the_neighbours(spark, n):
+    """Recall of the whole query, and the share of pairs that the leaves verify, at sizes below and above the sample's."""
+    rng = np.random.default_rng(n)
+    own = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    base = np.stack(own["embedding"].to_numpy()).astype(float)
+    vectors = base[:n] if n <= len(base) else np.concatenate([base, base[rng.integers(0, len(base), n - len(base))] + rng.normal(0, 0.7, (n - len(base), base.shape[1])) * base.std(0)])
+    ids, every = np.arange(n), max(10, n // 60)
+    table = spark.createDataFrame(pa.table({"vec_id": ids, "embedding": pa.array(list(vectors))}))
+    got = defaultdict(set)
+    for r in nearest.nearest(table, every=every).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in ids[ids % every == 0]:
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * sum(map(len, got.values())) and all(len(x) == 10 for x in got.values())
+    asked, sampled = np.flatnonzero(ids % every == 0), rng.permutation(n)[: n // 8]
+    points = vectors @ nearest.directions(vectors.shape[1], 16, 1)
+    tried = 0
+    q, _, d = nearest.first_found(ids[sampled], vectors[sampled], asked, vectors[asked], 10)
+    for s in range(0, n, nearest.BLOCK):
+        order, edges, _, _ = nearest.tree_of(points[s : s + nearest.BLOCK])
+        order = order + s
+        tried += nearest.search_leaves(ids[order], vectors[order], points[order], edges, asked, vectors[asked], nearest.bounds_of(len(asked), q, d, 10), 10, 0.95, 1)[3]
+    share = tried / (n * len(asked))
+    print(f"{n} rows: recall {hits / sum(map(len, got.values())):.3f}, {share:.2f} of pairs verified")
+    assert share < 0.85
+
+
+def test_the_least_vector_of_a_repeated_id_asks(spark):
+    rows = [(0, [5.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0, 1.0]), (3, [9.0, 9.0])]
+    for n in (1, 5):
+        table = spark.createDataFrame(rows[::-1] if n == 1 else rows, "vec_id long, embedding array<double>").repartition(n)
+        assert [(r["vec_id"], r["score"]) for r in nearest.nearest(table, k=1).collect()] == [(1, 1.0)]
 
 
 def test_lengths_ids_and_clashing_columns(spark):

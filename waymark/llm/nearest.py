@@ -5,15 +5,16 @@ chi-square variable of ``m`` degrees). A kd-tree over the projections gives its
 vectors in them that the test below does not rule out are verified. With the k-th best true distance d known so far and the next projected distance r, the search
 stops when ``P(chi2_m <= r**2 / d**2) >= sure``: a nearer vector would then have been met already with probability ``sure``.
 
-Every row is indexed, once for each batch of queries: a task cuts its rows into blocks of at most BLOCK, each with a tree of its
-own. Queries go to all tasks in batches of at most QUERY_BYTES, with a first bound of d: the k-th best among a sample of at most
-SAMPLE rows, so a block neither verifies nor returns what the sample already beats. What the blocks return is merged. Vectors are
-shuffled once; with ``m`` = 16 and ``sure`` = 0.9 recall over check_s is above 0.9 while about half of all pairs are verified (its
-vectors are nearly uniform on a sphere of 64 dimensions, where the tenth neighbour is at 0.79 of the median distance).
+Every row is indexed, once: a task cuts its rows into blocks of at most BLOCK, each with a tree of its own, and writes the trees' leaves, a
+row each. Queries go to all leaves in batches of at most QUERY_BYTES, with a first bound of d: the k-th best among a sample of
+at most SAMPLE rows and an eighth of all, so that no leaf verifies or returns what the sample already beats. The sample gives
+bounds and no result: each row of the result is found through its leaf. What the leaves return is merged. Vectors are shuffled
+once. The vectors of the test tables are nearly uniform on a sphere of 64 dimensions, where the tenth neighbour is at 0.79 of the
+median distance, so about half of all pairs is verified.
 
 Cases. Vectors that are null, empty, zero, or hold null or non-finite components take no part. A vector is compared with those of
 its own length only, as there is no distance to others. Distances are summed in double precision over the differences. Ties go to
-the smaller id; repeated rows of an id are one candidate each, but ask once; a query never finds rows of its own id. With fewer
+the smaller id; repeated rows of an id are one candidate each, but ask once, the least vector for the id; a query never finds rows of its own id. With fewer
 candidates than k, all are returned.
 """
 
@@ -84,17 +85,23 @@ def verified(points: np.ndarray, queries: np.ndarray, wanted: np.ndarray) -> np.
     return out
 
 
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, m: int, sure: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(place of the query, place, distance) of the at most ``k`` nearest found for each query within its bound, and how many pairs were verified."""
-    directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], m))
-    points = vectors @ directions
-    order, edges, low, high = tree_of(points)
-    vectors, points, ids = vectors[order], points[order], ids[order]  # places are given back in the order they came in
+def directions(width: int, m: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((width, m))
+
+
+def search_leaves(ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, edges: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, bounds: np.ndarray, k: int, sure: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(place of the query, place, distance) of the at most ``k`` nearest found for each query within its bound, and how many pairs were verified.
+
+    Rows lie in order of the leaves that start at ``edges``; ``points`` are their projections.
+    """
+    m = points.shape[1]
+    onto = directions(vectors.shape[1], m, seed)
+    low, high = np.minimum.reduceat(points, edges[:-1]), np.maximum.reduceat(points, edges[:-1])
     limit, tried = chi_square_quantile(sure, m), 0
     found: list[tuple[np.ndarray, ...]] = []
     for s in range(0, len(queries), AT_ONCE):
         own, own_ids, bound = queries[s : s + AT_ONCE], query_ids[s : s + AT_ONCE], bounds[s : s + AT_ONCE].copy()
-        wanted = own @ directions
+        wanted = own @ onto
         # projected distance to a leaf's box: a leaf is met when the incremental search reaches that distance
         reach = sum(np.maximum(0, np.maximum(low[None, :, j] - wanted[:, None, j], wanted[:, None, j] - high[None, :, j])) ** 2 for j in range(m))
         turn = np.argsort(reach, axis=1, kind="stable")
@@ -118,7 +125,7 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
         q, p = q[best], p[best]
         place = np.arange(len(q)) - np.searchsorted(q, q)
         q, p = q[place < k], p[place < k]
-        found.append((q + s, order[p], far[q, p]))
+        found.append((q + s, p, far[q, p]))
     return *(np.concatenate(x) for x in zip(*found, strict=True)), tried
 
 
@@ -157,6 +164,38 @@ def by_length(rows: pa.RecordBatch | pa.Table) -> dict[int, tuple[np.ndarray, np
     return out
 
 
+LEAVES = "width int, ids array<long>, at array<long>, v array<double>, p array<double>"
+
+
+def leaves_of(rows: DataFrame, m: int, seed: int) -> DataFrame:
+    """The leaves of the trees over blocks of ``rows(vec_id, at, v)``: LEAVES, the vectors and their projections end to end."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for s in range(0, part.num_rows, BLOCK):
+                for w, (ids, at, matrix) in by_length(part.slice(s, BLOCK)).items():
+                    points = matrix @ directions(w, m, seed)
+                    order, edges, _, _ = tree_of(points)
+                    run_of = lambda values, each: pa.ListArray.from_arrays(pa.array((edges * each).astype(np.int32)), pa.array(np.ascontiguousarray(values[order]).ravel()))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(edges) - 1, w, np.int32)), run_of(ids, 1), run_of(at, 1), run_of(matrix, w), run_of(points, m)], ["width", "ids", "at", "v", "p"])
+
+    return rows.mapInArrow(run, LEAVES)
+
+
+def groups(batch: pa.RecordBatch, m: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(width, ids, row numbers, vectors, projections, edges) of consecutive leaves of one width, of about BLOCK rows."""
+    width, size = batch["width"].to_numpy(), batch["ids"].value_lengths().to_numpy()
+    start = 0
+    while start < len(width):
+        same = np.flatnonzero(width[start:] != width[start])
+        upto = np.searchsorted(np.cumsum(size[start:]), BLOCK, side="right")
+        end = start + max(1, min(int(upto), int(same[0]) if len(same) else len(width)))
+        flat = lambda c: batch[c].slice(start, end - start).flatten().to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        w = int(width[start])
+        yield w, flat("ids"), flat("at"), flat("v").reshape(-1, w), flat("p").reshape(-1, m), np.concatenate(([0], np.cumsum(size[start:end])))
+        start = end
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``(vec_id, v)`` of the rows that take part."""
     v = F.col("v")
@@ -165,41 +204,39 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, m: int = 16, sure: float = 0.9, seed: int = 1) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, m: int = 16, sure: float = 0.95, seed: int = 1) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row whose id ``every`` divides, the ``k`` nearest others found."""
     spark, usual = vectors.sparkSession, usable(vectors, id_col, vec_col)
     with Scratch(spark) as scratch:
-        n, widest = usual.agg(F.count("*"), F.max(F.size("v"))).first()
+        n, asking, widest = usual.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0), F.max(F.size("v"))).first()
         blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK))
         # dealt by row, so equal vectors and ids do not gather in one block
         rows = scratch.store(usual.repartition(blocks, F.monotonically_increasing_id()).withColumn("at", F.monotonically_increasing_id()).select("vec_id", "at", "v"), "vectors")
-        scratch.keep(rows)
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    batches = max(1, -(-(n // every + 1) * 8 * (widest or 1) // QUERY_BYTES))
-    sample = by_length(rows.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(max(1, 2 * n // SAMPLE))) == 0).limit(SAMPLE).toArrow())
-    kind, names = "query_id long, vec_id long, score double, at long", ["query_id", "vec_id", "score", "at"]
-    found = []
-    for batch in range(batches):
-        queries, seeds = {}, []
-        for w, (ids, _, matrix) in by_length(asked.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(batches)) == batch).toArrow()).items():
-            of, at, points = sample.get(w, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, w))))
-            q, p, d = first_found(of, points, ids, matrix, k)
-            queries[w] = ids, matrix, bounds_of(len(ids), q, d, k)
-            seeds.append(pa.table([pa.array(ids[q]), pa.array(of[p]), pa.array(d), pa.array(at[p])], names))
-        shared = spark.sparkContext.broadcast(queries)
-
-        def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            for part in parts:
-                for s in range(0, part.num_rows, BLOCK):
-                    for w, (ids, at, matrix) in by_length(part.slice(s, BLOCK)).items():
+        leaves = scratch.keep(scratch.store(leaves_of(rows, m, seed), "leaves"))
+        asked = scratch.store(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", F.lit(0).cast("long").alias("at"), "v"), "asked")
+        batches = max(1, -(-asking * 8 * (widest or 1) // QUERY_BYTES))
+        few = min(SAMPLE, n // 8)
+        # one row in n / few on average, by a hash of 62 bits
+        drawn = rows.where(F.shiftright(F.xxhash64("vec_id", F.lit(seed)), 2).bitwiseAND((1 << 62) - 1) < F.lit((few << 62) // max(n, 1)))
+        sample = by_length(drawn.limit(few).toArrow())
+        found = []
+        for batch in range(batches):
+            queries = {}
+            for w, (ids, _, matrix) in by_length(asked.where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(batches)) == batch).toArrow()).items():
+                of, _, points = sample.get(w, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, w))))
+                q, _, d = first_found(of, points, ids, matrix, k)
+                queries[w] = ids, matrix, bounds_of(len(ids), q, d, k)
+            shared = spark.sparkContext.broadcast(queries)
+
+            def run(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+                for part in parts:
+                    for w, ids, at, matrix, points, edges in groups(part, m):
                         if w in shared.value:
-                            q, p, d, _ = search_block(ids, matrix, *shared.value[w], k, m, sure, seed)
-                            yield pa.RecordBatch.from_arrays([pa.array(shared.value[w][0][q]), pa.array(ids[p]), pa.array(d), pa.array(at[p])], names)
-
-        found.append(rows.mapInArrow(run, kind))
-        # what the sample gave was found too, by comparing with all of it
-        found += [spark.createDataFrame(x) for x in seeds if x.num_rows]
-    out = functools.reduce(DataFrame.union, found).distinct()
-    # each block gives at most k rows a query, so the merge is bounded
+                            q, p, d, _ = search_leaves(ids, matrix, points, edges, *shared.value[w], k, sure, seed)
+                            yield pa.RecordBatch.from_arrays([pa.array(shared.value[w][0][q]), pa.array(ids[p]), pa.array(d), pa.array(at[p])], ["query_id", "vec_id", "score", "at"])
+
+            found.append(leaves.mapInArrow(run, "query_id long, vec_id long, score double, at long"))
+    out = functools.reduce(DataFrame.union, found)
+    # each group of leaves gives at most k rows a query, so the merge is bounded
     order = Window.partitionBy("query_id").orderBy("score", "vec_id", "at")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
