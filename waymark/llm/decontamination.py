@@ -2,18 +2,19 @@
 
 The items are indexed by word; every training passage is a query. A posting's impact is its BM25 weight divided by the item's
 own total, so a score is the share of the item's BM25 mass that the passage covers, and one threshold serves items of any
-length. Passages are windows of twice the longest item's words at steps of its length, so each item that a text holds
-lies whole in one passage, and whole texts are searched.
+length. Items are classed by the octave of their number of words, each class with an index and passages of its own: windows of
+twice the octave's end at steps of it. So each item that a text holds lies whole in one passage, whole texts are searched, and an
+item's passages depend on its own length alone.
 
-A first test sums the block maxima of all passages of a slice at once (the pivot test of WAND for a whole block of items);
-what passes is searched by block-max WAND and all items at or above the threshold are retrieved. Each is verified: of the
+A first test sums the block maxima of many passages at once, at most BOUNDS sums (the pivot test of WAND for a whole block of
+items); what passes is searched by block-max WAND and all items at or above the threshold are retrieved. Each is verified: of the
 5-word shingles of its question (the first words) and of its answer (the rest) at least ``overlap`` must be in the passage. A
 short part has few shingles, and one word that differs or has something glued to it breaks them all; so an item is also held when
 ``overlap`` of its words lie in runs of RUN words that the passage holds and half of its answer's words are in the passage.
 
-Document frequencies and the mean length are counted over all items first, so an item's scores do not depend on its shard. The
-items are read in shards of at most SHARD_ITEMS; SHARDS_A_PASS indexes at a time go to the tasks, the documents are never shuffled
-or joined.
+Document frequencies and the mean length are counted over all items first, so an item's matches and scores do not depend on its shard.
+The items are read in shards of at most SHARD_ITEMS; SHARDS_A_PASS shards at a time are broadcast to the tasks, the documents are
+never shuffled or joined.
 
 Cases. Null or empty texts and items match nothing. A part of fewer than five words is one shingle. Equal items are all reported.
 Repeated rows are each searched. An empty benchmark gives no match. Other columns are passed through.
@@ -27,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ K1, B = 1.2, 0.75
 SHARD_ITEMS, BLOCK = 2_000, 4
 #: Shards that are searched in one pass over the documents: what a task holds.
 SHARDS_A_PASS = 16
+#: Sums of block maxima that are held at once.
+BOUNDS = 1 << 22
 #: Words of a run: with three, any one edited word leaves at least 0.8 of an item of 15 words or more.
 RUN = 3
 
@@ -53,7 +57,7 @@ class Index:
     block_begin: np.ndarray  # the same by block of items
     block: np.ndarray
     block_most: np.ndarray
-    length: int  # words of the longest item
+    length: int  # the most words an item of this class may have
     parts: list[tuple[tuple[int, np.ndarray], tuple[int, np.ndarray]]]  # of each item: (k, shingles) of question and answer
     runs: list[tuple[int, np.ndarray, np.ndarray]]  # of each item: (k, its runs of k words in order, words of the answer)
 
@@ -63,8 +67,34 @@ def part_shingles(words: np.ndarray, k: int) -> tuple[int, np.ndarray]:
     return k, np.unique(K.shingles(words, np.zeros(len(words), np.int64), k)[0]) if k else np.zeros(0, K.U)
 
 
+@dataclass
+class Shard:
+    """The classes of a shard's items: an index each, and the place of each of the shard's words in its vocabulary, else -1."""
+
+    vocab: np.ndarray
+    classes: list[tuple[Index, np.ndarray]]
+
+
+def build_shard(items: list[tuple[int, str]], corpus: tuple[int, float, dict[int, int]] | None = None) -> Shard | None:
+    """The indexes of one shard; None if no item has a word."""
+    octaves: dict[int, list[tuple[int, str]]] = {}
+    for item in items:
+        if n := len(K.Words(*K.buffers(pa.array([item[1] or ""])))):
+            octaves.setdefault(n.bit_length(), []).append(item)
+    if not octaves:
+        return None
+    found = [build(own, corpus=corpus) for _, own in sorted(octaves.items())]
+    vocab = np.unique(np.concatenate([x.vocab for x in found]))
+    classes = []
+    for x in found:
+        place = np.full(len(vocab), -1)
+        place[np.searchsorted(vocab, x.vocab)] = np.arange(len(x.vocab))
+        classes.append((x, place))
+    return Shard(vocab, classes)
+
+
 def build(items: list[tuple[int, str]], k: int = 5, answer_share: float = 0.25, corpus: tuple[int, float, dict[int, int]] | None = None) -> Index | None:
-    """The index of one shard; None if no item has a word. ``corpus``: number of all items, their mean length, and in how many each word is; without it, of these."""
+    """The index of items of one class; None if no item has a word. ``corpus``: number of all items, their mean length, and in how many each word is; without it, of these."""
     ids, bags, parts, runs, length = [], [], [], [], 0
     for item_id, text in items:
         data, at = K.buffers(pa.array([text or ""]))
@@ -76,7 +106,7 @@ def build(items: list[tuple[int, str]], k: int = 5, answer_share: float = 0.25,
         bags.append(np.unique(h, return_counts=True))
         parts.append((part_shingles(h[:cut], k), part_shingles(h[cut:], k)))
         runs.append((min(RUN, len(h)), K.shingles(h, np.zeros(len(h), np.int64), min(RUN, len(h)))[0], h[cut:]))
-        length = max(length, len(h))
+        length = max(length, (1 << len(h).bit_length()) - 1)
     if not ids:
         return None
     vocab, df = np.unique(np.concatenate([w for w, _ in bags]), return_counts=True)
@@ -168,10 +198,19 @@ def in_runs(item: tuple[int, np.ndarray, np.ndarray], words: np.ndarray) -> floa
     return float(inside.mean())
 
 
-def search(index: Index, w: K.Words, at: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
-    """(row, item, score, question's share, answer's share) of all verified matches of some rows, best passage each."""
-    v = np.minimum(np.searchsorted(index.vocab, w.hash), len(index.vocab) - 1)
-    hit = np.flatnonzero(index.vocab[v] == w.hash)
+def search(shard: Shard, w: K.Words, at: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+    """(row, item's id, score, question's share, answer's share) of all verified matches of some rows, best passage each."""
+    v = np.minimum(np.searchsorted(shard.vocab, w.hash), len(shard.vocab) - 1)
+    hit = np.flatnonzero(shard.vocab[v] == w.hash)
+    out = []
+    for index, place in shard.classes:
+        own = place[v[hit]]
+        out += search_class(index, w, at, hit[own >= 0], own[own >= 0], threshold, overlap)
+    return out
+
+
+def search_class(index: Index, w: K.Words, at: np.ndarray, hit: np.ndarray, term: np.ndarray, threshold: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+    """The matches of one class; ``hit`` are the words that its items have, ``term`` their numbers in its vocabulary."""
     if not len(hit):
         return []
     edge = np.searchsorted(w.row, np.arange(len(at)))
@@ -181,18 +220,22 @@ def search(index: Index, w: K.Words, at: np.ndarray, threshold: float, overlap:
     row, place = w.row[hit], hit - edge[w.row[hit]]
     second = np.minimum(place // index.length, last[row])
     first = np.maximum(place // index.length - 1, 0)
-    terms, passage = K.distinct(np.concatenate([v[hit]] * 2).astype(np.int64), base[np.concatenate([row, row])] + np.concatenate([np.minimum(first, last[row]), second]))
-    # block maxima of all passages at once
-    size = index.block_begin[terms + 1] - index.block_begin[terms]
-    begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-    post = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(index.block_begin[terms], size)
+    terms, passage = K.distinct(np.concatenate([term] * 2).astype(np.int64), base[np.concatenate([row, row])] + np.concatenate([np.minimum(first, last[row]), second]))
     blocks = int(index.block.max()) + 1
     heads = K.heads(passage)
-    local = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(passage))))
-    bound = np.bincount(np.repeat(local, size) * blocks + index.block[post], weights=index.block_most[post], minlength=len(heads) * blocks).reshape(-1, blocks)
-    best: dict[tuple[int, int], tuple[float, float, float]] = {}
     ends = np.append(heads, len(passage))
-    for x in np.flatnonzero((bound >= threshold).any(axis=1)):
+    some = []
+    for g in range(0, len(heads), group := max(1, BOUNDS // blocks)):
+        # block maxima of a group of passages
+        own, many = terms[ends[g] : ends[min(g + group, len(heads))]], min(group, len(heads) - g)
+        size = index.block_begin[own + 1] - index.block_begin[own]
+        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        post = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(index.block_begin[own], size)
+        local = np.repeat(np.arange(many), np.diff(ends[g : g + many + 1]))
+        bound = np.bincount(np.repeat(local, size) * blocks + index.block[post], weights=index.block_most[post], minlength=many * blocks).reshape(-1, blocks)
+        some += (g + np.flatnonzero((bound >= threshold).any(axis=1))).tolist()
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    for x in some:
         p = passage[heads[x]]
         r = int(np.searchsorted(base, p, side="right") - 1)
         for i, score in block_max_wand(index, terms[heads[x] : ends[x + 1]], threshold):
@@ -201,7 +244,7 @@ def search(index: Index, w: K.Words, at: np.ndarray, threshold: float, overlap:
             question, answer = (share_in(part, words) for part in index.parts[i])
             if (question >= overlap and answer >= overlap) or in_runs(index.runs[i], words) >= overlap:
                 best[r, i] = max(best.get((r, i), (0.0, 0.0, 0.0)), (score, question, answer))
-    return [(r, i, *x) for (r, i), x in sorted(best.items())]
+    return [(r, index.ids[i], *x) for (r, i), x in sorted(best.items())]
 
 
 def statistics(items: DataFrame) -> DataFrame:
@@ -220,8 +263,8 @@ def statistics(items: DataFrame) -> DataFrame:
     return items.select("text").mapInArrow(run, "word long, words long").groupBy("word").agg(F.count("*").alias("items"), F.sum("words").alias("words"))
 
 
-def shards(benchmark: DataFrame) -> Iterator[Index]:
-    """The indexes of the items, a bounded shard at a time; document frequencies and mean length are those of all items."""
+def shards(benchmark: DataFrame) -> Iterator[Shard]:
+    """The indexes of the items, by shards of bounded size; document frequencies and mean length are those of all items."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n = max(1, -(-items.count() // (SHARD_ITEMS // 2)))
     with Scratch(benchmark.sparkSession) as scratch:
@@ -236,31 +279,31 @@ def shards(benchmark: DataFrame) -> Iterator[Index]:
                 known = F.broadcast(benchmark.sparkSession.createDataFrame(pa.table({"own": words})))  # the words of a bounded shard
                 found = table.join(known, F.col("word") == F.col("own")).select("word", "items").toArrow()
                 frequency = dict(zip(found["word"].to_pylist(), found["items"].to_pylist(), strict=True))
-                if many and (index := build(part, corpus=(many, total / many, frequency))):
-                    yield index
+                if many and (shard := build_shard(part, (many, total / many, frequency))):
+                    yield shard
 
 
-def passes(benchmark: DataFrame) -> Iterator[list[Index]]:
-    """The indexes that go through the documents together."""
+def passes(benchmark: DataFrame) -> Iterator[Broadcast[list[Shard]]]:
+    """The shards that go through the documents together, broadcast: at most SHARDS_A_PASS times SHARD_ITEMS items."""
     every = shards(benchmark)
     while own := list(itertools.islice(every, SHARDS_A_PASS)):
-        yield own
+        yield benchmark.sparkSession.sparkContext.broadcast(own)
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """``(doc_id, item_id, score, question_overlap, answer_overlap)`` of every document and item that it holds."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    for indexes in passes(benchmark):
+    for shared in passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = indexes) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast[list[Shard]] = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, _, data, at in K.slices(batch.column(1)):
                     w = K.Words(data, at)
-                    for index in indexes:
-                        if found := search(index, w, at, threshold, overlap):
+                    for shard in shared.value:
+                        if found := search(shard, w, at, threshold, overlap):
                             rows, items, *rest = zip(*found, strict=True)
-                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + r for r in rows])), pa.array([index.ids[x] for x in items], pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i + r for r in rows])), pa.array(items, pa.int64()), *(pa.array(x, pa.float64()) for x in rest)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
         one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
         out = one if out is None else out.union(one)
@@ -270,15 +313,15 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     at_text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
-    for indexes in passes(benchmark):
+    for shared in passes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], indexes: list[Index] = indexes) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast[list[Shard]] = shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for i, _, data, at in K.slices(batch.column(at_text)):
                     w = K.Words(data, at)
-                    for index in indexes:
-                        clean[[i + f[0] for f in search(index, w, at, threshold, overlap)]] = False
+                    for shard in shared.value:
+                        clean[[i + f[0] for f in search(shard, w, at, threshold, overlap)]] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
