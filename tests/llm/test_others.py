@@ -12,7 +12,7 @@ import pytest
 from helpers import DOCS, later_lines, words
 from pyspark.sql import functions as F
 
-from waymark.llm import decontamination, html_extraction, language_id, line_dedup, mixing, nearest, quality, sharding, url_filter
+from waymark.llm import common, decontamination, html_extraction, kernel, language_id, line_dedup, mixing, nearest, quality, sharding, url_filter
 from waymark.llm.queries import QUERIES, URL_RULES
 
 SF = "/root/testdata/sf0.001"
@@ -86,6 +86,49 @@ def test_scores_do_not_depend_on_the_shard(spark, monkeypatch):
     assert all(math.isclose(a[2], b[2], rel_tol=1e-12) for a, b in zip(parts, whole, strict=True))
 
 
+def test_a_long_item_in_the_shard_changes_nothing(spark, monkeypatch):
+    item = [f"q{i}" for i in range(20)]
+    # pieces of eight words of the item, 200 words apart: no passage of its own length holds it
+    spread = " ".join([*item[:8], *["pad"] * 200, *item[6:14], *["pad"] * 200, *item[12:]])
+    whole = " ".join(["pad"] * 70 + item + ["pad"] * 70)
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(1, spread), (2, whole)], "doc_id long, text string")
+    long = " ".join(f"z{rng.randrange(10**6)}" for _ in range(3000))
+    for items in ([(1, " ".join(item))], [(1, " ".join(item)), (2, long)]):
+        got = decontamination.contaminations(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert [(r["doc_id"], r["item_id"]) for r in got] == [(2, 1)]
+    # items of mixed lengths give the same in shards of any size, and with bounds in small groups
+    words = [f"w{i}" for i in range(300)]
+    mixed = [(i, " ".join(rng.choices(words, k=rng.choice([1, 3, 7, 8, 15, 16, 40, 200])))) for i in range(50)]
+    frame = spark.createDataFrame(mixed, "item_id long, text string")
+    held = spark.createDataFrame([(i, " ".join([t, *rng.choices(words, k=300), mixed[(i + 7) % 50][1]])) for i, t in mixed], "doc_id long, text string")
+    first = sorted(tuple(r)[:2] for r in decontamination.contaminations(held, frame).collect())
+    assert {(i, i) for i, _ in mixed} <= set(first)
+    monkeypatch.setattr(decontamination, "SHARD_ITEMS", 6)
+    monkeypatch.setattr(decontamination, "SHARDS_A_PASS", 4)
+    assert sorted(tuple(r)[:2] for r in decontamination.contaminations(held, frame).collect()) == first
+
+
+def test_passages_in_groups(monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(words, k=12))) for i in range(30)]
+    shard = decontamination.build_shard(items)
+    text = " ".join([*rng.choices(words, k=400), items[3][1], *rng.choices(words, k=400), items[20][1]])
+    data, at = kernel.buffers(pa.array(["", text, items[7][1]]))
+    found = decontamination.search(shard, kernel.Words(data, at), at, 0.5, 0.8)
+    monkeypatch.setattr(decontamination, "BOUNDS", 1)
+    assert decontamination.search(shard, kernel.Words(data, at), at, 0.5, 0.8) == found
+    assert {(1, 3), (1, 20), (2, 7)} <= {x[:2] for x in found}
+
+
+@pytest.mark.parametrize("rows", [1, 399, 10**6, 10**9, 10**12, 10**15])
+def test_a_sample_is_drawn_from_any_number_of_rows(spark, rows):
+    bound = common.draw_bound(520, rows)
+    assert 0 < bound <= 1 << 62 and abs(bound / 2**62 * rows - min(rows, 520)) < 0.01
+    assert spark.range(1000).where(common.draw("id", seed=17) < common.draw_bound(1000, 1000)).count() == 1000
+
+
 def test_leaks_anywhere_in_long_texts_and_edge_items(spark, nasty, empty):
     item = " ".join(f"q{i}" for i in range(40))
     rows = [(i, " ".join(["pad"] * (i * 37) + [item] + ["end"] * 500), "en", "a", 0) for i in range(8)]

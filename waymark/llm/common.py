@@ -101,6 +101,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def draw(*cols: Column | str, seed: int) -> Column:
+    """A hash of ``cols`` as a number of 62 bits, to be held against :func:`draw_bound`."""
+    return F.shiftrightunsigned(F.xxhash64(*cols, F.lit(seed)), 2)
+
+
+def draw_bound(wanted: float, rows: int) -> int:
+    """The bound below which a draw lies for ``wanted`` of ``rows`` on average; at least one in 2**62, so that it is never 0 for any table."""
+    return max(1, min(1 << 62, (int(wanted * 1024) << 62) // (1024 * max(rows, 1))))
+
+
 def crc_of_id(col: Column) -> Column:
     """Unsigned crc32 of the id as text."""
     return F.crc32(F.encode(col.cast("string"), "utf-8"))

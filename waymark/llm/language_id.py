@@ -10,7 +10,7 @@ texts of any length. Only the text is an input of a prediction.
 Fitting uses a bounded sample: ``sample_per_lang`` labelled rows of each language, drawn by a hash of the row over all partitions.
 The driver gets sparse feature counts of that sample, never texts.
 
-Cases. A null text or one without a letter is ``und`` with score 0. Without any training row every text is ``und``.
+Cases. A null text or one without a letter is ``und`` with score 0. Rows with a null doc_id are not learned from. Without any training row every text is ``und``.
 With a single learned language each text with a letter gets it. Rows are kept as they are, repeated ones too; on a clash of
 column names the new columns get a trailing underscore.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from waymark.llm import kernel as K
-from waymark.llm.common import crc_of_id, free_name
+from waymark.llm.common import crc_of_id, draw, draw_bound, free_name
 
 # Language codes by family.
 FAMILIES = {
@@ -155,13 +155,13 @@ def svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, c: float =
 
 def training_rows(docs: DataFrame, usable: Column, sample_per_lang: int) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(language, slots, frequencies) of the sample."""
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    known = docs.where(usable & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.3 * sample_per_lang / n) * 1_000_000))))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    drawn = known.where(draw < share[F.col("lang")]).select("lang", draw.alias("draw"), "doc_id", "text")
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, draw_bound(1.3 * sample_per_lang, n))))
+    own = draw("doc_id", seed=17)
+    drawn = known.where(own < share[F.col("lang")]).select("lang", own.alias("draw"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()  # a row that is repeated very often counts once in a task

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import kernel as K
-from waymark.llm.common import crc_of_id, stored
+from waymark.llm.common import crc_of_id, draw, draw_bound, stored
 
 CLASS = np.full(256, 5, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 space, 4 plain punctuation, 5 other ASCII, 6 not ASCII, 7 newline
 CLASS[97:123], CLASS[65:91], CLASS[48:58], CLASS[128:] = 0, 1, 2, 6
@@ -128,8 +128,7 @@ def fit(table: DataFrame, labels: DataFrame, usable: Column, sample: int = 20_00
     """Learn from ``labels(doc_id, quality)`` of the rows of ``table(doc_id, f)`` that are ``usable``; None without both kinds."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(usable & F.col("quality").isin(0, 1))
     n = marks.count()
-    share = min(1.0, 1.2 * sample / max(n, 1))
-    marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000)).distinct()
+    marks = marks.where(draw("doc_id", seed=29) < draw_bound(1.2 * sample, n)).distinct()
     rows = table.join(marks, "doc_id").select("quality", "f").orderBy(F.xxhash64("doc_id", F.lit(31)), "quality", "f").limit(sample).toArrow()
     if not rows.num_rows:
         return None
