@@ -169,7 +169,7 @@ def filled(faces: Faces, hull: DataFrame, rings: DataFrame, takers: list, least:
 
     ``faces`` are those of the hull, the outlines ``rings(zone, x1, y1, x2, y2)`` and what cuts the open ground, noded together. Ground that no zone
     holds makes parts; a part that one of the two ``takers`` touches is shared out: each fragment goes to the taker that is nearer, on a tie to that which has more of
-    its edge, else to the second. Parts up to ``least`` square metres, smaller fragments, and ground that neither reaches keep no zone.
+    its edge (in millimetres), else to the second. Parts up to ``least`` square metres, smaller fragments, and ground that neither reaches keep no zone.
     """
     at = materialised(interior_points(faces))
     in_hull = inside(at, "face", hull.withColumn("hull", F.lit(1)), "hull").select("face")
@@ -198,7 +198,7 @@ def filled(faces: Faces, hull: DataFrame, rings: DataFrame, takers: list, least:
     near = edge_gaps(outline, materialised(zones))
     d = touch.withColumn("d", F.lit(0.0)).unionByName(near.select("face", F.col("zone").cast(dict(touch.dtypes)["zone"]).alias("zone"), "d"))
     rank = F.when(F.col("zone") == takers[0], 1).otherwise(0)  # the second on a full tie
-    choice = open_.join(d, "face").join(shared, ["face", "zone"], "left").groupBy("face").agg(F.min(F.struct("d", -F.coalesce("edge", F.lit(0.0)), rank, "zone")).alias("m")).select("face", F.col("m.zone").alias("taker"))
+    choice = open_.join(d, "face").join(shared, ["face", "zone"], "left").groupBy("face").agg(F.min(F.struct("d", -F.bround(F.coalesce("edge", F.lit(0.0)), 3), rank, "zone")).alias("m")).select("face", F.col("m.zone").alias("taker"))
     return known.join(choice, "face", "left").select("face", "area", F.coalesce("zone", "taker").alias("zone"), F.col("taker").isNotNull().alias("taken"))
 
 
