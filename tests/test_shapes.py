@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -61,6 +62,22 @@ def test_greedy_merge_measures_from_the_seed(spark):
     assert got == [(1, "a", 1450.0, 0.0, 4, 3), (3, "a", 5800.0, 0.0, 4, 1), (4, "b", 0.0, 0.0, 8, 1)]
 
 
+def test_seeds_are_those_of_the_loop(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.uniform(0, 12_000), rng.uniform(0, 9_000)) for i in rng.sample(range(10_000), 300)]
+    rows += [(20_000 + i, "line", 1500.0 * i, 0.0) for i in range(15)] + [(30_000 + i, "spot", 5.0 + i % 3, 5.0) for i in range(60)]
+    rows += [(40_000, "a", None, 0.0), (40_001, "a", float("nan"), 0.0)]
+    seeds, want = [], {}
+    for i, name, x, y in sorted(rows, key=lambda r: r[0]):
+        ok = x is not None and x == x
+        own = next((s for s, n, a, b in seeds if ok and n == name and math.hypot(x - a, y - b) <= 3000.0), None)
+        want[i] = own if own is not None else i
+        if own is None and ok:
+            seeds.append((i, name, x, y))
+    got = resolve.greedy_seeds(spark.createDataFrame(rows, "id long, name string, x double, y double").repartition(5), 3000.0)
+    assert {r["id"]: r["seed"] for r in got.collect()} == want
+
+
 def test_spelling_groups_and_distance_veto(spark):
     rows = [("k", "kiara", 0.0, 0.0), ("k", "kiera", 100.0, 0.0), ("k", "kieraa", 90000.0, 0.0), ("k", "zzz", None, None)]
     got = dict(tuple(r) for r in resolve.spelling_groups(spark.createDataFrame(rows, "block string, name string, x double, y double")).collect())

@@ -1,6 +1,7 @@
-"""Resolution by ordered greedy folds and fixpoints, one bounded group at a time. (RES-02, RES-06, RES-08, OPT-01, STR-15)
+"""Resolution by ordered greedy folds and fixpoints. (RES-02, RES-06, RES-08, OPT-01, STR-15)
 
-A greedy fold depends on its order. Groups here are the rows of one name or one block, small by nature; a group is a task's unit.
+A greedy fold depends on its order. Same-name merging decides in rounds of cells; spelling groups and tours take one block or one tour, small by
+nature, as a task's unit.
 """
 
 from __future__ import annotations
@@ -12,27 +13,51 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.access import finite
+from waymark.operators.graph import discard, materialised
+from waymark.operators.spatial import cell
+
+
+def greedy_seeds(places: DataFrame, radius: float) -> DataFrame:
+    """``(id, seed)`` of ``places(id, name, x, y)``: in id order a place joins the first seed of its name within ``radius``, else it is one. (RES-02)
+
+    Decided in rounds, many at a time, with the result of the loop over all rows in id order. Cells are so small that two rows of one name in
+    one cell are within the radius: a cell has at most one seed, and only its least open row may become one. That row does so once no cell around has a
+    lesser open row; the seeds of a round then take the open rows near them. So rows never meet in pairs, and a name that many rows share is spread
+    over its cells. Rows without a finite place stand alone. Ids are unique.
+    """
+    side, whole = radius / math.sqrt(2) * 0.999, finite(places.select("id", "x", "y", F.to_json(F.struct("name")).alias("key")))
+    rows = materialised(whole.withColumns({"cx": cell(F.col("x"), side), "cy": cell(F.col("y"), side)}))
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-2, 3) for b in range(-2, 3))))
+    spread = lambda df: df.withColumn("to", around).withColumns({"cx": F.col("cx") + F.col("to.a"), "cy": F.col("cy") + F.col("to.b")}).drop("to")
+    near = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= radius
+    seeds = materialised(rows.select(F.col("id").alias("seed"), F.col("x").alias("sx"), F.col("y").alias("sy"), "key", "cx", "cy").where("false"))
+    left = rows
+    while not left.isEmpty():
+        least = materialised(left.groupBy("key", "cx", "cy").agg(F.min(F.struct("id", "x", "y")).alias("m")).select("key", "cx", "cy", "m.*"))
+        lesser = spread(least.select("key", "cx", "cy", F.col("id").alias("other"))).groupBy("key", "cx", "cy").agg(F.min("other").alias("first"))
+        new = least.join(lesser, ["key", "cx", "cy"]).where("id = first").select(F.col("id").alias("seed"), F.col("x").alias("sx"), F.col("y").alias("sy"), "key", "cx", "cy")
+        new = materialised(new)
+        new.write.mode("append").parquet(seeds.stored_at)
+        taken = left.join(spread(new), ["key", "cx", "cy"]).where(near).select("id").distinct()
+        rest = materialised(left.join(taken, "id", "left_anti"))
+        discard(least, new, *([left] if left is not rows else []))
+        left = rest
+    every = places.sparkSession.read.schema(seeds.schema).parquet(seeds.stored_at)
+    joined = rows.join(spread(every), ["key", "cx", "cy"]).where(near).groupBy("id").agg(F.min("seed").alias("seed"))
+    alone = places.select("id").join(rows.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed"))
+    return materialised(joined.unionByName(alone))
+
 
 def merge_same_name(places: DataFrame, radius: float = 3000.0) -> DataFrame:
     """``places(id, name, x, y, n)`` merged by greedy seeds: in id order a place joins the first seed of its name within ``radius``. (RES-02, AGG-07)
 
     Not transitive: distances are to the seed, not to its members. The merged place sums ``n`` and takes the mean of distinct points.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        seeds: list[dict] = []
-        for r in g.sort_values("id").itertuples():
-            for s in seeds:
-                if math.hypot(r.x - s["x0"], r.y - s["y0"]) <= radius:
-                    s["pts"].add((r.x, r.y))
-                    s["n"] += r.n
-                    s["members"] += 1
-                    break
-            else:
-                seeds.append({"id": r.id, "x0": r.x, "y0": r.y, "pts": {(r.x, r.y)}, "n": r.n, "members": 1})
-        return pd.DataFrame([(s["id"], g["name"].iloc[0], sum(p[0] for p in s["pts"]) / len(s["pts"]), sum(p[1] for p in s["pts"]) / len(s["pts"]), s["n"], s["members"]) for s in seeds], columns=["id", "name", "x", "y", "n", "members"])
-
-    return places.select("id", "name", "x", "y", "n").groupBy("name").applyInPandas(run, "id long, name string, x double, y double, n long, members long")
+    own = places.select("id", "name", "x", "y", "n").join(greedy_seeds(places, radius), "id")
+    sums = own.groupBy("seed").agg(F.first("name").alias("name"), F.sum("n").alias("n"), F.count("*").alias("members"))
+    centre = own.select("seed", "x", "y").distinct().groupBy("seed").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return sums.join(centre, "seed").select(F.col("seed").alias("id"), "name", "x", "y", "n", "members")
 
 
 def spelling_groups(names: DataFrame, cutoff: float = 0.80, apart: float = 4000.0) -> DataFrame:
@@ -73,7 +98,8 @@ def propagate_anchors(unknown: DataFrame, links: DataFrame, known: DataFrame, ro
     for k in range(1, rounds + 1):
         todo = unknown.join(placed.select("name"), "name", "left_anti")
         near = todo.join(both, todo["name"] == both["a"]).join(placed.select(F.col("name").alias("pn"), "x", "y"), F.col("b") == F.col("pn"))
-        placed = placed.union(near.groupBy("name").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("round", F.lit(k)))
+        new = near.groupBy("name").agg(F.avg("x").alias("x"), F.avg("y").alias("y")).withColumn("round", F.lit(k))
+        placed = materialised(placed.union(new))
     return placed.where("round > 0")
 
 

@@ -145,6 +145,10 @@ SELECT user_id AS line_id, k, round_even(x1 + t * (x2 - x1), 3) + 0e0 AS x, roun
 n AS (SELECT event_id, s_suppkey, row_number() OVER (PARTITION BY event_id ORDER BY length(name) DESC, name DESC, s_suppkey DESC) AS rn FROM e JOIN p ON contains(e.text, p.name || ' ') WHERE sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) <= 9000),
 q AS (SELECT event_id, s_suppkey, row_number() OVER (PARTITION BY event_id ORDER BY sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)), s_suppkey) AS rn FROM e JOIN p ON sqrt(pow(p.x - e.x, 2) + pow(p.y - e.y, 2)) <= 5000)
 SELECT e.event_id, coalesce(n.s_suppkey, q.s_suppkey) AS owner, n.s_suppkey IS NOT NULL AS named FROM e LEFT JOIN n ON n.event_id = e.event_id AND n.rn = 1 LEFT JOIN q ON q.event_id = e.event_id AND q.rn = 1 WHERE coalesce(n.s_suppkey, q.s_suppkey) IS NOT NULL""",
+    "merged_places": f"""WITH {SUP}, p AS (SELECT s_suppkey AS i, 'n' || (s_suppkey % 9) AS name, x, y FROM sup), g AS (SELECT name, list(struct_pack(i := i, x := x, y := y) ORDER BY i) AS l FROM p GROUP BY name),
+s AS (SELECT name, list_reduce(list_transform(l, lambda r: [r]), lambda acc, r: CASE WHEN len(list_filter(acc, lambda s: sqrt(pow(s.x - r[1].x, 2) + pow(s.y - r[1].y, 2)) <= 3000)) > 0 THEN acc ELSE acc || r END) AS seeds FROM g),
+m AS (SELECT p.i, p.name, p.x, p.y, list_filter(seeds, lambda s: sqrt(pow(s.x - p.x, 2) + pow(s.y - p.y, 2)) <= 3000)[1].i AS seed FROM p JOIN s USING (name)), c AS (SELECT seed, avg(x) AS x, avg(y) AS y FROM (SELECT DISTINCT seed, x, y FROM m) GROUP BY 1)
+SELECT m.seed AS id, any_value(name) AS name, any_value(c.x) AS x, any_value(c.y) AS y, CAST(count(*) AS BIGINT) AS n, count(*) AS members FROM m JOIN c ON c.seed = m.seed GROUP BY m.seed""",
     "waypoint_suffixes": "SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) > 1 THEN p_name || ' (seg ' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) || ')' ELSE p_name END AS label FROM part",
     "ward_anchors": f"WITH {SUP}, a AS (SELECT s_nationkey, avg(x) AS x, avg(y) AS y FROM sup GROUP BY 1) SELECT n_nationkey, round_even(coalesce(x, 148.33), 4) AS x, round_even(coalesce(y, -9.13), 4) AS y FROM nation LEFT JOIN a ON s_nationkey = n_nationkey",
 }
