@@ -36,11 +36,11 @@ def equirect_mid_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.hypot((lon2 - lon1) * DEGREE_KM * F.cos(F.radians((lat1 + lat2) / 2)), (lat2 - lat1) * DEGREE_KM)
 
 
-def utm(lat: Column, lon: Column, zone: int = 55, south: bool = True) -> tuple[Column, Column]:
-    """Easting and northing on WGS 84, by the Krueger series to the fourth order in n. (GEO-01)"""
-    f = 1 / 298.257223563
+def utm(lat: Column, lon: Column, zone: int = 55, south: bool = True, ellipsoid: tuple[float, float] = (6378137.0, 298.257223563)) -> tuple[Column, Column]:
+    """Easting and northing on an ellipsoid (half axis, inverse flattening), WGS 84 by default, by the Krueger series to the fourth order in n. (GEO-01)"""
+    f = 1 / ellipsoid[1]
     n = f / (2 - f)
-    big_a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    big_a = ellipsoid[0] / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (
         n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
         13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,

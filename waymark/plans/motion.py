@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
+from waymark.operators import datum
 from waymark.operators import trajectory as tr
 from waymark.plans.base import PTS, STEPS, event_points, hav_sql, read
 
@@ -70,6 +73,18 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_points(spark, sf_dir).select("event_id", F.bround(east, 2).alias("easting"), F.bround(north, 2).alias("northing"))
 
 
+def agd66_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as AGD66 places: their map grid coordinates, and the place on WGS 84 with its shift in metres. (GEO-01)"""
+    p = event_points(spark, sf_dir).select("event_id", "lat", "lon")
+    east, north = geo.utm(F.col("lat"), F.col("lon"), ellipsoid=datum.ANS)
+    old = p.select("event_id", F.col("lat").alias("old_lat"), F.col("lon").alias("old_lon"), F.bround(east, 2).alias("amg_e"), F.bround(north, 2).alias("amg_n"))
+    both = old.join(datum.datum_shift(p), "event_id")
+    return both.select(
+        "event_id", "amg_e", "amg_n", F.bround("lat", 8).alias("lat"), F.bround("lon", 8).alias("lon"),
+        F.bround((F.col("lon") - F.col("old_lon")) * 111320 * F.cos(F.radians(F.abs("lat"))), 3).alias("shift_e"), F.bround((F.col("lat") - F.col("old_lat")) * 110570, 3).alias("shift_n"),
+    )
+
+
 def track_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.track_length(stepped(spark, sf_dir), RUN)
 
@@ -103,7 +118,7 @@ def gradient_p85(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("len >= 300").select("user_id", *(F.bround(c, 5).alias(c) for c in ("p85", "mean_g", "max_g")), F.bround(F.when(end > 1, F.col("len") / end), 5).alias("sinuosity"))
 
 
-QUERIES = {f.__name__: f for f in (step_deltas, run_speed_stats, gap_sessions, centred_window_max, chunk_speed_agg, spearman_terrain, quintile_split, utm_project, track_length, distance_formulas, tobler_hours, gradient_p85)}
+QUERIES = {f.__name__: f for f in (step_deltas, run_speed_stats, gap_sessions, centred_window_max, chunk_speed_agg, spearman_terrain, quintile_split, utm_project, agd66_positions, track_length, distance_formulas, tobler_hours, gradient_p85)}
 
 OK = "(dt > 0 AND dt < 86400)"
 
@@ -113,13 +128,11 @@ def lit(x: float) -> str:
     return repr(x) if "e" in repr(x) else f"{x!r}e0"
 
 
-def _krueger() -> str:
+def _krueger(half: float = 6378137.0, inverse: float = 298.257223563) -> str:
     """The projection as one SQL text, from the ellipsoid's constants."""
-    import math
-
-    f = 1 / 298.257223563
+    f = 1 / inverse
     n = f / (2 - f)
-    big_a = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    big_a = half / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     al = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
     e = 2 * math.sqrt(n) / (1 + n)
     east = "eta" + "".join(f" + {lit(a)} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(al, 1))
@@ -129,7 +142,22 @@ b AS (SELECT event_id, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t
 SELECT event_id, round_even(500000 + 0.9996e0 * {lit(big_a)} * ({east}), 2) AS easting, round_even(10000000 + 0.9996e0 * {lit(big_a)} * ({north}), 2) AS northing FROM b"""
 
 
+def _shifted() -> str:
+    """The datum shift as SQL, by rotation and scale written out."""
+    (a, inv), (a2, inv2) = datum.ANS, datum.WGS84
+    e2, f2 = (2 - 1 / inv) / inv, 1 / inv2
+    b2, e22 = a2 * (1 - f2), f2 * (2 - f2)
+    rx, ry, rz = (f"radians({lit(r)} / 3600)" for r in datum.AGD66_ROTATION)
+    dx, dy, dz = (lit(d) for d in datum.AGD66_SHIFT)
+    m = f"(1 + {lit(datum.AGD66_SCALE)} / 1e6)"
+    return f"""g AS (SELECT event_id, lat, lon, {lit(a)} / sqrt(1 - {lit(e2)} * pow(sin(radians(lat)), 2)) AS n FROM pts), h AS (SELECT event_id, lat, lon, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * (1 - {lit(e2)}) * sin(radians(lat)) AS z FROM g),
+k AS (SELECT event_id, lat, lon, {dx} + {m} * (x + {rz} * y - {ry} * z) AS x, {dy} + {m} * (y - {rz} * x + {rx} * z) AS y, {dz} + {m} * (z + {ry} * x - {rx} * y) AS z FROM h), q AS (SELECT *, sqrt(x * x + y * y) AS p FROM k), t AS (SELECT *, atan2(z * {lit(a2)}, p * {lit(b2)}) AS t FROM q),
+s AS (SELECT event_id, lat AS lat0, lon AS lon0, degrees(atan2(z + {lit(e22 / (1 - e22) * b2)} * pow(sin(t), 3), p - {lit(e22 * a2)} * pow(cos(t), 3))) AS lat, degrees(atan2(y, x)) AS lon FROM t)"""
+
+
 ORACLES = {
+    "agd66_positions": f"""WITH {PTS}, {_shifted()}, u AS ({_krueger(*datum.ANS)})
+SELECT s.event_id, easting AS amg_e, northing AS amg_n, round_even(lat, 8) AS lat, round_even(lon, 8) AS lon, round_even((lon - lon0) * 111320 * cos(radians(abs(lat))), 3) AS shift_e, round_even((lat - lat0) * 110570, 3) AS shift_n FROM s JOIN u ON u.event_id = s.event_id""",
     "step_deltas": f"WITH {STEPS} SELECT event_id, user_id, round_even(m, 3) AS m, round_even(dt, 3) AS dt, round_even(kmh, 4) AS kmh FROM st WHERE {OK}",
     "run_speed_stats": f"""WITH {STEPS}, g AS (SELECT user_id, count(*) AS points, count(*) FILTER (WHERE {OK}) AS valid, count(*) FILTER (WHERE {OK} AND kmh > 0.7) AS moving,
 quantile_cont(kmh, 0.5) FILTER (WHERE {OK} AND kmh > 0.7) AS med, quantile_cont(kmh, 0.9) FILTER (WHERE {OK} AND kmh > 0.7) AS p90, avg(CAST(kmh > 12 AS DOUBLE)) FILTER (WHERE {OK} AND kmh > 0.7) AS fast FROM st GROUP BY user_id)
