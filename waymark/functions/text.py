@@ -85,3 +85,58 @@ def sequence_ratio(a, b):  # noqa: ANN001, ANN201
     import pandas as pd
 
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+
+
+def file_label(stem: Column) -> Column:
+    """A readable name from a file's stem: parts at its end that begin with a digit and hold a dash, or are a number, go; dashes are spaced. A stem of such parts alone stays. (STR-02)"""
+    left = F.regexp_replace(stem, r"(^|_)(?:\d[^_]*-[^_]*|\d+)(?:_(?:\d[^_]*-[^_]*|\d+))*$", "")
+    return F.when(left == "", stem).otherwise(F.replace(F.replace(left, F.lit("_"), F.lit(" ")), F.lit("-"), F.lit(" – ")))
+
+
+def names_in_file(stem: Column, noise: Sequence[str]) -> Column:
+    """The places that a file's stem names around the word "to", the first word of over two letters of each part; null if there are not two. (STR-04)"""
+    plain = F.regexp_replace(F.regexp_replace(stem, r"\d{4}-\d{2}-\d{2}[_ ]?\d{0,2}-?\d{0,2}", " "), "[_,]+", " ")
+    parts = F.split(plain, r"(?i)\bto\b")
+    words = lambda p: F.filter(F.regexp_extract_all(F.regexp_replace(p, rf"(?i)\b(?:{'|'.join(noise)})\b", " "), F.lit("([A-Za-z][A-Za-z'’]+)"), F.lit(1)), lambda w: F.length(w) > 2)
+    firsts = F.array_compact(F.transform(parts, lambda p: F.get(words(p), F.lit(0))))
+    return F.when((F.size(parts) >= 2) & (F.size(firsts) >= 2), firsts)
+
+
+def shorter_stems(name: Column) -> Column:
+    """The name without its last word, without its last two, and so on: the longest first. (STR-09)"""
+    words = F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != "")
+    return F.when(F.size(words) > 1, F.transform(F.sequence(F.size(words) - 1, F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+
+def village_tokens(name: Column, noise: Sequence[str] = ("govt", "station", "village", "not", "named", "1", "2")) -> Column:
+    """Lower-case words of letters and digits, without those that tell no village apart. (STR-11)"""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    return F.filter(words, lambda w: (w != "") & ~w.isin(*noise))
+
+
+def alnum(text: Column) -> Column:
+    """Lower-case letters and digits alone. (STR-12)"""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+
+
+def compound_parts(label: Column) -> Column:
+    """The places that a label like ``A / B (C)`` names. (STR-13)"""
+    return F.filter(F.transform(F.split(F.regexp_replace(label, "[()]", "/"), "/"), lambda p: F.trim(p)), lambda p: p != "")
+
+
+# Words that a facility's entry must all hold, and what it is called in a question; the first that fits.
+PLAIN_FACILITIES = (
+    (("airstrip",), "the airstrip"), (("aid post", "chw"), "the aid post with the CHW house"), (("aid post",), "the aid post"), (("elementary",), "the elementary school"),
+    (("primary",), "the primary school"), (("high school",), "the high school"), (("health",), "the health centre"),
+)
+
+
+def plain_facility(facility: Column) -> Column:
+    """What a facility is called in a question, else its entry up to the first comma. (STR-14)"""
+    lowered, out = F.lower(facility), None
+    for words, name in PLAIN_FACILITIES:
+        has = lowered.contains(words[0])
+        for w in words[1:]:
+            has = has & lowered.contains(w)
+        out = F.when(has, name) if out is None else out.when(has, name)
+    return out.otherwise(F.split(lowered, ",")[0])
