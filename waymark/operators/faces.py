@@ -1,4 +1,4 @@
-"""Faces of a noded network as tables of half-edges: areas, point location, fragments for zones, fill of unclaimed ground. (GEO-17, GEO-18, GEO-03, GEO-05)
+"""Faces of a noded network as tables of half-edges: areas, point location, fragments for zones, fill of unclaimed ground, buffers. (GEO-12, GEO-17, GEO-18, GEO-03, GEO-05)
 
 Each edge is two half-edges; the face is on a half-edge's left. At a node the half-edges are ordered by angle, which gives each its
 successor around the face; the least number along the successors, found by doubling, names the cycle. All of it is joins and
@@ -7,6 +7,7 @@ windows over a node's or a face's own edges: no outline is walked in one task.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from waymark.operators.access import nearest_any
 from waymark.operators.graph import connected_components, discard, materialised
 from waymark.operators.linear import off_segment, over_cells
+from waymark.operators.lines import noded
 from waymark.operators.spatial import cell
 
 #: Cycles of less area (square metres) bound no face of their own: the outside of a component, or a line walked there and back.
@@ -202,3 +204,56 @@ def filled(faces: Faces, hull: DataFrame, rings: DataFrame, takers: list, least:
     return known.join(choice, "face", "left").select("face", "area", F.coalesce("zone", "taker").alias("zone"), F.col("taker").isNotNull().alias("taken"))
 
 
+
+
+def edge_points(edges: DataFrame) -> DataFrame:
+    """Distinct edges ``(x1, y1, x2, y2)`` as lines of two points, for noding."""
+    ends = F.posexplode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
+    own = edges.select("x1", "y1", "x2", "y2").distinct().withColumn("line_id", F.xxhash64("x1", "y1", "x2", "y2"))
+    return own.select("line_id", ends.alias("seq", "p")).select("line_id", "seq", "p.x", "p.y")
+
+
+def corridors(segs: DataFrame, key: str, r: float, quarter: int = 16) -> DataFrame:
+    """``(key, x1, y1, x2, y2)``: the outline of the ground within ``r`` of each of ``segs(key, x1, y1, x2, y2)``, counter-clockwise.
+
+    Ends are regular polygons of ``4 * quarter`` corners, all turned alike, so that the round joins of a line's pieces fall on the same corners.
+    A side of the polygon is at that end which lies further out in its direction; where the end changes, a straight side joins the two.
+    """
+    n = 4 * quarter
+    step = 2 * math.pi / n
+    at = lambda k: (F.lit(r) * F.cos(k * step), F.lit(r) * F.sin(k * step))
+    far = lambda k: F.cos((k + 0.5) * step) * (F.col("x2") - F.col("x1")) + F.sin((k + 0.5) * step) * (F.col("y2") - F.col("y1")) > 1e-9
+    centre = lambda k: (F.when(far(k), F.col("x2")).otherwise(F.col("x1")), F.when(far(k), F.col("y2")).otherwise(F.col("y1")))
+    side = lambda a, b, c, d: F.struct(a.alias("x1"), b.alias("y1"), c.alias("x2"), d.alias("y2"))
+    corners = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = segs.select(key, "x1", "y1", "x2", "y2", corners.alias("k"))
+    k, before = F.col("k"), (F.col("k") + (n - 1)) % n
+    (cx, cy), (bx, by), (px, py), (qx, qy) = centre(k), centre(before), at(k), at((k + 1) % n)
+    joint = F.when(far(k) != far(before), side(bx + px, by + py, cx + px, cy + py))
+    return own.select(key, F.explode(F.array_compact(F.array(side(cx + px, cy + py, cx + qx, cy + qy), joint))).alias("e")).select(key, "e.*")
+
+
+@dataclass(frozen=True)
+class Buffer:
+    """``faces`` of the corridors' outlines, which of them are ``covered(face, area)``, and the ``outline(x1, y1, x2, y2)`` with the covered ground on its left."""
+
+    faces: Faces
+    covered: DataFrame
+    outline: DataFrame
+
+
+def buffered(points: DataFrame, r: float, quarter: int = 16) -> Buffer:
+    """The ground within ``r`` of lines ``(line_id, seq, x, y)``: their corridors' union, with round ends and joins. (GEO-12)
+
+    The corridors of all pieces are noded together; a face is covered if a point inside it lies in any corridor. So concave, crossing and closed lines are as good
+    as others, and holes stay holes. A line of one vertex is a disc.
+    """
+    w = Window.partitionBy("line_id").orderBy("seq")
+    own = points.select("x", "y", F.lead("x").over(w).alias("x2"), F.lead("y").over(w).alias("y2"), F.lag("x").over(w).alias("x0"))
+    own = own.where("x2 is not null or x0 is null").select(F.col("x").alias("x1"), F.col("y").alias("y1"), F.coalesce("x2", "x").alias("x2"), F.coalesce("y2", "y").alias("y2")).distinct()
+    rings = materialised(corridors(materialised(own.withColumn("piece", F.monotonically_increasing_id())), "piece", r, quarter))
+    faces = faces_of(noded(edge_points(rings), 2 * r, digits=6))
+    covered = materialised(inside(interior_points(faces), "face", rings, "piece").select("face").distinct().join(faces.areas, "face"))
+    sides = faces.halves.join(covered.select("face", F.lit(True).alias("in")), "face", "left").select("id", "x1", "y1", "x2", "y2", F.coalesce("in", F.lit(False)).alias("in"))
+    twins = sides.select(F.col("id").bitwiseXOR(1).alias("id"), F.col("in").alias("beyond"))
+    return Buffer(faces, covered, sides.join(twins, "id").where(F.col("in") & ~F.col("beyond")).select("x1", "y1", "x2", "y2"))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import access, graph, linear
-from waymark.plans.base import EVM, SUP, event_metres, read, supplier_points
+from waymark.operators import access, evidence, graph, linear
+from waymark.operators import trajectory as tr
+from waymark.plans.base import EVM, STEPS, SUP, event_metres, read, supplier_points
+from waymark.plans.motion import OK, WIDE, stepped
 
 
 def road_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +74,17 @@ def path_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(left, ["source", "at"]).select("source", "node", "pos", "at", "km_left")
 
 
-QUERIES = {f.__name__: f for f in (road_chunks, road_chunk_speeds, thinned_roads, walk_access, path_rows)}
+def mode_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mode for each user's track by all six rungs of evidence; a third of the users have times, and suppliers' lines are the older survey. (FIL-04, GEO-09)"""
+    tracks = event_metres(spark, sf_dir).where("user_id % 4 <> 1 or event_id % 3 = 0").select(F.col("user_id").alias("line_id"), F.col("event_id").alias("seq"), (F.col("x") / F.when(F.col("user_id") % 4 == 1, 40).otherwise(9)).alias("x"), (F.col("y") / F.when(F.col("user_id") % 4 == 1, 40).otherwise(9)).alias("y"))
+    speeds = tr.run_speeds(stepped(spark, sf_dir).where("user_id % 3 = 0"), "user_id", tr.valid_step(**WIDE)).select(F.col("user_id").alias("line_id"), "mode", "median_kmh", "fast")
+    gradients = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("line_id")).agg((F.percentile("value", 0.85) / 25).alias("p85"))
+    p = supplier_points(spark, sf_dir)
+    survey = p.select((F.col("s_suppkey") % 5).alias("line_id"), F.col("s_suppkey").alias("seq"), (F.col("x") / 12).alias("x"), (F.col("y") / 12).alias("y"), (F.col("s_suppkey") % 5 < 3).alias("motor"))
+    return evidence.mode_cascade(tracks, speeds, gradients, survey)
+
+
+QUERIES = {f.__name__: f for f in (road_chunks, road_chunk_speeds, thinned_roads, walk_access, path_rows, mode_evidence)}
 
 #: Pieces of the five roads: the points of each, with their measures.
 _PIECES = f"""{SUP}, ln AS (SELECT s_suppkey % 5 AS line_id, s_suppkey AS seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM sup WINDOW w AS (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey)),
@@ -88,7 +100,27 @@ arcs AS (SELECT a AS src, b AS dst, w FROM wd UNION ALL SELECT b, a, w FROM wd),
 ways AS (SELECT source, node, min(km) AS km FROM far GROUP BY 1, 2), tree AS (SELECT v.source, v.node, v.km, min(src) AS prev FROM ways v LEFT JOIN (SELECT u.source, u.km AS to_src, src, dst, w FROM ways u JOIN arcs ON src = u.node) t ON t.source = v.source AND t.dst = v.node AND t.to_src + t.w = v.km GROUP BY 1, 2, 3),
 path AS (SELECT source, node, CAST(0 AS BIGINT) AS pos, node AS here FROM tree UNION ALL SELECT path.source, path.node, pos + 1, tree.prev FROM path JOIN tree ON tree.source = path.source AND tree.node = path.here WHERE prev IS NOT NULL)"""
 
+def _near(lines: str, name: str) -> str:
+    """The share of samples near the segments of a table, as a table."""
+    t = "greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif(pow(x2 - x1, 2) + pow(y2 - y1, 2), 0)))"
+    near = f"sqrt(pow(x - x1 - coalesce({t}, 0) * (x2 - x1), 2) + pow(y - y1 - coalesce({t}, 0) * (y2 - y1), 2)) <= 150"
+    return f"{name} AS (SELECT sm.line_id, count(DISTINCT k) / 40e0 AS share FROM sm JOIN {lines} ON {near} GROUP BY 1)"
+
+
 ORACLES = {
+    "mode_evidence": f"""WITH {EVM}, {SUP}, {STEPS}, tk AS (SELECT user_id AS line_id, event_id AS seq, x / CASE WHEN user_id % 4 = 1 THEN 40e0 ELSE 9e0 END AS x, y / CASE WHEN user_id % 4 = 1 THEN 40e0 ELSE 9e0 END AS y FROM evm WHERE user_id % 4 <> 1 OR event_id % 3 = 0),
+g0 AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE {OK}) AS ok, count(*) FILTER (WHERE {OK} AND kmh > 0.7) AS mv, quantile_cont(kmh, 0.5) FILTER (WHERE {OK} AND kmh > 0.7) AS med, avg(CAST(kmh > 12 AS DOUBLE)) FILTER (WHERE {OK} AND kmh > 0.7) AS fast FROM st WHERE user_id % 3 = 0 GROUP BY 1),
+sp AS (SELECT user_id AS line_id, med, fast, CASE WHEN med >= 11 OR fast >= 0.25 THEN 'Motor road' WHEN med <= 4.5 THEN 'Foot track' END AS mode FROM g0 WHERE n >= 20 AND ok >= 20 AND mv >= 20), dc AS (SELECT * FROM sp WHERE mode IS NOT NULL),
+sg AS (SELECT * FROM (SELECT line_id, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM tk WINDOW w AS (PARTITION BY line_id ORDER BY seq)) WHERE x2 IS NOT NULL),
+sv AS (SELECT * FROM (SELECT s_suppkey % 5 < 3 AS motor, x / 12 AS x1, y / 12 AS y1, lead(x / 12) OVER w AS x2, lead(y / 12) OVER w AS y2 FROM sup WINDOW w AS (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey)) WHERE x2 IS NOT NULL),
+pv AS (SELECT sg.* FROM sg JOIN dc ON dc.line_id = sg.line_id AND mode = 'Motor road'), mo AS (SELECT * FROM sv WHERE motor), fo AS (SELECT * FROM sv WHERE NOT motor),
+up AS (SELECT *, sum(len) OVER (PARTITION BY line_id ORDER BY seq) - len AS upto, sum(len) OVER (PARTITION BY line_id) AS total FROM (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM sg) WHERE line_id NOT IN (SELECT line_id FROM dc)),
+sm AS (SELECT line_id, k, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y FROM (SELECT line_id, k, x1, y1, x2, y2, least(1e0, greatest(0e0, (k * total / 39 - upto) / nullif(len, 0))) AS t, row_number() OVER (PARTITION BY line_id, k ORDER BY seq DESC) AS rn FROM up, (SELECT unnest(range(40)) AS k) WHERE upto <= k * total / 39 + 1e-6 AND len > 0) WHERE rn = 1),
+{_near("pv", "ov")}, {_near("mo", "nm")}, {_near("fo", "nf")}, gr AS (SELECT user_id AS line_id, quantile_cont(value, 0.85) / 25 AS p85 FROM events GROUP BY 1),
+a AS (SELECT t.line_id, dc.mode AS by_speed, med, fast, p85, coalesce(ov.share, 0) AS overlap, coalesce(nm.share, 0) AS motor, coalesce(nf.share, 0) AS foot FROM (SELECT DISTINCT line_id FROM tk) t LEFT JOIN dc ON dc.line_id = t.line_id LEFT JOIN ov ON ov.line_id = t.line_id LEFT JOIN nm ON nm.line_id = t.line_id LEFT JOIN nf ON nf.line_id = t.line_id LEFT JOIN gr ON gr.line_id = t.line_id),
+b AS (SELECT *, CASE WHEN by_speed IS NOT NULL THEN 1 WHEN overlap >= 0.95 THEN 2 WHEN (SELECT count(*) FROM sup) = 0 THEN 6 WHEN motor >= 0.7 AND motor > foot AND p85 <= 18 THEN 3 WHEN p85 > 18 THEN 4 ELSE 5 END AS rung FROM a)
+SELECT line_id, CASE WHEN rung = 1 THEN by_speed WHEN rung IN (2, 3) THEN 'Motor road' ELSE 'Foot track' END AS mode, rung, CASE rung WHEN 1 THEN printf('speed: median %.1f km/h, %d%% fast', round_even(med, 1), CAST(round_even(fast * 100, 0) AS BIGINT)) WHEN 2 THEN printf('overlap: %d%% along a proven road', CAST(round_even(overlap * 100, 0) AS BIGINT))
+WHEN 3 THEN printf('survey: %d%% follows a road', CAST(round_even(motor * 100, 0) AS BIGINT)) WHEN 4 THEN printf('gradient: %d%% is above every road', CAST(round_even(p85, 0) AS BIGINT)) WHEN 5 THEN printf('survey: %d%% follows a road, %d%% a foot track', CAST(round_even(motor * 100, 0) AS BIGINT), CAST(round_even(foot * 100, 0) AS BIGINT)) ELSE 'default' END AS why FROM b""",
     "path_rows": f"""WITH RECURSIVE {_TREES} SELECT path.source, path.node, pos, here AS "at", round_even(km, 6) AS km_left FROM path JOIN tree ON tree.source = path.source AND tree.node = here WHERE path.source IN (100, 112)""",
     "walk_access": f"""WITH RECURSIVE {SUP}, {_TREES}, st AS (SELECT node AS stop, x + node * 3 AS x, y FROM wn WHERE node IN (100, 105, 112, 118)),
 sn AS (SELECT * FROM (SELECT stop, st.x, st.y, wn.node AS source, wn.x AS tx, wn.y AS ty, sqrt(pow(wn.x - st.x, 2) + pow(wn.y - st.y, 2)) AS soff, row_number() OVER (PARTITION BY stop ORDER BY sqrt(pow(wn.x - st.x, 2) + pow(wn.y - st.y, 2)), wn.node) AS rn FROM st, wn) WHERE rn = 1),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.operators import faces as fc
 from waymark.operators import lines as ln
 from waymark.plans.base import EVM, SUP, event_metres, read, supplier_points
+from waymark.plans.roads import road_lines
 
 #: Side of the square that all places lie on, cells of the fill's grid, and the level of its river.
 SIDE, CELL, RIVER = 20011.0, 2001.1, 10500.0
@@ -21,12 +22,11 @@ def square(spark: SparkSession) -> DataFrame:
 
 
 def lines_of(*edges: DataFrame) -> DataFrame:
-    """Edges as lines of two points."""
+    """Edges of several tables as lines of two points."""
     every = edges[0].select("x1", "y1", "x2", "y2")
     for e in edges[1:]:
         every = every.unionByName(e.select("x1", "y1", "x2", "y2"))
-    ends = F.posexplode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
-    return every.distinct().withColumn("line_id", F.xxhash64("x1", "y1", "x2", "y2")).select("line_id", ends.alias("seq", "p")).select("line_id", "seq", "p.x", "p.y")
+    return fc.edge_points(every)
 
 
 def rivers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +60,25 @@ def open_ground(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(named, "face").select("first_cell", F.bround(F.col("area") / 10_000, 1).alias("ha"), "zone", "taken")
 
 
-QUERIES = {f.__name__: f for f in (territory_fragments, open_ground)}
+def corridor_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events on the ground within 500 m of three roads, by the union of the roads' buffers. (GEO-12)"""
+    roads = road_lines(spark, sf_dir).where("line_id < 3")
+    buffer = fc.buffered(roads, 500.0)
+    events = event_metres(spark, sf_dir).select("event_id", (F.col("x") + 0.25).alias("x"), (F.col("y") + 0.25).alias("y"))
+    return fc.located(events, "event_id", buffer.faces).join(buffer.covered.select("face"), "face").select("event_id")
+
+
+QUERIES = {f.__name__: f for f in (territory_fragments, open_ground, corridor_events)}
 
 _SIGNS = "(SELECT string_agg(CASE WHEN {y} > l.a + l.b * {x} THEN '1' ELSE '0' END, '' ORDER BY l.i) FROM rv l)"
 _STRIPS = ", ".join(f"({k}, {a!r}e0, {b!r}e0)" for k, (a, b) in enumerate(zip(STRIPS, STRIPS[1:], strict=False)))
 
 ORACLES = {
+    "corridor_events": f"""WITH {EVM}, {SUP}, g AS (SELECT x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lag(x) OVER w AS x0 FROM sup WHERE s_suppkey % 5 < 3 WINDOW w AS (PARTITION BY s_suppkey % 5 ORDER BY s_suppkey)), s AS (SELECT x1, y1, coalesce(x2, x1) AS x2, coalesce(y2, y1) AS y2 FROM g WHERE x2 IS NOT NULL OR x0 IS NULL),
+k AS (SELECT cos((k + 0.5) * 2 * pi() / 64) AS c, sin((k + 0.5) * 2 * pi() / 64) AS s, cos(k * 2 * pi() / 64) AS vc, sin(k * 2 * pi() / 64) AS vs FROM (SELECT unnest(range(64)) AS k)),
+p AS (SELECT event_id, x + 0.25 AS x, y + 0.25 AS y, x1, y1, x2, y2 FROM evm JOIN s ON x + 0.25 BETWEEN least(x1, x2) - 501 AND greatest(x1, x2) + 501 AND y + 0.25 BETWEEN least(y1, y2) - 501 AND greatest(y1, y2) + 501),
+q AS (SELECT event_id, x1, y1, x2, y2, bool_and(k.c * x + k.s * y <= greatest(k.c * x1 + k.s * y1, k.c * x2 + k.s * y2) + 500 * cos(pi() / 64)) AND any_value(abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))) <= 500 * max(abs((x2 - x1) * k.vs - (y2 - y1) * k.vc)) AS held FROM p, k GROUP BY event_id, x1, y1, x2, y2)
+SELECT DISTINCT event_id FROM q WHERE held""",
     "territory_fragments": f"""WITH {EVM}, {SUP}, rv AS (SELECT n_nationkey AS i, CAST(n_nationkey * 7001 % 20011 AS DOUBLE) AS a, (n_nationkey * 37 % 21 - 10) / 10e0 AS b FROM nation),
 ln AS (SELECT i, a, b, CASE WHEN b = 0 THEN 0e0 ELSE greatest(0e0, least((0 - a) / b, (20011 - a) / b)) END AS lo, CASE WHEN b = 0 THEN 20011e0 ELSE least(20011e0, greatest((0 - a) / b, (20011 - a) / b)) END AS hi FROM rv),
 cx AS (SELECT i, a, b, lo AS x FROM ln WHERE lo < hi UNION SELECT i, a, b, hi FROM ln WHERE lo < hi UNION SELECT p.i, p.a, p.b, (q.a - p.a) / (p.b - q.b) FROM ln p JOIN ln q ON p.b <> q.b AND (q.a - p.a) / (p.b - q.b) > p.lo AND (q.a - p.a) / (p.b - q.b) < p.hi),
