@@ -26,8 +26,17 @@ MIN_SCORE = 0.3
 #: Words of a shingle, and least similarity of near copies in hundredths. Operator 3's query has its own, 4 and 85.
 SHINGLE_WORDS, SIMILARITY = 5, 80
 
+#: Bytes of a batch of whole texts on its way to a Python worker and back; Spark's default of 64 MB is held several times by each task.
+BATCH_BYTES = 4 << 20
+
+
+def light_batches(spark: SparkSession) -> None:
+    """Small Arrow batches in the session: results do not depend on them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    light_batches(spark)
     model = fit(docs, ~held_out(docs))
     out = identify(docs, model)
     pred, score = out.columns[-2:]
@@ -36,6 +45,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a null id stay. Of a group's rows that repeat the kept id, that with the least text hash stays; other groups' rows of that id are not touched."""
+    light_batches(spark)
     groups = row_components(docs, SHINGLE_WORDS, SIMILARITY, 100)
     mark = mark_of(docs["text"])
     with Scratch(spark) as scratch:
@@ -59,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    light_batches(spark)
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
