@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import text as tx
 from waymark.operators import linear
-from waymark.plans.base import SUP, read, supplier_points
+from waymark.plans.base import SUP, exact_mean, read, supplier_points
 from waymark.plans.roads import road_lines
 
 #: Words of a file's name that name no place.
@@ -76,7 +76,7 @@ def institution_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("facility").orderBy("event_id")
     notes = inst.select("facility", "event_id", note.alias("note"), F.row_number().over(w).alias("n")).where("n <= 300").groupBy("facility").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "note"))), lambda x: x["note"]), " | "), 1, 300).alias("evidence"))
     best = inst.where("photos > 0").groupBy("facility").agg(F.min_by(F.col("event_id"), F.struct(rank, "ts", "event_id")).alias("from_point"), F.sum("photos").alias("photos_available"), F.count("*").alias("points"))
-    centre = inst.groupBy("facility").agg(F.bround(F.avg("value"), 4).alias("centre"), F.count("*").alias("buildings"))
+    centre = inst.groupBy("facility").agg(exact_mean("value", 4).alias("centre"), F.count("*").alias("buildings"))
     return centre.join(notes, "facility").join(best, "facility", "left").select("facility", "centre", "buildings", "evidence", "from_point", "photos_available", "points")
 
 
