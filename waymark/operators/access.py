@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geo
 from waymark.operators import graph, linear, spatial
 from waymark.operators.graph import materialised
+from waymark.operators.spatial import finite
 
 #: Metres up to which a place is routed by road, and up to which a walk takes the path network.
 ROUTE_SNAP_M, WALK_SNAP_M = 2500.0, 2000.0
@@ -18,11 +19,6 @@ ROUTE_SNAP_M, WALK_SNAP_M = 2500.0, 2000.0
 AT_ROAD_M = 100.0
 
 
-def finite(points: DataFrame) -> DataFrame:
-    """Rows whose place is a number on both axes."""
-    return points.where(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('infinity')" for c in ("x", "y")))
-
-
 def nearest_any(left: DataFrame, right: DataFrame, lkey: str, rkey: str, first: float | None = None) -> DataFrame:
     """``(lkey, rkey, d)``: the nearest row of ``right(rkey, x, y)`` for every row of ``left(lkey, x, y)``, at any distance, the
     least key on a tie. (JOI-08)
@@ -38,7 +34,7 @@ def nearest_any(left: DataFrame, right: DataFrame, lkey: str, rkey: str, first:
         return rest.select(lkey, F.lit(None).cast(dict(right.dtypes)[rkey]).alias(rkey), F.lit(0.0).alias("d")).where("false")
     found, reach = None, first or max(math.sqrt(wide * high / n), (wide + high) / n, 1.0)
     while True:
-        near = materialised(spatial.nearest_within(rest, right, lkey, rkey, ("x", "y"), ("rx", "ry"), reach, ties=False))
+        near = materialised(spatial.nearest_in(rest, right, lkey, rkey, ("x", "y"), ("rx", "ry"), reach, ties=False))
         found = near if found is None else found.unionByName(near)
         rest = materialised(rest.join(near, lkey, "left_anti"))
         if rest.isEmpty():
