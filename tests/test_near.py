@@ -63,3 +63,12 @@ def test_a_wide_cap_does_not_pair_all(spark):
         spatial.nearest_in = own
     # before, one look took in all 1,600 places at 400 m
     assert max(looked) < 30
+
+
+def test_boxes_expand_classes_inside_a_task(spark):
+    rows = [(k, "ab"[k % 2] if k % 7 else None, float(k % 3) * 100, 0.0) for k in range(600)]
+    df = spatial.box_pairs(spark.createDataFrame(rows, "k long, n string, x double, y double"), "k", "n", "x", "y", 150.0)
+    want = sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] and b[1] and a[1] != b[1] and abs(a[2] - b[2]) < 150)
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == want
+    # before, the join put out a row for each pair
+    assert rows_joined(df) < 600 < len(want)
