@@ -65,6 +65,30 @@ def test_a_wide_cap_does_not_pair_all(spark):
     assert max(looked) < 30
 
 
+def test_clusters_are_those_of_a_loop(spark):
+    rng = random.Random(2)
+    pts = [(k, rng.choice((0, 300, 700)) + rng.random() * 90, rng.random() * 90) for k in range(90)] + [(200 + k, 500.0, 500.0) for k in range(5)] + [(300, 520.0, 500.0)]
+    for radius in (6.0, 20.0, 250.0, 1000.0):
+        rest, want = {p[0] for p in pts}, {}
+        at = {p[0]: p[1:] for p in pts}
+        while rest:
+            first = min(rest)
+            todo, rest = [first], rest - {first}
+            while todo:
+                n = todo.pop()
+                want[n] = first
+                near = [m for m in rest if math.hypot(at[m][0] - at[n][0], at[m][1] - at[n][1]) <= radius]
+                todo, rest = todo + near, rest - set(near)
+        got = spatial.radius_clusters(spark.createDataFrame(pts, "k long, x double, y double"), "k", "x", "y", radius)
+        assert {r["node"]: r["component"] for r in got.collect()} == want
+
+
+def test_only_pairs_of_two_components_meet(spark):
+    pts = [(k, float(k % 20), float(k // 20), 0 if k < 399 else 399) for k in range(400)]
+    met = spatial.cross_pairs(spark.createDataFrame(pts, "node long, x double, y double, component long"), 50.0)
+    assert met.select("a", "b").distinct().count() == 399 and rows_joined(met) <= 1000
+
+
 def test_boxes_expand_classes_inside_a_task(spark):
     rows = [(k, "ab"[k % 2] if k % 7 else None, float(k % 3) * 100, 0.0) for k in range(600)]
     df = spatial.box_pairs(spark.createDataFrame(rows, "k long, n string, x double, y double"), "k", "n", "x", "y", 150.0)

@@ -43,8 +43,7 @@ def coincident_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radius_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-linkage clusters of suppliers at 1500 m, named by their least member. (RES-01, GRA-03)"""
     pts = supplier_points(spark, sf_dir)
-    pairs = spatial.radius_pairs(pts, "s_suppkey", "x", "y", 1500.0)
-    labels = graph.connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    labels = spatial.radius_clusters(pts, "s_suppkey", "x", "y", 1500.0)
     return pts.join(labels, pts["s_suppkey"] == labels["node"], "left").select("s_suppkey", F.coalesce("component", "s_suppkey").alias("cluster"))
 
 
