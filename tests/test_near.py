@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import access, graph, spatial
+from waymark.operators import access, spatial
 
 
 def rows_joined(df) -> int:
@@ -96,3 +96,21 @@ def test_boxes_expand_classes_inside_a_task(spark):
     assert sorted((r["a"], r["b"]) for r in df.collect()) == want
     # before, the join put out a row for each pair
     assert rows_joined(df) < 600 < len(want)
+
+
+def test_bridges_are_those_of_sorted_pairs(spark):
+    rng = random.Random(8)
+    spots = [(rng.randint(0, 9) * 3.0, rng.randint(0, 9) * 4.0) for _ in range(24)] + [(400.0, 0.0), (430.0, 0.0), (400.0, 1.0), (430.0, 2.0)]
+    nodes = [(k, *p) for k, p in enumerate(spots + spots[:8])]
+    edges = [(k, k + 1, 1.0) for k in range(0, len(nodes), 2)]
+    for gap in (0.5, 6.0, 60.0, 5000.0):
+        pairs = sorted((math.hypot(p[1] - q[1], p[2] - q[2]), p[0] // 2, q[0] // 2, p[0], q[0]) for p in nodes for q in nodes if p[0] // 2 < q[0] // 2)
+        best, part, want = {}, list(range(len(edges))), []
+        for d, a, b, p, q in pairs:
+            best.setdefault((a, b), (d, p, q))
+        for (a, b), (d, p, q) in sorted(best.items(), key=lambda e: (e[1][0], e[0])):
+            if d <= gap and part[a] != part[b]:
+                want.append((p, q, d))
+                part = [part[a] if c == part[b] else c for c in part]
+        got = access.bridge_gaps(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(nodes, "node long, x double, y double"), gap)
+        assert sorted((r["a"], r["b"], r["weight"]) for r in got.collect()) == sorted(want)

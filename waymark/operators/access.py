@@ -46,17 +46,31 @@ def bridge_gaps(edges: DataFrame, nodes: DataFrame, gap: float = 450.0) -> DataF
     """``(a, b, weight)``: the bridges between nodes of degree one in different components of ``edges(src, dst, weight)``, with
     ``nodes(node, x, y)``: shortest first, each only if it still joins two components. (GRA-02)
 
-    That is the least spanning forest of the components over their closest pairs of ends.
+    That is the least spanning forest of the components over their closest pairs of ends, grown in rounds of a reach that goes fourfold up to
+    ``gap``: what a round has joined does not meet again, so the pairs of a dense set of ends are never all made. Of ends at one place only the least
+    component's meets the others, which come after it in the order of bridges.
     """
     both = graph.undirected(edges)
-    ends = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).where("degree = 1").join(nodes, "node").select("node", "x", "y")
-    parts = graph.connected_components(edges)
-    pairs = spatial.radius_pairs(ends, "node", "x", "y", gap)
-    a, b = parts.select(F.col("node").alias("a"), F.col("component").alias("ca")), parts.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = pairs.join(a, "a").join(b, "b").where("ca <> cb").select(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst"), F.col("d").alias("weight"), "a", "b")
-    across = materialised(across.groupBy("src", "dst").agg(F.min(F.struct("weight", "a", "b")).alias("m")).select("src", "dst", "m.weight", "m.a", "m.b"))
-    forest = graph.spanning_forest(across.select("src", "dst", "weight"), parts.select(F.col("component").alias("node")).distinct())
-    return across.join(forest.select("src", "dst"), ["src", "dst"]).select("a", "b", "weight")
+    parts = materialised(graph.connected_components(edges).select("node", F.col("component").alias("own")))
+    ends = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree")).where("degree = 1").join(nodes, "node")
+    ends = materialised(spatial.finite(ends.join(parts, "node").select("node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "own")))
+    labels = parts.select(F.col("own").alias("node"), F.col("own").alias("component")).distinct()
+    least = ends.groupBy("x", "y").agg(F.min("own").alias("least"))
+    firsts = ends.join(least, ["x", "y"]).where("own = least").select("x", "y", F.col("node").alias("first"), "least")
+    pairs = ends.join(firsts, ["x", "y"]).where("own <> least").select(F.least("node", "first").alias("a"), F.greatest("node", "first").alias("b"), F.lit(0.0).alias("d"))
+    found, reach, wider = None, 0.0, 2 * spatial.spacing(ends.select("x", "y").distinct(), "x", "y") or gap
+    while True:
+        a, b = ends.select(F.col("node").alias("a"), F.col("own").alias("ca")), ends.select(F.col("node").alias("b"), F.col("own").alias("cb"))
+        across = pairs.join(a, "a").join(b, "b").select(F.least("ca", "cb").alias("src"), F.greatest("ca", "cb").alias("dst"), F.col("d").alias("weight"), "a", "b")
+        across = materialised(across.groupBy("src", "dst").agg(F.min(F.struct("weight", "a", "b")).alias("m")).select("src", "dst", "m.weight", "m.a", "m.b"))
+        forest, labels = graph.grown_forest(across.select("src", "dst", "weight"), labels)
+        took = materialised(across.join(forest.select("src", "dst"), ["src", "dst"]).select("a", "b", "weight"))
+        found = took if found is None else found.unionByName(took)
+        now = ends.join(labels.withColumnRenamed("node", "own"), "own").select("node", "x", "y", "component")
+        if reach >= gap or now.select("component").distinct().limit(2).count() < 2:
+            return found
+        reach, wider = min(wider, gap), 4 * wider
+        pairs = spatial.cross_pairs(materialised(now), reach)
 
 
 def walking_hours(metres: Column) -> Column:

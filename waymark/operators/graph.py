@@ -116,8 +116,13 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     The total order makes it the forest that sorted edges taken one by one would give.
     """
+    return grown_forest(edges, nodes.select("node", F.col("node").alias("component")))[0]
+
+
+def grown_forest(edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the minimum spanning forest takes of ``edges`` once lighter ones have joined ``labels(node, component)``, and the labels after it. (GRA-02)"""
     one = materialised(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    labels = materialised(nodes.select("node", F.col("node").alias("component")))
+    labels = materialised(labels.select("node", "component"))
     chosen = None
     while True:
         a, b = labels.select(F.col("node").alias("src"), F.col("component").alias("ca")), labels.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
@@ -126,7 +131,7 @@ def spanning_forest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         ends = across.select(F.col("ca").alias("c"), "weight", "src", "dst").union(across.select(F.col("cb").alias("c"), "weight", "src", "dst"))
         picked = materialised(ends.groupBy("c").agg(pick).select("m.src", "m.dst", "m.weight").distinct())
         if picked.isEmpty():
-            return chosen if chosen is not None else one.where("false")
+            return (chosen if chosen is not None else one.where("false")), labels
         chosen = picked if chosen is None else chosen.union(picked)
         joined = connected_components(picked.join(a, "src").join(b, "dst").select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
         labels = materialised(labels.join(joined.select(F.col("node").alias("old"), F.col("component").alias("merged")), labels["component"] == F.col("old"), "left").select("node", F.coalesce("merged", "component").alias("component")))
