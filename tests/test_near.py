@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import access, linear, spatial
+from waymark.operators import access, linear, lines, spatial
 
 
 def rows_joined(df) -> int:
@@ -134,3 +134,26 @@ def test_pieces_in_a_dense_place_are_looked_up_near_by(spark):
     got = linear.nearest_piece(spark.createDataFrame(at, "p long, x double, y double"), "p", spark.createDataFrame(pieces, "line_id long, chunk long, seq long, x double, y double"), 400.0)
     want = [(k, k, 1.0) for k in range(0, 190, 2)] + [(k, line, 5.0) for k in range(1, 190, 2) for line in (k, k + 1)] + [(501, 199, 100.0)]
     assert sorted((r["p"], r["line_id"], round(r["d"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_near_lines_are_those_of_a_loop(spark):
+    rng = random.Random(4)
+    segs = [(k, i, rng.random() * 900, rng.random() * 900) for k in range(6) for i in range(3)] + [(9, 0, 400.0, 0.0), (9, 1, 400.0, 800.0)]
+    at = [(k, k % 7, rng.random() * 1400 - 200, rng.random() * 1400 - 200) for k in range(400)]
+    got = lines.near_lines(spark.createDataFrame(at, "line_id long, k int, x double, y double"), spark.createDataFrame(segs, "line_id long, seq long, x double, y double"), 60.0)
+
+    def off(x, y, x1, y1, x2, y2):
+        dx, dy = x2 - x1, y2 - y1
+        t = max(0.0, min(1.0, ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(x - x1 - t * dx, y - y1 - t * dy)
+
+    pieces = [(*a[2:], *b[2:]) for a, b in zip(segs, segs[1:], strict=False) if a[0] == b[0]]
+    assert sorted(r["line_id"] for r in got.collect()) == [k for k, _, x, y in at if min(off(x, y, *p) for p in pieces) <= 60]
+
+
+def test_dense_lines_decide_cells_without_pairs(spark):
+    """Before, 900 points met each of 200 lines around them."""
+    segs = [(k, i, k * 3.0, i * 600.0) for k in range(200) for i in range(2)]
+    at = [(k, 0, 10.0 + k % 30 * 19, 10.0 + k // 30 * 19) for k in range(900)]
+    got = lines.near_lines(spark.createDataFrame(at, "line_id long, k int, x double, y double"), spark.createDataFrame(segs, "line_id long, seq long, x double, y double"), 60.0)
+    assert got.count() == 900 and rows_joined(got) <= 1000

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators.spatial import cell
+from waymark.operators.graph import materialised
+from waymark.operators.spatial import cell, off_segment, over_cells
 
 
 def segments(points: DataFrame) -> DataFrame:
@@ -40,15 +41,21 @@ def densify(points: DataFrame, n: int) -> DataFrame:
 
 
 def near_lines(samples: DataFrame, others: DataFrame, reach: float) -> DataFrame:
-    """``samples`` points that lie within ``reach`` of a segment of ``others``, once each: by the cells the segment's box touches. (GEO-06, JOI-06)"""
-    s = segments(others).select(*(F.col(c).alias(f"s{c}") for c in ("line_id", "x1", "y1", "x2", "y2")))
-    span = lambda a, b: F.sequence(cell(F.least(a, b) - reach, reach * 4), cell(F.greatest(a, b) + reach, reach * 4))
-    s = s.withColumn("cx", F.explode(span(F.col("sx1"), F.col("sx2")))).withColumn("cy", F.explode(span(F.col("sy1"), F.col("sy2"))))
-    p = samples.withColumns({"cx": cell(F.col("x"), reach * 4), "cy": cell(F.col("y"), reach * 4)})
-    dx, dy = F.col("sx2") - F.col("sx1"), F.col("sy2") - F.col("sy1")
-    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide((F.col("x") - F.col("sx1")) * dx + (F.col("y") - F.col("sy1")) * dy, dx * dx + dy * dy))), F.lit(0.0))
-    gap = F.hypot(F.col("x") - (F.col("sx1") + t * dx), F.col("y") - (F.col("sy1") + t * dy))
-    return p.join(s, ["cx", "cy"]).where(gap <= reach).select(*samples.columns).distinct()
+    """``samples`` points that lie within ``reach`` of a segment of ``others``, once each. (GEO-06, JOI-06)
+
+    A cell of less than ``reach`` across that a segment runs well into holds only such points, so most are told by their cell alone. The others
+    are held against the segments around theirs.
+    """
+    size = reach / 1.5
+    segs = materialised(segments(others).select("x1", "y1", "x2", "y2").distinct())
+    own = materialised(samples.distinct().withColumns({"cx": cell(F.col("x"), size), "cy": cell(F.col("y"), size)}))
+    # the middle of such a cell is at most reach - half a diagonal off
+    sure = materialised(over_cells(segs, reach - 1.4144 * size - 1e-3, size).select("cx", "cy").distinct())
+    rest = materialised(own.join(sure, ["cx", "cy"], "left_anti"))
+    _, gap = off_segment(F.col("x"), F.col("y"))
+    around = over_cells(segs, reach, size).join(rest.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+    tested = rest.join(around.hint("merge"), ["cx", "cy"]).where(gap <= reach)
+    return own.join(sure, ["cx", "cy"], "left_semi").select(*samples.columns).unionByName(tested.select(*samples.columns).distinct())
 
 
 def overlap_share(lines: DataFrame, proven: DataFrame, n: int = 40, reach: float = 150.0) -> DataFrame:
