@@ -115,26 +115,6 @@ def test_bridges_are_those_of_sorted_pairs(spark):
         got = access.bridge_gaps(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(nodes, "node long, x double, y double"), gap)
         assert sorted((r["a"], r["b"], r["weight"]) for r in got.collect()) == sorted(want)
 
-def test_cells_of_a_long_line_follow_it(spark):
-    s = spark.createDataFrame([(0.0, 0.0, 10_000.0, 9_000.0), (50.0, 20.0, 50.0, 20.0), (30.0, 0.0, 30.0, 95.0), (-15.0, 42.0, -99.0, 42.0)], "x1 double, y1 double, x2 double, y2 double")
-    for reach in (0.0, 3.0, 12.0):
-        got = {(r["x1"], r["y1"], r["cx"], r["cy"]) for r in spatial.over_cells(s, reach, 10.0).collect()}
-        for x1, y1, x2, y2 in s.collect():
-            for i in range(4001):
-                x, y = x1 + (x2 - x1) * i / 4000, y1 + (y2 - y1) * i / 4000
-                for dx, dy in ((0, 0), (reach, 0), (-reach, 0), (0, reach), (0, -reach)):
-                    assert (x1, y1, math.floor((x + dx) / 10), math.floor((y + dy) / 10)) in got
-        assert len(got) < 12_000  # the box of the long one has 900,000
-
-
-def test_pieces_in_a_dense_place_are_looked_up_near_by(spark):
-    """Before, a place met every piece within the cap; the nearest and its ties are the same."""
-    pieces = [(k, 0, i, k * 10.0, i * 2000.0) for k in range(200) for i in range(2)]
-    at = [(k, 5.0 + k * 10.0 if k % 2 else k * 10.0 + 1, 400.0 + k) for k in range(0, 190)] * 1 + [(500, 6000.0, 0.0), (501, 2090.0, 1000.0)]
-    got = linear.nearest_piece(spark.createDataFrame(at, "p long, x double, y double"), "p", spark.createDataFrame(pieces, "line_id long, chunk long, seq long, x double, y double"), 400.0)
-    want = [(k, k, 1.0) for k in range(0, 190, 2)] + [(k, line, 5.0) for k in range(1, 190, 2) for line in (k, k + 1)] + [(501, 199, 100.0)]
-    assert sorted((r["p"], r["line_id"], round(r["d"], 9)) for r in got.collect()) == sorted(want)
-
 
 def test_near_lines_are_those_of_a_loop(spark):
     rng = random.Random(4)
@@ -157,3 +137,32 @@ def test_dense_lines_decide_cells_without_pairs(spark):
     at = [(k, 0, 10.0 + k % 30 * 19, 10.0 + k // 30 * 19) for k in range(900)]
     got = lines.near_lines(spark.createDataFrame(at, "line_id long, k int, x double, y double"), spark.createDataFrame(segs, "line_id long, seq long, x double, y double"), 60.0)
     assert got.count() == 900 and rows_joined(got) <= 1000
+
+
+def test_cells_of_a_long_line_follow_it(spark):
+    s = spark.createDataFrame([(0.0, 0.0, 10_000.0, 9_000.0), (50.0, 20.0, 50.0, 20.0), (30.0, 0.0, 30.0, 95.0), (-15.0, 42.0, -99.0, 42.0)], "x1 double, y1 double, x2 double, y2 double")
+    for reach in (0.0, 3.0, 12.0):
+        got = {(r["x1"], r["y1"], r["cx"], r["cy"]) for r in spatial.over_cells(s, reach, 10.0).collect()}
+        for x1, y1, x2, y2 in s.collect():
+            for i in range(4001):
+                x, y = x1 + (x2 - x1) * i / 4000, y1 + (y2 - y1) * i / 4000
+                for dx, dy in ((0, 0), (reach, 0), (-reach, 0), (0, reach), (0, -reach)):
+                    assert (x1, y1, math.floor((x + dx) / 10), math.floor((y + dy) / 10)) in got
+        assert len(got) < 12_000  # the box of the long one has 900,000
+
+
+def test_pieces_in_a_dense_place_are_looked_up_near_by(spark):
+    """Before, a place met every piece within the cap; the nearest and its ties are the same."""
+    pieces = [(k, 0, i, k * 10.0, i * 2000.0) for k in range(200) for i in range(2)]
+    at = [(k, 5.0 + k * 10.0 if k % 2 else k * 10.0 + 1, 400.0 + k) for k in range(0, 190)] * 1 + [(500, 6000.0, 0.0), (501, 2090.0, 1000.0)]
+    got = linear.nearest_piece(spark.createDataFrame(at, "p long, x double, y double"), "p", spark.createDataFrame(pieces, "line_id long, chunk long, seq long, x double, y double"), 400.0)
+    want = [(k, k, 1.0) for k in range(0, 190, 2)] + [(k, line, 5.0) for k in range(1, 190, 2) for line in (k, k + 1)] + [(501, 199, 100.0)]
+    assert sorted((r["p"], r["line_id"], round(r["d"], 9)) for r in got.collect()) == sorted(want)
+
+
+def test_noding_does_not_broadcast_cells(spark):
+    pts = [(k, i, float(i * 3000 + k), float(k * 40 if i else 3000 - k * 40)) for k in range(60) for i in range(2)]
+    net = lines.noded(spark.createDataFrame(pts, "line_id long, seq long, x double, y double"))
+    plan = net._jdf.queryExecution().executedPlan().toString()
+    # before, the exploded cells were broadcast by the size of the few segments that make them
+    assert "BroadcastHashJoin" not in plan.split("Generate")[1] and net.count() > 60

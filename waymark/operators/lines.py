@@ -72,10 +72,10 @@ def noded(points: DataFrame, size: float = 100.0, digits: int = 1) -> DataFrame:
     splits collinear overlaps at the ends of the shared part. Nodes are rounded to 0.1 m half even.
     """
     s = segments(points).where("len > 0").select(F.concat_ws("/", "line_id", "seq").alias("id"), "x1", "y1", "x2", "y2")
-    span = lambda a, b: F.sequence(cell(F.least(a, b) - 0.05, size), cell(F.greatest(a, b) + 0.05, size))
-    c = s.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
+    c = over_cells(s, 0.05, size)
     o = c.select("cx", "cy", *(F.col(x).alias(f"o{x}") for x in s.columns))
-    met = c.join(o, ["cx", "cy"]).where("id <> oid").drop("cx", "cy").distinct()
+    # cells outnumber the segments by far, so neither side is broadcast; a pair that meets in several cells gives the same cuts in each
+    met = c.join(o.hint("merge"), ["cx", "cy"]).where("id <> oid")
     rx, ry, qx, qy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.col("ox2") - F.col("ox1"), F.col("oy2") - F.col("oy1")
     cross = rx * qy - ry * qx
     wx, wy = F.col("ox1") - F.col("x1"), F.col("oy1") - F.col("y1")
