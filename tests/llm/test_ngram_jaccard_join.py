@@ -57,3 +57,18 @@ def test_empty_table_and_extra_columns(spark, empty):
     assert op.ngram_jaccard_join(empty).count() == 0
     df = spark.createDataFrame([(1, "a b c d e", 0, 0), (2, "A b c d e", 0, 0)], "doc_id int, text string, sid int, `key` int")
     assert run(df) == {1: (2, 1), 2: (2, 1)}
+
+
+def test_near_copies_that_do_not_link_are_told_apart_in_the_join(spark, monkeypatch):
+    rng, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(403)]
+    for i in range(60):
+        own = list(base)
+        for p in rng.sample(range(5, 395, 6), 6):
+            own[p] = f"e{i}x{p}"
+        rows.append((i, " ".join(own), "en", "a", 0))
+    asked, own = [], op.verified
+    monkeypatch.setattr(op, "verified", lambda pairs, *more: asked.append(pairs.count()) or own(pairs, *more))
+    assert run(spark.createDataFrame(rows, DOCS)) == components([r[:2] for r in rows])
+    # of 1,770 pairs at the last turn
+    assert asked[-1] <= 100, asked

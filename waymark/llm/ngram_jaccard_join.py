@@ -51,6 +51,8 @@ PAIRS_A_ROW = 16
 SKETCH_WORDS = 4_000_000
 #: Orders of the keys by which sets first meet, and stars by which groups of near copies are drawn together before what is left is compared pair by pair.
 STARS, MAX_STARS = 4, 2
+#: Words of the sketch that is compared where sets meet pair by pair; it tells sets of some 2,000 tokens apart, the short one those of 500.
+WIDE_WORDS = 16
 
 
 def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,7 +274,7 @@ def near_sets(docs: DataFrame, scratch: Scratch, k: int, num: int, den: int, par
 
 
 def token_table(docs: DataFrame, k: int) -> DataFrame:
-    """``(sid, n, s0..s3, bits, tokens)`` of rows ``(sid, text)``: the short and the long sketch, and the shingles."""
+    """``(sid, n, s0..s3, bits, wide, tokens)`` of rows ``(sid, text)``: the short and the long sketch, one of WIDE_WORDS words, and the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,14 +289,15 @@ def token_table(docs: DataFrame, k: int) -> DataFrame:
                 bit = (tokens >> K.U(40)) & K.U(255)
                 sketch = [np.bitwise_xor.reduceat(np.where(bit >> K.U(6) == q, K.U(1) << (bit & K.U(63)), K.U(0)), begin).view(np.int64) for q in range(4)]
                 bits, width = long_sketches(tokens, size)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), *map(pa.array, sketch), K.ragged(bits, width, pa.int64()), K.ragged(tokens.view(np.int64), size, pa.int64())], ["sid", "n", "s0", "s1", "s2", "s3", "bits", "tokens"])
+                wide, same = long_sketches(tokens, size, WIDE_WORDS)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(size), *map(pa.array, sketch), K.ragged(bits, width, pa.int64()), K.ragged(wide, same, pa.int64()), K.ragged(tokens.view(np.int64), size, pa.int64())], ["sid", "n", "s0", "s1", "s2", "s3", "bits", "wide", "tokens"])
 
-    return docs.select("sid", "text").mapInArrow(run, "sid long, n long, s0 long, s1 long, s2 long, s3 long, bits array<long>, tokens array<long>")
+    return docs.select("sid", "text").mapInArrow(run, "sid long, n long, s0 long, s1 long, s2 long, s3 long, bits array<long>, wide array<long>, tokens array<long>")
 
 
-def long_sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Parity sketches with a power of two of words that grows with the set, about eight bits for each token that may differ."""
-    width = 1 << np.ceil(np.log2(np.maximum(size * 1.3 / 64, 1))).astype(np.int64)
+def long_sketches(tokens: np.ndarray, size: np.ndarray, words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of ``words`` words, else with a power of two of words that grows with the set, about eight bits for each token that may differ."""
+    width = np.full(len(size), words, np.int64) if words else 1 << np.ceil(np.log2(np.maximum(size * 1.3 / 64, 1))).astype(np.int64)
     base = np.concatenate(([0], np.cumsum(width)))
     h = K.mix(tokens ^ K.U(0x94D049BB133111EB))
     word = np.zeros(base[-1], K.U)
@@ -304,13 +307,14 @@ def long_sketches(tokens: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.
 
 
 SKETCH = ["n", "s0", "s1", "s2", "s3"]
+WIDE = [f"w{q}" for q in range(WIDE_WORDS)]
 
 
-def may_link(a: str, b: str, num: int, den: int) -> Column:
+def may_link(a: str, b: str, num: int, den: int, words: list[str] = SKETCH[1:]) -> Column:
     """The length filter, and the Hamming filter: the sketches differ in at most as many bits as linked sets may differ in tokens."""
     n, m = F.col(f"{a}n"), F.col(f"{b}n")
     far = F.lit(0)
-    for q in SKETCH[1:]:
+    for q in words:
         far = far + F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}")))
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (far * (den + num) <= (n + m) * (den - num))
 
@@ -367,6 +371,16 @@ def first_stars(near: DataFrame, num: int, den: int) -> DataFrame:
     return met.where((F.col("sid") != F.col("other")) & may_link("", "p.", num, den)).select(*pair()).distinct()
 
 
+def rest_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Candidate pairs of all sets ``rows(key, sid, label, n, s0..s3, w0..)`` of one key and different components.
+
+    The condition is the join's own. Near copies that just do not link share many keys, and the short sketch lets nearly all of their pairs through.
+    """
+    other = rows.select("key", F.col("sid").alias("other"), F.col("label").alias("other_label"), *(F.col(c).alias(f"o_{c}") for c in SKETCH + WIDE))
+    close = may_link("", "o_", num, den) & may_link("", "o_", num, den, WIDE)
+    return rows.join(other, "key").where((F.col("label") < F.col("other_label")) & close).select(*pair())
+
+
 def linked(near: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """``(sid, label)``: components of the sets ``near(sid, keys)`` that link."""
     near = scratch.store(near.join(sets.select("sid", *SKETCH), "sid"), "near")
@@ -389,8 +403,8 @@ def linked(near: DataFrame, sets: DataFrame, scratch: Scratch, num: int, den: in
         last = turn == MAX_STARS or turn > 0 and total[0] <= PAIRS_A_ROW * total[1]
         if last:
             now = scratch.store(left.join(small(open_.select("key")), "key"), "rest")
-            other = now.select("key", F.col("sid").alias("other"), F.col("label").alias("other_label"), *(F.col(c).alias(f"o_{c}") for c in SKETCH))
-            pairs = now.join(other, "key").where((F.col("label") < F.col("other_label")) & may_link("", "o_", num, den)).select(*pair())
+            wide = sets.select("sid", *(F.col("wide")[q].alias(w) for q, w in enumerate(WIDE))).join(now.select("sid").distinct(), "sid")
+            pairs = rest_pairs(now.join(small(scratch.store(wide, "wide")), "sid"), num, den)
         else:
             now = left.join(small(open_.select("key", "p")), "key")
             pairs = now.where((F.col("label") != F.col("p.label")) & may_link("", "p.", num, den)).withColumn("other", F.col("p.sid")).select(*pair())
