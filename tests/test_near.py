@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,48 @@ def test_noding_does_not_broadcast_cells(spark):
     assert "BroadcastHashJoin" not in plan.split("Generate")[1] and net.count() > 60
 
 
+def test_totals_of_a_network_are_those_of_its_edges(spark):
+    rng = random.Random(4)
+    at = lambda: (rng.randint(-60, 60) / 2, rng.randint(-60, 60) / 2)
+    pts = [(k, i, *at()) for k in range(12) for i in range(5)]
+    # overlaps, one of them backwards, lines along the tiles' sides, a twin, a touch, a line without a length, and one that has no place
+    more = [[(-30, 20), (30, 20)], [(25, 20), (-5, 20)], [(20, -30), (20, 31)], [(20, 31), (20, 3)], [(-7.03, 20.04), (-7, -9)], [(1, 1), (1, 1)], [(0.05, 0.15), (0.25, 17.35)], [(3, 4), (math.nan, 1)], [(3, 4), (None, 1)]]
+    pts += [(20 + k, i, *map(lambda v: v if v is None else float(v), p)) for k, line in enumerate(more) for i, p in enumerate(line)] + [(40, i, x, y) for k, i, x, y in pts if k == 3]
+    df = spark.createDataFrame(pts, "line_id long, seq long, x double, y double")
+    want = lines.noded(df.where("line_id not in (27, 28)"), 20.0).agg(F.count("*").alias("n"), F.sum("weight").alias("w")).first()
+    for size in (10.0, 20.0, 250.0):
+        got = lines.noded_total(df, size).first()
+        assert got["edges"] == want["n"] > 500 and math.isclose(got["weight"], want["w"])
+    assert tuple(lines.noded_total(df.limit(0)).first()) == (0, None)
+
+
+def test_blocks_of_a_tile_give_its_edges_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    ends = rng.integers(-100, 200, (4, 90)) / 4.0
+    ends = np.concatenate([ends, ends[:, :30]], axis=1)
+    whole, parts = lines.tile_nodes(0, 0, *ends, 25.0, 10.0)
+    monkeypatch.setattr(lines, "BLOCK", 500)
+    blocks, more = lines.tile_nodes(0, 0, *ends, 25.0, 10.0)
+    assert whole[0] == blocks[0] > 100 and math.isclose(whole[1], blocks[1]) and len(more) > len(parts) == 1
+    assert all((np.concatenate(b) == a).all() for a, b in zip(parts[0], zip(*more, strict=True), strict=True))
+
+
+def test_rounding_in_tiles_is_that_of_bround(spark):
+    v = [0.05, 0.15, 0.25, -0.05, -0.15, 13107.65, 13107.75, 2.675, 1.005, 12.299999999999999, 12.3, 0.049999999999999996, 0.15000000000000002, 9.95, -9.95, 20010.0]
+    for digits in (1, 2):
+        want = [r[0] for r in spark.createDataFrame([(x,) for x in v], "x double").select(F.bround("x", digits)).collect()]
+        assert (lines.rounded(np.array(v), 10.0**digits) / 10.0**digits).tolist() == want
+
+
+def test_a_network_makes_no_row_for_a_crossing(spark, tmp_path):
+    from waymark.plans.shapes import network_nodes
+
+    spark.range(1000).select(F.col("id").alias("s_suppkey"), F.lit("s").alias("s_name"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    # before, the join put out a row for each pair of segments in a cell
+    df = network_nodes(spark, str(tmp_path))
+    assert rows_joined(df) <= 1000 and df.first()["edges"] > 10_000
+
+
 def test_greatest_within_is_that_of_a_loop(spark):
     rng = random.Random(8)
     left = [(k, rng.choice("abc"), rng.uniform(0, 90), rng.uniform(0, 90)) for k in range(300)] + [(900, "a", None, 1.0), (901, "d", 1.0, 1.0), (902, "e", 39.0, 1.0)]
