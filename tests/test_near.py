@@ -31,6 +31,25 @@ def rows_joined(df) -> int:
     return most
 
 
+def most_sent(df) -> int:
+    """The most bytes that any exchange of the plan has sent."""
+    df.collect()
+    text, most = [df._jdf.queryExecution().executedPlan()], 0
+    while text:
+        p = text.pop()
+        if p.nodeName() == "Exchange":
+            m = p.metrics().get("dataSize")
+            most = max(most, m.get().value() if m.isDefined() else 0)
+        kids = p.children() if not p.nodeName().startswith("AdaptiveSparkPlan") else None
+        if kids is None:
+            text.append(p.executedPlan())
+        else:
+            text += [kids.apply(i) for i in range(kids.size())]
+            if "QueryStage" in p.nodeName():
+                text.append(p.plan())
+    return most
+
+
 @pytest.fixture
 def crowd():
     rng = random.Random(5)
@@ -99,6 +118,24 @@ def test_boxes_expand_classes_inside_a_task(spark):
     assert rows_joined(df) < 600 < len(want)
 
 
+def test_a_hot_place_is_paired_in_parts(spark, monkeypatch):
+    for name, value in (("PACK", 20), ("PART", 50), ("FEW", 7)):
+        monkeypatch.setattr(spatial, name, value)
+    # tiles of 40 m, also left of zero; places half a box off meet from tile to tile; two names share some keys
+    rows = [(k, "ab"[k % 2], 39.0, -1.0) for k in range(150)] + [(200 + k, "abc"[k % 3], k % 23 * 10.0 - 80, k % 7 * 8.5 - 20) for k in range(200)] + [(k, "c", 40.0, 0.0) for k in range(9)]
+    df = spatial.box_pairs(spark.createDataFrame(rows, "k long, n string, x double, y double"), "k", "n", "x", "y", 10.0)
+    want = [tuple(sorted((a[0], b[0]))) for i, a in enumerate(rows) for b in rows[:i] if a[0] != b[0] and a[1] != b[1] and abs(a[2] - b[2]) < 10 and abs(a[3] - b[3]) < 10]
+    assert sorted((r["a"], r["b"]) for r in df.collect()) == sorted(want) and len(want) > 5000
+
+
+def test_a_class_is_not_shuffled_for_each_of_its_partners(spark):
+    rows = [(k, f"n{k % 10}", k // 10 % 10 * 10.0, 0.0) for k in range(3000)]
+    df = spatial.box_pairs(spark.createDataFrame(rows, "k long, n string, x double, y double"), "k", "n", "x", "y", 250.0).agg(F.count("*"))
+    assert df.first()[0] == 3000 * 2700 // 2
+    # before, a class's list of members was sent to each of its 90 partners
+    assert 0 < most_sent(df) < 600_000
+
+
 def test_bridges_are_those_of_sorted_pairs(spark):
     rng = random.Random(8)
     spots = [(rng.randint(0, 9) * 3.0, rng.randint(0, 9) * 4.0) for _ in range(24)] + [(400.0, 0.0), (430.0, 0.0), (400.0, 1.0), (430.0, 2.0)]
